@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, media, secrets
+from coclave.llm import chat_format, media, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary is; the folder is a parameter of the environment that runs the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -62,5 +73,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op7_secret_scan": op7_secret_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_media_columns": op1_media_columns, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}
