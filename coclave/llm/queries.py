@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, media, packing, secrets
+from coclave.llm import chat_format, media, packing, pages, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,5 +77,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_media_columns": op1_media_columns, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
 ORACLES = {"op10_chat_format": OP10_SQL}
