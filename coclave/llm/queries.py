@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, language, media, packing, pages, secrets
+from coclave.llm import chat_format, language, media, mixing, packing, pages, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,65 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+#: The example's targets: (level, name, weight); what is not named weighs 1.
+MIX = (("domain", "d0", 0.4), ("domain", "d1", 0.3), ("domain", "d2", 0.2), ("domain", "d3", 0.1), ("lang", "en", 5.0), ("lang", "de", 2.0), ("lang", "fr", 2.0))
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2.0, 17
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{level}', '{name}', {weight}D)" for level, name, weight in MIX)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(level, name, weight)")
+
+
+def domain_of(source: str) -> Column:
+    """The example's domains: sources by their number."""
+    return F.concat(F.lit("d"), (F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as int)"), F.lit(0)) % 4).cast("string"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = mixing.choose(docs, mix_weights(spark), domain_of("source"), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return chosen.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "copies")
+
+
+def _share_sql(nodes: str, parent: str, given: str) -> str:
+    """Water filling of the table `nodes` (parent columns, name, capacity, weight)."""
+    by = f"PARTITION BY {parent} " if parent else ""
+    return f"""
+  (WITH a AS (SELECT *, CASE WHEN weight > 0 THEN capacity / weight ELSE 'inf'::DOUBLE END AS ratio FROM {nodes}),
+  b AS (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM a WINDOW w AS ({by}ORDER BY ratio, name)),
+  c AS (SELECT *, CASE WHEN open > 0 AND ({given} - filled) / open <= ratio THEN ({given} - filled) / open END AS try FROM b),
+  d AS (SELECT *, first_value(try IGNORE NULLS) OVER ({by}ORDER BY ratio, name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM c)
+  SELECT *, CASE WHEN level IS NULL THEN capacity ELSE least(capacity, level * weight) END AS budget FROM d)"""
+
+
+def _weigh_sql(nodes: str, level: str) -> str:
+    return f"""(SELECT n.*, n.{level} AS name, coalesce(w.weight, 1.0)::DOUBLE AS weight, CASE WHEN coalesce(w.weight, 1.0) > 0 THEN n.room ELSE 0 END AS capacity
+  FROM {nodes} n LEFT JOIN weights w ON w.level = '{level}' AND w.name = n.{level})"""
+
+
+OP2_SQL = f"""
+WITH weights(level, name, weight) AS (VALUES {", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in MIX)}),
+rows_ AS (SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+placed AS (SELECT *, ('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || n_tokens), 1, 12))::BIGINT AS spot FROM rows_),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE * {MIX_EPOCHS} AS room FROM rows_ GROUP BY ALL),
+sources AS {_weigh_sql("leaves", "source")},
+langs AS {_weigh_sql("(SELECT domain, lang, sum(capacity) AS room FROM sources GROUP BY ALL)", "lang")},
+domains AS {_weigh_sql("(SELECT domain, sum(capacity) AS room FROM langs GROUP BY ALL)", "domain")},
+top AS {_share_sql("domains", "", f"(SELECT sum(tokens) * {MIX_SHARE} FROM leaves)")},
+langs2 AS (SELECT l.*, t.budget AS upper FROM langs l JOIN (SELECT domain, budget FROM top) t USING (domain)),
+middle AS {_share_sql("langs2", "domain", "upper")},
+sources2 AS (SELECT s.*, m.budget AS upper FROM sources s JOIN (SELECT domain, lang, budget FROM middle) m USING (domain, lang)),
+final AS (SELECT domain, lang, source, tokens, budget, CASE WHEN tokens > 0 THEN floor((budget + 1e-6) / tokens) ELSE 0 END AS epochs FROM {_share_sql("sources2", "domain, lang", "upper")}),
+lined AS (SELECT p.*, f.budget, f.epochs, floor(f.budget - f.epochs * f.tokens + 1e-6) AS rest,
+  sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY spot, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed p JOIN final f USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM lined WHERE budget > 0 AND epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -87,5 +146,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
-ORACLES = {"op10_chat_format": OP10_SQL}
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
+ORACLES = {"op2_source_mix": OP2_SQL, "op10_chat_format": OP10_SQL}
