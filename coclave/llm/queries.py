@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, language, media, mixing, packing, pages, secrets
+from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
@@ -146,5 +150,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
 ORACLES = {"op2_source_mix": OP2_SQL, "op10_chat_format": OP10_SQL}
