@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, secrets
+from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,22 @@ FROM lined WHERE budget > 0 AND epochs + CASE WHEN rest > 0 AND upto <= rest THE
 """
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.a = e.vec_id
+"""
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -150,5 +166,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
-ORACLES = {"op2_source_mix": OP2_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
+ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
