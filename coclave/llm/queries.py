@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, secrets, vectors
+from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, quality, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: 0 toxic, 1 clean but poor, 2 good.
+GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
+
+
+def op6_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()), F.expr(GRADE))
+    done = quality.grade_documents(docs, model)
+    return done.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), "kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -166,5 +177,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_grade": op6_quality_grade, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
 ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
