@@ -177,8 +177,9 @@ def _entries(batches: Iterator[pa.RecordBatch], width: int, percent: int, small:
         if len(seen) < 1 << 20:
             seen.add(cls)
         n = len(s)
-        loc = int((s * np.uint64(0xC2B2AE3D27D4EB4F)).min() >> np.uint64(47)) & 0xFFFF
         many = _is_set(marked, s, map_bits)
+        # Eight bits of a minimum hash, which similar sets often share, and the share of frequent shingles.
+        loc = (int((s * np.uint64(0xC2B2AE3D27D4EB4F)).min() >> np.uint64(47)) & 0xFF) << 8 | round(255 * float(many.mean()))
         line, flags = np.concatenate([s[~many], s[many]]), np.sort(many)
         new = []
         if n > small or 100 * n >= percent * (small + 1):
@@ -332,16 +333,17 @@ class Join:
         """Pairs of classes that reach the threshold, enough of them to connect all that any such pairs connect."""
         found = self.candidates()
         rare = found.filter("b is not null").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
-        often = found.filter("b is null").select("key", F.col("a").alias("cls"), "size", "pos", "loc").distinct()
+        often = found.filter("b is null").select("key", F.col("a").alias("cls"), "size", "pos", F.expr("loc div 256").alias("loc"), F.expr("loc % 256").alias("share")).distinct()
         sized = lambda x, y: 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
         # One partner for each class: of rare keys the one with most lists in common, of frequent ones a representative of its
-        # list and minimum, and for that the representative of the list.
+        # list and minimum, or of the list. A representative is the class with most of its shingles frequent: the text that the
+        # others are copies of, to which they are more alike than to each other.
         ends = rare.select(F.col("a").alias("cls"), F.col("b").alias("other"), "lists").unionByName(rare.select(F.col("b").alias("cls"), F.col("a").alias("other"), "lists"))
         first = ends.groupBy("cls").agg(F.max(F.struct("lists", "other"))["other"].alias("other"))
-        hubs = often.groupBy("key", "loc").agg(F.min(F.struct("cls", "size")).alias("hub"))
-        heads = hubs.groupBy("key").agg(F.min("hub").alias("head"))
+        hubs = often.groupBy("key", "loc").agg(F.max(F.struct("share", "cls", "size")).alias("hub"))
+        heads = hubs.groupBy("key").agg(F.max("hub").alias("head"))
         near = often.join(hubs, ["key", "loc"]).filter(sized(F.col("size"), F.col("hub.size"))).select("cls", F.col("hub.cls").alias("other"))
-        far = hubs.join(heads, "key").filter(sized(F.col("hub.size"), F.col("head.size"))).select(F.col("hub.cls").alias("cls"), F.col("head.cls").alias("other"))
+        far = often.join(heads, "key").filter(sized(F.col("size"), F.col("head.size"))).select("cls", F.col("head.cls").alias("other"))
         most = near.unionByName(far).filter("cls <> other").groupBy("cls", "other").agg(F.count("*").alias("lists"))
         second = most.groupBy("cls").agg(F.max(F.struct("lists", "other"))["other"].alias("other"))
         probes = first.unionByName(second).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
