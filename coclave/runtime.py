@@ -9,8 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, if that folder is there."""
+    """Let Python workers import this package from where the driver has it, if that folder is there, and get texts in small batches.
+
+    Spark's default of 10,000 rows a batch is tens of MB of text at both ends; a value that was set on purpose stays.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
