@@ -35,7 +35,7 @@ FREQUENT = 32
 #: Bits below the bucket's that tell counted shingles apart.
 SLOT_BITS = 24
 #: Bytes of text whose sets are made at a time, and hashes that a task holds before it writes them out.
-CHUNK, HELD = 4 << 20, 2 << 20
+CHUNK, HELD = 2 << 20, 1 << 20
 #: Bits of one fragment of a bitmap.
 FRAGMENT = 1 << 16
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<u8"), ("size", "<u4"), ("pos", "<u2"), ("loc", "<u2")])
@@ -288,7 +288,7 @@ class Join:
     def boundary(self, sizes: list[tuple[int, int]], scanned: float) -> int:
         """The size up to which enumerating subsets costs less than lists, for (size, how many) and documents scanned per entry."""
         best, at = math.inf, 0
-        for x in sorted({0, *(s for s, _ in sizes if s <= 64)}):
+        for x in range(65):
             pairs = sum(n * math.comb(prefix(s, self.percent, 2), 2) for s, n in sizes if s <= x)
             lists = sum(n * prefix(s, self.percent, 1) * (1 + scanned) for s, n in sizes if 100 * s >= self.percent * (x + 1))
             if pairs + lists < best:

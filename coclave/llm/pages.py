@@ -29,13 +29,17 @@ WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements whose content is not text, elements without content, and elements that do not end a block.
 RAW = frozenset("script style noscript template textarea svg iframe object canvas math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LANDMARKS = frozenset("article aside body details dialog fieldset figure footer form head header main nav section title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, features of its ancestors, share of its characters in links), in page order; empty blocks are left out."""
+    """(text, features of its ancestors, share of its characters in links), in page order; empty blocks are left out.
+
+    Features are the tags and the words in classes and ids of all ancestors, and again of the nearest that is a landmark or has such words.
+    """
     blocks: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -45,7 +49,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal linked
         if parts and (text := " ".join("".join(parts).split())):
             own = [f for _, fs in stack for f in fs]
-            blocks.append((text, tuple(dict.fromkeys([*own, "parent:" + (stack[-1][0] if stack else "")])), min(1.0, linked / len(text))))
+            mark = next((n for n, fs in reversed(stack) if n in LANDMARKS or len(fs) > 1), "")
+            words = next((fs[1:] for n, fs in reversed(stack) if n in LANDMARKS or len(fs) > 1), ())
+            marks = [f"mark:{mark}", *(f"mark:{w}" for w in words), f"plain:{mark}" if not words else "named"]
+            blocks.append((text, tuple(dict.fromkeys([*own, "parent:" + (stack[-1][0] if stack else ""), *marks])), min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -97,7 +104,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
 
 def features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str, ...]]:
     out = []
-    for k, (text, own, links) in enumerate(blocks):
+    for text, own, links in blocks:
         n = len(text)
         look = (
             "bias",
@@ -105,7 +112,6 @@ def features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str
             f"size:{min(n.bit_length(), 9)}",
             "ends" if text[-1] in ".!?…”\"'" else "open",
             "©" if "©" in text[:3] else "plain",
-            f"where:{4 * k // len(blocks)}",
             f"words:{min(text.count(' '), 6)}",
         )
         out.append((*own, *look))
@@ -245,7 +251,7 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=1)
-def train(pages: int = 500, rounds: int = 80, seed: int = 9, penalty: float = 0.3) -> Field:
+def train(pages: int = 500, rounds: int = 100, seed: int = 9, penalty: float = 0.3) -> Field:
     """Conditional log-likelihood of the labelled pages, by gradient ascent with per-weight steps."""
     rng = random.Random(seed)
     rows, labels = [], []
