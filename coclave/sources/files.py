@@ -46,7 +46,7 @@ def fimo(spark: SparkSession, path: str, max_p: float = 1e-5, pattern: str = r"(
     in_coding_rgn is null where the file has no such column. The contig is the last two parts, by underscore, of the last but
     one dotted part of the sequence name, where it has dots.
     """
-    raw = spark.read.csv(path, sep="\t", header=True).withColumn("__file", F.regexp_replace(F.substring_index(F.input_file_name(), "/", -1), r"\.(tsv|txt)?(\.(gz|bz2))?$", ""))
+    raw = spark.read.csv(path, sep="\t", header=True).withColumn("__file", F.regexp_replace(F.substring_index(F.input_file_name(), "/", -1), r"(\.(tsv|txt))?(\.(gz|bz2))?$", ""))
     by = {c.lstrip("#").strip().lower(): c for c in raw.columns}
     col = lambda c: F.col(f"`{by[c]}`")
     flag = F.expr(f"try_cast(`{by['in_coding_rgn']}` as boolean)") if "in_coding_rgn" in by else F.lit(None).cast("boolean")
