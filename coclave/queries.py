@@ -134,9 +134,9 @@ for _name, _x, _wanted, _y, _logic in (
     ("agglom_gre_cols_or", "gre", GRES, "col", "or"), ("agglom_gre_gre_nor", "gre", GRES, "gre", "nor"), ("agglom_cluster_rows", "cluster", CLUSTERS, "row", "or"),
 ):
 
-    @query(_name, enrichment_sql(*Y[_y], selection_sql(_x, _wanted, _logic), _y == "gre", 10 if _y == "gre" else 0))
+    @query(_name, enrichment_sql(*Y[_y], selection_sql(_x, _wanted, _logic), _y == "gre", 10 if _y == "gre" else 0, 1.0 if _y == "gre" else 0.05))
     def _(m: Star, x: str = _x, wanted: list = _wanted, y: str = _y, logic: str = _logic) -> DataFrame:
-        return logged(agglom(m, wanted, x, y, logic=logic))
+        return logged(agglom(m, wanted, x, y, logic=logic, pval_cutoff=1.0 if y == "gre" else 0.05))
 
 
 @query("agglom_rows_cluster", f"chosen AS ({selection_sql('row', ROWS, 'or')}) SELECT cluster_id, count(*) AS num_genes, string_agg(sys_name, ',' ORDER BY sys_name) AS genes FROM bc_rows JOIN row_info USING (row_id) WHERE cluster_id IN (SELECT cluster_id FROM chosen) GROUP BY 1")

@@ -45,3 +45,12 @@ def test_relative_deviation(spark):
 def test_uniform_does_not_depend_on_partitions(spark):
     u = lambda n: sorted(map(tuple, spark.range(200).repartition(n).select("id", stats.uniform(3, F.col("id"))).collect()))
     assert u(1) == u(4) and all(0 <= x[1] < 1 for x in u(1)) and 0.4 < sum(x[1] for x in u(1)) / 200 < 0.6
+
+
+def test_linkage_order_keeps_neighbours_together():
+    import numpy as np
+
+    from coclave.functions.linkage import complete_linkage_order
+
+    order = complete_linkage_order(np.array([[0.0], [10.0], [0.1], [10.2], [np.nan], [5.0]]))
+    assert sorted(order) == list(range(6)) and abs(order.index(1) - order.index(3)) == 1 and complete_linkage_order(np.zeros((0, 2))) == []
