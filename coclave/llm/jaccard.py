@@ -279,6 +279,27 @@ def _mark_slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64))], ["slot"])
 
 
+def _by_mark(batches: Iterator[pa.RecordBatch], column: int, marks: Broadcast, bits: int, marked: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column(column)
+        found = _is_set(marks.value, mix(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits)
+        found &= keys.is_valid().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(found if marked else ~found, pa.bool_()))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in `gone` (one column of distinct keys); rows with a null key stay.
+
+    Whole texts are not dealt out for it: a bitmap of bounded size passes the rows that are certainly not gone, and only the
+    others are joined.
+    """
+    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, gone.count())))))
+    keys = gone.select(F.col(key).cast("long"))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(keys.mapInArrow(partial(_mark_slots, bits=bits), "slot long"), bits))
+    part = lambda marked: docs.mapInArrow(partial(_by_mark, column=docs.columns.index(key), marks=marks, bits=bits, marked=marked), docs.schema)
+    return part(False).unionByName(part(True).join(gone, key, "left_anti").select(*docs.columns))
+
+
 class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int):
         self.spark, self.width, self.percent = ready(docs.sparkSession), width, percent

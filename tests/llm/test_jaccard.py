@@ -84,3 +84,12 @@ def test_boundary_has_the_least_cost():
     assert join.boundary([(3, 1000), (10, 1000), (400, 10)], 1.5) == 13  # the first that keeps 10 out of the lists
     assert join.boundary([(400, 10)], 1.5) == 0
     assert join.boundary([(4, 100_000)], 1000.0) >= 4
+
+
+def test_without_keeps_the_rest(spark):
+    docs = odd.documents(spark)
+    gone = spark.createDataFrame([(2,), (7,), (99,)], "doc_id long")
+    left = jaccard.without(docs, gone)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, *_ in odd.rows() if i not in (2, 7))
+    assert jaccard.without(docs, gone.filter("false")).count() == docs.count()
