@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coclave.llm import jaccard, language, mixing, packing, secrets
 from coclave.llm.queries import MIX_SEED, domain_of, mix_weights, tokenizer_path
-from coclave.runtime import keep, ready
+from coclave.runtime import cut, keep, ready
 
 #: The least share of a document's words that its language must have.
 LEAST_SHARE = 0.4
@@ -31,8 +31,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that share a doc_id the one with the longest text stays, at a tie the last text in order.
     """
     groups = keep(jaccard.near_duplicates(docs), "groups")
-    gone = groups.filter("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(groups.filter("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
+    kept = jaccard.without(docs, gone)
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         line = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text").desc())
         ranked = kept.withColumn("__rank", F.row_number().over(line))
