@@ -27,8 +27,9 @@ def test_stages_on_odd_rows(spark):
             assert after.count() == before.count() and after.filter("text like '%hunter2%' or n_chars <> length(text)").count() == 0
         elif name == "source_mix":
             assert after.join(before, "doc_id", "left_anti").filter("doc_id is not null").count() == 0
+            mixed = {r["doc_id"] for r in after.collect()}
         before = after
-    assert after.select("doc_id").distinct().count() == keep(pipeline.STAGES[3][1](spark, docs, ""), "x").select("doc_id").distinct().count() or after.count() > 0
+    assert mixed and {r["doc_id"] for r in after.collect()} == mixed
 
 
 def test_empty(spark):
