@@ -19,45 +19,43 @@ def log_factorial(x: Column) -> Column:
     return F.when(x < _SMALL, F.get(table, F.greatest(x, F.lit(0)).cast("int"))).otherwise((y - 0.5) * F.log(y) - y + _HALF_LOG_2PI + series)
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def _upper_tail(p: Column) -> Column:
+    """P(X > k) of p = struct(m, n, d, k), or 1 less it where p.flip; terms fall from the first on.
+
+    Lambdas keep each long expression in one place: a plain expression would be repeated, and compiled, for every use.
+    """
+    m, n, d = p["m"], p["n"], p["d"]
+    first, high = F.greatest(p["k"] + 1, F.lit(0.0), n + d - m), F.least(n, d)
+    signed = [(1, n), (-1, first), (-1, n - first), (1, m - n), (-1, d - first), (-1, m - n - d + first), (-1, m), (1, d), (1, m - d)]
+    parts = F.array(*(F.struct(F.lit(float(sign)).alias("sign"), x.alias("x")) for sign, x in signed))
+    log_first = F.aggregate(parts, F.lit(0.0), lambda acc, t: acc + t["sign"] * log_factorial(t["x"]))
+    ratio = lambda i: (n - i) * (d - i) / ((i + 1) * (m - n - d + i + 1))
+    fall = ratio(first)
+    terms = F.when((fall > 0) & (fall < 1), F.least(high - first, F.ceil(-42 / F.log(fall)))).otherwise(F.lit(0.0))
+    total = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(terms, F.lit(0.0)).cast("int")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
+        lambda acc, j: F.struct((acc["term"] * ratio(first + j)).alias("term"), (acc["total"] + acc["term"]).alias("total")),
+        lambda acc: acc["total"],
+    )
+    tail = F.when(first > high, 0.0).otherwise(F.least(F.exp(log_first) * total, F.lit(1.0)))
+    return F.when(p["flip"], 1 - tail).otherwise(tail)
 
 
 def hypergeom_sf(hits: Column, population: Column, marked: Column, drawn: Column, inclusive: bool = False) -> Column:
     """P(X > hits), X hypergeometric; P(X >= hits) if inclusive.
 
     The tail away from the mode is summed by its term ratio until terms no longer count, in proportion to its first term, so
-    neither tables over the population nor more terms than matter are needed. 0 where hits reach min(marked, drawn).
+    neither tables over the population nor more terms than matter are needed. Left of the mode the tail is that of the unmarked
+    among the drawn. 0 where hits reach min(marked, drawn).
     """
     k = hits.cast("double") - (1 if inclusive else 0)
     m, n, d = population.cast("double"), marked.cast("double"), drawn.cast("double")
-    low, high = F.greatest(F.lit(0.0), n + d - m), F.least(n, d)
-    up, down = F.least(F.greatest(k + 1, low), high), F.least(F.greatest(k, low), high)
-    log_pmf = lambda i: _log_choose(n, i) + _log_choose(m - n, d - i) - _log_choose(m, d)
-    rise = lambda i: (n - i) * (d - i) / ((i + 1) * (m - n - d + i + 1))
-    fall = lambda i: F.try_divide(i * (m - n - d + i), (n - i + 1) * (d - i + 1))
-
-    def tail(first: Column, room: Column, ratio: object, sign: int) -> Column:
-        start = ratio(first)
-        terms = F.when((start > 0) & (start < 1), F.least(room, F.ceil(-42 / F.log(start)))).otherwise(F.lit(0.0))
-        steps = F.sequence(F.lit(0), F.greatest(terms, F.lit(0.0)).cast("int"))
-        none = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
-        total = F.aggregate(
-            steps,
-            none,
-            lambda acc, j: F.struct((acc["term"] * F.coalesce(ratio(first + sign * j), F.lit(0.0))).alias("term"), (acc["total"] + acc["term"]).alias("total")),
-            lambda acc: acc["total"],
-        )
-        return F.exp(log_pmf(first)) * total
-
-    upper = tail(up, high - up, rise, 1)
-    lower = 1 - tail(down, down - low, fall, -1)
-    return (
-        F.when(k >= high, 0.0)
-        .when(k < low, 1.0)
-        .when(rise(up) < 1, F.least(upper, F.lit(1.0)))
-        .otherwise(F.greatest(lower, F.lit(0.0)))
-    )
+    at = F.greatest(k + 1, F.lit(0.0), n + d - m)
+    flip = (n - at) * (d - at) >= (at + 1) * (m - n - d + at + 1)
+    one = F.struct(m.alias("m"), F.when(flip, m - n).otherwise(n).alias("n"), d.alias("d"), F.when(flip, d - k - 1).otherwise(k).alias("k"), flip.alias("flip"))
+    tail = F.get(F.transform(F.array(one), _upper_tail), F.lit(0))
+    return F.when(k >= F.least(n, d), 0.0).when(k < F.greatest(F.lit(0.0), n + d - m), 1.0).otherwise(tail)
 
 
 def neg_log10(p: Column, digits: int = 4, floor: float = 1e-300) -> Column:
