@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from coclave.operators.components import components
 from coclave.runtime import cut
 
+#: The cuts of a whole sweep.
+THRESHOLDS = [k / 10 for k in range(1, 11)]
 #: The density that each option picks.
 DENSITY_OF_OPTION = {1: "d1", 2: "d2", 3: "d3", 4: "d4", 5: "d5"}
 
@@ -59,9 +61,15 @@ def partition_densities(stats: DataFrame) -> DataFrame:
 
 
 def best_threshold(densities: DataFrame, option: int = 5) -> DataFrame:
-    """The first threshold with the largest density of the option."""
+    """The first threshold with the largest density of the option; densities equal to 12 places tie, as sums depend on order."""
     d = DENSITY_OF_OPTION[option]
-    return densities.orderBy(F.col(d).desc_nulls_last(), "threshold").limit(1).select("threshold", F.col(d).alias("density"))
+    return densities.orderBy(F.round(d, 12).desc_nulls_last(), "threshold").limit(1).select("threshold", F.col(d).alias("density"))
+
+
+def at_best(labelled: DataFrame, option: int = 5) -> DataFrame:
+    """The rows of link_communities of the best threshold."""
+    best = best_threshold(partition_densities(community_stats(labelled)), option)
+    return labelled.join(F.broadcast(best.select("threshold")), "threshold", "left_semi")
 
 
 def corems(labelled: DataFrame, least_edges: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ class Assembly:
 
 def assemble(bc_rows: DataFrame, cells: DataFrame, cutoff: float = 0.05, thresholds: list[float] | None = None, definition: int = 0, option: int = 5, least_edges: int = 3, resamples: int = 1000, keep: float = 0.1, significance: float = 0.05) -> Assembly:
     """Graph, backbone, link communities at the best threshold, and per corem the columns of low relative deviation."""
-    thresholds = thresholds or [k / 10 for k in range(1, 11)]
+    thresholds = thresholds or communities.THRESHOLDS
     edges = cut(graph.backbone(graph.backbone_pval(graph.weigh(graph.cooccurrence(bc_rows))), cutoff))
     labelled = cut(communities.link_communities(edges, graph.edge_similarity(edges, definition), thresholds))
     densities = cut(communities.partition_densities(communities.community_stats(labelled)))

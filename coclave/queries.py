@@ -19,7 +19,9 @@ ORACLES: dict[str, str] = {}
 
 ROWS, PAIR, COLS, GRES, CLUSTERS = [1, 2, 3], [260, 625], [1, 2], [11, 12], [1, 2, 3, 4, 5]
 BACKBONE = 0.2
+#: The cuts that the SQL states; the corems there are those of the first. The queries named _sweep go over all of SWEEP.
 THRESHOLDS = [0.2, 0.3]
+SWEEP = communities.THRESHOLDS
 
 
 def query(name: str, sql: str | None, model: str = MODEL_SQL) -> Callable[[Callable[[Star], DataFrame]], Callable[[Star], DataFrame]]:
@@ -320,80 +322,90 @@ corem_rows AS (SELECT corem_id, a AS row_id FROM corem_edges UNION SELECT corem_
 )
 
 
-def labelled_of(m: Star, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+def labelled_of(m: Star, thresholds: list[float]) -> DataFrame:
     edges = cut(edges_of(m))
     return cut(communities.link_communities(edges, graph.edge_similarity(edges), thresholds))
 
 
-def corems_of(m: Star) -> DataFrame:
-    return cut(communities.corems(labelled_of(m, THRESHOLDS[:1])))
+def corems_of(m: Star, cuts: list[float]) -> DataFrame:
+    """The corems of the best cut of SWEEP; of THRESHOLDS, as the SQL has it, those of the first."""
+    if cuts == SWEEP:
+        return cut(communities.corems(communities.at_best(labelled_of(m, SWEEP))))
+    return cut(communities.corems(labelled_of(m, cuts[:1])))
 
 
-def linked(name: str, sql: str) -> Callable:
-    return query(name, f"{LINKED_SQL.strip()} {sql}", GRAPH_SQL)
+def linked(name: str, sql: str) -> Callable[[Callable[[Star, list[float]], DataFrame]], Callable[[Star, list[float]], DataFrame]]:
+    """Register a query over THRESHOLDS with its SQL, and as NAME_sweep over SWEEP without."""
+
+    def register(build: Callable[[Star, list[float]], DataFrame]) -> Callable[[Star, list[float]], DataFrame]:
+        query(name, f"{LINKED_SQL.strip()} {sql}", GRAPH_SQL)(lambda m: build(m, THRESHOLDS))
+        query(f"{name}_sweep", None)(lambda m: build(m, SWEEP))
+        return build
+
+    return register
 
 
 @linked("components_at_t", "SELECT threshold, a, b, community FROM labelled")
-def _(m: Star) -> DataFrame:
-    return labelled_of(m).select("threshold", "a", "b", "community")
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return labelled_of(m, cuts).select("threshold", "a", "b", "community")
 
 
 @linked("community_stats", "SELECT threshold, community, m, n, round(w, 6) AS w FROM stats")
-def _(m: Star) -> DataFrame:
-    return communities.community_stats(labelled_of(m)).withColumn("w", F.round("w", 6))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return communities.community_stats(labelled_of(m, cuts)).withColumn("w", F.round("w", 6))
 
 
 DENSITY = [f"d{k}" for k in range(1, 6)]
 
 
 @linked("partition_density", f"SELECT threshold, edges::BIGINT AS edges, edges_ns::BIGINT AS edges_ns, communities, {', '.join(f'round({d}, 8) AS {d}' for d in DENSITY)} FROM densities")
-def _(m: Star) -> DataFrame:
-    done = communities.partition_densities(communities.community_stats(labelled_of(m)))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    done = communities.partition_densities(communities.community_stats(labelled_of(m, cuts)))
     return done.select("threshold", "edges", "edges_ns", "communities", *(F.round(d, 8).alias(d) for d in DENSITY))
 
 
 @linked("best_threshold", "SELECT threshold, round(d5, 8) AS density FROM best")
-def _(m: Star) -> DataFrame:
-    return communities.best_threshold(communities.partition_densities(communities.community_stats(labelled_of(m)))).withColumn("density", F.round("density", 8))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return communities.best_threshold(communities.partition_densities(communities.community_stats(labelled_of(m, cuts)))).withColumn("density", F.round("density", 8))
 
 
 @linked("communities", "SELECT corem_id, density, weighted_density, count(*) AS edges FROM corem_edges GROUP BY ALL")
-def _(m: Star) -> DataFrame:
-    return corems_of(m).groupBy("corem_id", "density", "weighted_density").agg(F.count("*").alias("edges"))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return corems_of(m, cuts).groupBy("corem_id", "density", "weighted_density").agg(F.count("*").alias("edges"))
 
 
 @linked("corems", "SELECT corem_id, row_id FROM corem_rows")
-def _(m: Star) -> DataFrame:
-    return communities.corem_rows(corems_of(m))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return communities.corem_rows(corems_of(m, cuts))
 
 
 @linked("corem_genes", "SELECT sys_name AS gene FROM corem_rows JOIN row_info USING (row_id) WHERE corem_id = 1")
-def _(m: Star) -> DataFrame:
-    return corem.genes_of(communities.corem_rows(corems_of(m)), m.row_info, 1)
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return corem.genes_of(communities.corem_rows(corems_of(m, cuts)), m.row_info, 1)
 
 
 @linked("corems_with_genes", "picked AS (SELECT row_id FROM corem_rows WHERE corem_id = 1) SELECT corem_id, sys_name AS gene FROM corem_rows JOIN row_info USING (row_id) WHERE row_id IN (SELECT row_id FROM picked)".replace("picked AS", ", picked AS", 1))
-def _(m: Star) -> DataFrame:
-    held = communities.corem_rows(corems_of(m))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    held = communities.corem_rows(corems_of(m, cuts))
     wanted = [r["gene"] for r in corem.genes_of(held, m.row_info, 1).collect()]
     return corem.with_genes(held, m.row_info, wanted)
 
 
 @linked("corem_and_genes", ", wanted AS (SELECT row_id FROM corem_rows WHERE corem_id = 1 ORDER BY row_id LIMIT 2), chosen AS (SELECT corem_id FROM corem_rows WHERE row_id IN (SELECT row_id FROM wanted) GROUP BY 1 HAVING count(*) = 2) SELECT row_id, count(*) AS counts FROM corem_rows WHERE corem_id IN (SELECT corem_id FROM chosen) GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM chosen)")
-def _(m: Star) -> DataFrame:
-    held = communities.corem_rows(corems_of(m))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    held = communities.corem_rows(corems_of(m, cuts))
     wanted = [r["row_id"] for r in held.filter("corem_id = 1").orderBy("row_id").limit(2).collect()]
     return corem.shared(held, "row_id", corem.choose(held, held, "row_id", wanted, "and"), "and")
 
 
 @linked("corem_edges", "SELECT corem_id, x.sys_name || '-' || y.sys_name AS edge FROM corem_edges JOIN row_info x ON x.row_id = a JOIN row_info y ON y.row_id = b")
-def _(m: Star) -> DataFrame:
-    return corem.edge_names(corems_of(m), m.row_info)
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return corem.edge_names(corems_of(m, cuts), m.row_info)
 
 
 @linked("corem_sizes", "SELECT DISTINCT count(*) AS size FROM corem_rows GROUP BY corem_id")
-def _(m: Star) -> DataFrame:
-    return corem.sizes(communities.corem_rows(corems_of(m)))
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return corem.sizes(communities.corem_rows(corems_of(m, cuts)))
 
 
 # Intervals
