@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from coclave.llm.textvec import mix, shingle_sets
 from coclave.operators.components import components
@@ -287,17 +288,52 @@ def _by_mark(batches: Iterator[pa.RecordBatch], column: int, marks: Broadcast, b
         yield batch.filter(pa.array(found if marked else ~found, pa.bool_()))
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is not in `gone` (one column of distinct keys); rows with a null key stay.
+def parted(docs: DataFrame, marked: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key is certainly not in `marked`, those with a null key among them, and the others.
 
-    Whole texts are not dealt out for it: a bitmap of bounded size passes the rows that are certainly not gone, and only the
-    others are joined.
+    A bitmap of bounded size tells them apart, so that whole texts are not dealt out for it.
     """
-    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, gone.count())))))
-    keys = gone.select(F.col(key).cast("long"))
+    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, marked.count())))))
+    keys = marked.select(F.col(key).cast("long"))
     marks = docs.sparkSession.sparkContext.broadcast(bitmap(keys.mapInArrow(partial(_mark_slots, bits=bits), "slot long"), bits))
-    part = lambda marked: docs.mapInArrow(partial(_by_mark, column=docs.columns.index(key), marks=marks, bits=bits, marked=marked), docs.schema)
-    return part(False).unionByName(part(True).join(gone, key, "left_anti").select(*docs.columns))
+    part = lambda found: docs.mapInArrow(partial(_by_mark, column=docs.columns.index(key), marks=marks, bits=bits, marked=found), docs.schema)
+    return part(False), part(True)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in `gone` (one column of distinct keys); rows with a null key stay."""
+    clear, others = parted(docs, gone, key)
+    return clear.unionByName(others.join(gone, key, "left_anti").select(*docs.columns))
+
+
+def _add_class(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary())
+        sets = _sets(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["key", "text"])]), width)
+        classes = pa.array([class_of(s) if len(s) else None for _, s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "cls"])
+
+
+def least_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """The rows of docs without those that link with a row of a lesser key; `groups` are the rows of grouped().
+
+    Rows that share a key go by their own texts: of those that link the one with the longest text stays, at a tie the last in
+    order. Rows with a null key or without words stay. Only rows whose key may have to go are signed again and joined.
+    """
+    linked = groups.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
+    own = linked.filter(F.col(key) == F.col("component_id"))
+    often = own.groupBy(key, "component").count().filter("count > 1").drop("count")
+    again = own.join(often, [key, "component"], "left_semi").select(key, "cls", "component", F.lit(False).alias("__gone"))
+    gone = linked.filter(F.col(key) != F.col("component_id")).select(key, "cls", "component", F.lit(True).alias("__gone"))
+    marked = cut(gone.unionByName(again).distinct())
+    clear, others = parted(docs, marked.select(key).distinct(), key)
+    signed = others.mapInArrow(partial(_add_class, column=docs.columns.index(text), width=width), StructType([*docs.schema.fields, StructField("cls", LongType())]))
+    kept = clear.unionByName(signed.join(marked, [key, "cls"], "left_anti").select(*docs.columns))
+    if not (repeated := marked.filter("not __gone")).limit(1).count():
+        return kept
+    whole = F.struct(F.length(text).alias("length"), F.col(text).alias("last"), F.struct(*docs.columns).alias("row"))
+    best = signed.join(repeated, [key, "cls"]).groupBy(key, "component").agg(F.max(whole).alias("best"))
+    return kept.unionByName(best.select("best.row.*"))
 
 
 class Join:
@@ -389,6 +425,19 @@ class Join:
         return probed.unionByName(self.verified(late.join(probes, ["a", "b"], "left_anti")))
 
 
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """near_duplicates() with the class of each row's text and the component of that class, which no two groups share."""
+    join = Join(docs, key, text, width, percent)
+    links = join.links()
+    found = components(links, "a", "b").select(F.col("node").alias("cls"), "component")
+    classes = join.signed.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
+    classes = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = classes.join(roots, "component").select("cls", "component", "component_id")
+    done = join.signed.join(ids, "cls", "left")
+    return done.select(F.col("key").alias(key), "n_shingles", "cls", "component", F.coalesce("component_id", "key").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) for every row.
 
@@ -397,12 +446,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     have none and link with nothing. Repeated rows link by their texts like any others; a null key is never the least of a
     component that has another. Other columns are ignored; an empty table gives no rows.
     """
-    join = Join(docs, key, text, width, percent)
-    links = join.links()
-    found = components(links, "a", "b").select(F.col("node").alias("cls"), "component")
-    classes = join.signed.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
-    classes = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = classes.join(roots, "component").select("cls", "component_id")
-    done = join.signed.join(ids, "cls", "left")
-    return done.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    return grouped(docs, key, text, width, percent).select(key, "n_shingles", "component_id")

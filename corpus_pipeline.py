@@ -6,12 +6,12 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coclave.llm import jaccard, language, mixing, packing, secrets
 from coclave.llm.queries import MIX_SEED, domain_of, mix_weights, tokenizer_path
-from coclave.runtime import cut, keep, ready
+from coclave.runtime import keep, ready
 
 #: The least share of a document's words that its language must have.
 LEAST_SHARE = 0.4
@@ -28,16 +28,9 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays, that with the least doc_id.
 
     Documents without words link with nothing and stay, and so do those without a doc_id, which cannot be told apart. Of rows
-    that share a doc_id the one with the longest text stays, at a tie the last text in order.
+    that share a doc_id only those that link are held against each other: the longest text stays, at a tie the last in order.
     """
-    groups = keep(jaccard.near_duplicates(docs), "groups")
-    gone = cut(groups.filter("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
-    kept = jaccard.without(docs, gone)
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        line = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text").desc())
-        ranked = kept.withColumn("__rank", F.row_number().over(line))
-        kept = ranked.filter("__rank = 1 or doc_id is null").select(*docs.columns)
-    return kept
+    return jaccard.least_of_groups(docs, keep(jaccard.grouped(docs), "groups"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
