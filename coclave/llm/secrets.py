@@ -90,6 +90,15 @@ def pieces(run: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def outside(start: int, stop: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans leave of a run, where it is long enough."""
+    found = []
+    for a, b in [*spans, (stop, stop)]:
+        found += [(start, min(a, stop))] if a > start else []
+        start = max(start, b)
+    return [(a, b) for a, b in found if b - a >= LEAST]
+
+
 def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -135,20 +144,21 @@ class Scanner:
         self.counts, self.cuts = np.array(counts or [0] * 128, np.float64), cuts or {}
 
     def candidates(self, text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """(start, stop, length class, bin of its p-value) of runs that pass as random and touch no fixed span."""
+        """(start, stop, length class, bin of its p-value) of runs that pass as random, or of what fixed spans leave of them."""
         for m in CANDIDATE.finditer(text):
-            if any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            split = pieces(m[0])
-            for start, stop in split or [(0, len(m[0]))]:
-                run = m[0][start:stop]
-                found, kind = infer_encoding(run), 2 if split else 0
-                if found is None:
-                    found, kind = plain_encoding(run), kind or 1
-                if found is None or (tested := self.tested(*found)) is None:
-                    continue
-                level, p = tested
-                yield m.start() + start, m.start() + stop, LEVELS * kind + level, p
+            touched = [(a, b) for a, _, b in base if a < m.end() and m.start() < b]
+            for at, end in outside(m.start(), m.end(), touched) if touched else [m.span()]:
+                whole = text[at:end]
+                split = pieces(whole)
+                for start, stop in split or [(0, len(whole))]:
+                    run = whole[start:stop]
+                    found, kind = infer_encoding(run), 2 if split or touched else 0
+                    if found is None:
+                        found, kind = plain_encoding(run), kind or 1
+                    if found is None or (tested := self.tested(*found)) is None:
+                        continue
+                    level, p = tested
+                    yield at + start, at + stop, LEVELS * kind + level, p
 
     def tested(self, name: str, values: np.ndarray) -> tuple[int, int] | None:
         """(length class, bin of its p-value) of a run that passes as random in the alphabet."""

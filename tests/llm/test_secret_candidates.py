@@ -37,3 +37,16 @@ def test_letters_only_short_and_mixed_runs_are_candidates():
 def test_pieces_split_at_either_pair():
     assert secrets.pieces("a" * 20 + "/x-" + "b" * 17) == [(0, 20), (0, 22), (21, 40), (23, 40)]
     assert secrets.pieces("a" * 20 + "-" + "b" * 20) == []
+
+
+def test_what_a_fixed_span_leaves_of_a_run_is_a_candidate():
+    rng = random.Random(3)
+    key = "".join(rng.choices(BASE64[:62], k=40))
+    access = "AKIA" + "ABCDEFGHIJKL"
+    scanner = secrets.Scanner()
+    for text, at in ((f"see {access}/{key} end", 20), (f"see {key}_{access} end", 4)):
+        got = list(scanner.candidates(text, secrets.base_spans(text)))
+        assert any(a <= at + 1 and b >= at + 40 for a, b, _, _ in got), text
+    assert secrets.outside(0, 60, [(20, 30), (25, 40)]) == [(0, 20), (40, 60)] and secrets.outside(0, 60, [(0, 60)]) == []
+    text = "password=" + key
+    assert not list(scanner.candidates(text, secrets.base_spans(text)))
