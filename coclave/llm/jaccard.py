@@ -343,7 +343,10 @@ class Join:
         self.signed = keep(self.rows.mapInArrow(partial(_sign, width=width), "key long, n_shingles long, cls long"), "signed")
 
     def boundary(self, sizes: list[tuple[int, int]], scanned: float) -> int:
-        """The size up to which enumerating subsets costs less than lists, for (size, how many) and documents scanned per entry."""
+        """The size up to 64 at which enumerating subsets and lists cost least, for (size, how many) and documents scanned per entry.
+
+        Sets of more than 64 shingles always go to lists.
+        """
         best, at = math.inf, 0
         for x in range(65):
             pairs = sum(n * math.comb(prefix(s, self.percent, 2), 2) for s, n in sizes if s <= x)
