@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Settings of Arrow batches: Spark's default, and what the library sets in its place.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, if that folder is there, and get texts in small batches.
 
-    Spark's default of 10,000 rows a batch is tens of MB of text at both ends; a value that was set on purpose stays.
+    Spark's defaults of 10,000 rows and 64 MB a batch are too much text at both ends; a value that was set on purpose stays.
     """
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
+    for name, (default, own) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, own)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
@@ -26,11 +34,28 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _lean(batches: Iterator[pa.RecordBatch], work: Work) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from work(batches)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def mapped(df: DataFrame, work: Work, schema: str | StructType) -> DataFrame:
+    """mapInArrow with workers that give memory back at the end of each task: they stay for tasks of other stages."""
+    return df.mapInArrow(partial(_lean, work=work), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and everything runs in one process."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="coclave-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -42,7 +67,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run the plan now and go on from reliable files in the shared folder."""
+    """Run the plan now and go on from reliable files in the shared folder.
+
+    Spark removes them with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -51,4 +79,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read them from there: each is computed once."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the table of keep(), once nothing that is still to run reads it."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
