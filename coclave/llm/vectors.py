@@ -4,7 +4,8 @@ On unit vectors a cosine of t or more is a distance of at most epsilon = sqrt(2
 side epsilon along the leading principal directions; the sequence is cut into blocks, blocks into a tree of intervals. Pairs of
 intervals are expanded from the root down, each level by joins on the parent, and skipped when their bounding boxes are further
 apart than epsilon, which orthogonal projection proves for all their members. Pairs of blocks that remain are split once more
-inside a task and multiplied out: single precision finds what can reach the threshold, double precision decides.
+inside a task and multiplied out: single precision finds what can reach the threshold, double precision decides. A block holds
+vectors in the precision they are stored in, as many as fit a number of bytes.
 
 Equal vectors are one class from the start. A pair of blocks gives each linked class its number of links and a representative of
 its component in the pair, so at most one row per class, however many links there are.
@@ -19,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from coclave.operators.components import components
-from coclave.runtime import cut, ready
+from coclave.runtime import cut, mapped, ready
 
-LEADING, BLOCK, PIECE, FAN = 8, 2048, 128, 16
+LEADING, PIECE, FAN = 8, 128, 16
+#: Bytes of vectors in a block, which travel together: the bytes moved for all pairs of blocks fall as this grows.
+BLOCK_BYTES = 4 << 20
 MASK = (1 << 33) - 1
 
 
@@ -33,8 +37,13 @@ def linkable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _units(column: pa.Array, size: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+def _values(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def units(values: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double precision whatever they are stored in."""
+    values = values.astype(np.float64)
     values = values / np.abs(values).max(1, keepdims=True)
     return values / np.sqrt((values**2).sum(1, keepdims=True))
 
@@ -43,7 +52,7 @@ def _moments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     total = np.zeros((size + 1, size))
     for batch in batches:
         if batch.num_rows:
-            u = _units(batch.column(0), size)
+            u = units(_values(batch.column(0), size))
             total[0] += u.sum(0)
             total[1:] += u.T @ u
     yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(16))], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
@@ -56,23 +65,23 @@ def _add(table: pa.Table) -> pa.Table:
 
 def _project(batches: Iterator[pa.RecordBatch], size: int, axes: np.ndarray, epsilon: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        u = _units(batch.column(2), size)
-        cells = np.floor(u @ axes / epsilon).astype(np.int32)
+        values = _values(batch.column(2), size)
+        cells = np.floor(units(values) @ axes / epsilon).astype(np.int32) if len(values) else np.zeros((0, 1), np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))], ["cls", "n", "unit", "cells"]
+            [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in values], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))], ["cls", "n", "raw", "cells"]
         )
 
 
-def _pack(size: int, axes: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+def _pack(size: int, kind: np.dtype, axes: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     def pack(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("position").to_numpy(), kind="stable")
-        u = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, size)[order]
-        at = u @ axes
+        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).reshape(-1, size)[order]
+        at = units(raw) @ axes
         ids, n = (table.column(c).to_numpy()[order] for c in ("cls", "n"))
         return pa.table(
             {
                 "block": table.column("block")[:1],
-                "payload": pa.array([len(ids).to_bytes(8, "little") + ids.tobytes() + n.tobytes() + u.tobytes()], pa.binary()),
+                "payload": pa.array([len(ids).to_bytes(8, "little") + ids.tobytes() + n.tobytes() + raw.tobytes()], pa.binary()),
                 "low": pa.array([at.min(0)], pa.list_(pa.float64())),
                 "high": pa.array([at.max(0)], pa.list_(pa.float64())),
             }
@@ -81,10 +90,10 @@ def _pack(size: int, axes: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     return pack
 
 
-def _unpack(payload: pa.Buffer, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(payload: pa.Buffer, size: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = int.from_bytes(payload[:8].to_pybytes(), "little")
-    whole = np.frombuffer(payload, np.int64, offset=8)
-    return whole[:k], whole[k : 2 * k], whole[2 * k :].view(np.float64).reshape(k, size)
+    ids, n = np.frombuffer(payload, np.int64, 2 * k, offset=8).reshape(2, k)
+    return ids, n, units(np.frombuffer(payload, kind, offset=8 + 16 * k).reshape(k, size))
 
 
 def link_block_pair(one: np.ndarray, two: np.ndarray, same: bool, least: float, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +134,12 @@ def least_labels(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray
             return labels
 
 
-def _join(batches: Iterator[pa.RecordBatch], size: int, least: float, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], size: int, kind: np.dtype, least: float, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
             same = a.as_py() == b.as_py()
-            ids_a, n_a, one = _unpack(x.as_buffer(), size)
-            ids_b, n_b, two = _unpack(y.as_buffer(), size)
+            ids_a, n_a, one = _unpack(x.as_buffer(), size, kind)
+            ids_b, n_b, two = (ids_a, n_a, one) if same else _unpack(y.as_buffer(), size, kind)
             i, j = link_block_pair(one, two, same, least, axes)
             shift = 0 if same else len(ids_a)
             ids, n = (ids_a, n_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]))
@@ -166,11 +175,13 @@ def block_pairs(blocks: DataFrame, count: int, epsilon: float) -> DataFrame:
 
 def _links_of_size(classes: DataFrame, size: int, least: float) -> DataFrame:
     epsilon = float(np.sqrt(2 - 2 * least))
-    sums = classes.select("vector").mapInArrow(partial(_moments, size=size), "slot int, sums binary").groupBy("slot").applyInArrow(_add, "slot int, sums binary").collect()
+    kind = np.dtype("<f4" if classes.schema["vector"].dataType.elementType == FloatType() else "<f8")
+    rows = max(PIECE, BLOCK_BYTES // (kind.itemsize * size)) if size else 1
+    sums = mapped(classes.select("vector"), partial(_moments, size=size), "slot int, sums binary").groupBy("slot").applyInArrow(_add, "slot int, sums binary").collect()
     total = sum(np.frombuffer(r["sums"], np.float64).reshape(size + 1, size) for r in sums)
     _, axes = np.linalg.eigh(total[1:])
     axes = np.ascontiguousarray(axes[:, ::-1][:, : min(LEADING, size)])
-    placed = classes.select("cls", "n", "vector").mapInArrow(partial(_project, size=size, axes=axes, epsilon=epsilon), "cls long, n long, unit binary, cells array<int>")
+    placed = mapped(classes.select("cls", "n", "vector"), partial(_project, size=size, axes=axes, epsilon=epsilon), "cls long, n long, raw binary, cells array<int>")
     line = cut(placed.orderBy("cells", "cls").drop("cells")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(MASK))
     # A row per partition of the sorted sequence.
     sizes = sorted((r["part"], r["count"]) for r in line.groupBy("part").count().collect())
@@ -181,12 +192,12 @@ def _links_of_size(classes: DataFrame, size: int, least: float) -> DataFrame:
     if not offsets:
         return classes.sparkSession.createDataFrame([], "cls long, root long, links long")
     starts = classes.sparkSession.createDataFrame(offsets, "part int, start long")
-    line = line.join(F.broadcast(starts), "part").withColumn("position", F.col("start") + F.col("at")).withColumn("block", F.expr(f"position div {BLOCK}"))
-    blocks = cut(line.select("block", "position", "cls", "n", "unit").groupBy("block").applyInArrow(_pack(size, axes), "block long, payload binary, low array<double>, high array<double>"))
-    pairs = block_pairs(blocks, -(-before // BLOCK), epsilon)
+    line = line.join(F.broadcast(starts), "part").withColumn("position", F.col("start") + F.col("at")).withColumn("block", F.expr(f"position div {rows}"))
+    blocks = cut(line.select("block", "position", "cls", "n", "raw").groupBy("block").applyInArrow(_pack(size, kind, axes), "block long, payload binary, low array<double>, high array<double>"))
+    pairs = block_pairs(blocks, -(-before // rows), epsilon)
     one, two = (blocks.select(F.col("block").alias(c), F.col("payload").alias(p)) for c, p in (("a", "x"), ("b", "y")))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(partial(_join, size=size, least=least, axes=axes), "cls long, root long, links long")
+    return mapped(both, partial(_join, size=size, kind=kind, least=least, axes=axes), "cls long, root long, links long")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -198,7 +209,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     has another. Other columns are ignored; an empty table gives no rows.
     """
     ready(vectors.sparkSession)
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).withColumn("vector", F.when(linkable(F.col("vector")), F.col("vector")))
+    # Single precision stays as it is stored until it is worked on: half the bytes to move.
+    own = vectors.schema[vector].dataType
+    single = isinstance(own, ArrayType) and own.elementType == FloatType()
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vector")).withColumn("vector", F.when(linkable(F.col("vector")), F.col("vector")))
     grouped = rows.filter("vector is not null").groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     classes = cut(grouped.withColumn("cls", F.monotonically_increasing_id()))
     links = None

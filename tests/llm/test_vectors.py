@@ -43,7 +43,8 @@ def test_against_all_pairs(spark):
 
 
 def test_many_blocks_and_skipped_ones(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 6 * 8)
+    monkeypatch.setattr(vectors, "PIECE", 8)
     monkeypatch.setattr(vectors, "FAN", 2)
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in np.eye(6)[k % 6] + rng.normal(size=6) * 0.1]) for k in range(200)]
@@ -51,6 +52,26 @@ def test_many_blocks_and_skipped_ones(spark, monkeypatch):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()), key=str) == brute(rows)
 
 
+def test_single_precision_columns(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 32 * 8 * 4)
+    monkeypatch.setattr(vectors, "PIECE", 8)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 8)).astype(np.float32)
+    rows = [(k, [float(x) for x in (base[k % 30] + rng.normal(size=8) * rng.choice([0, 0.15, 0.4])).astype(np.float32)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()), key=str)
+    assert got == brute(rows) and any(n for _, n, _ in got)
+
+
+def test_distant_blocks_are_skipped(spark):
+    n, width = 300, 0.3
+    boxes = [(k, [float(k) / 4, 0.0], [float(k) / 4 + width, 1.0]) for k in range(n)]
+    df = spark.createDataFrame(boxes, "block long, low array<double>, high array<double>")
+    got = {(r["a"], r["b"]) for r in vectors.block_pairs(df, n, 0.447).collect()}
+    want = {(a, b) for a in range(n) for b in range(a, n) if max(0.0, (b - a) / 4 - width) <= 0.447}
+    assert got == want and len(got) < 0.02 * n * n
+
+
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first()["kept"] is True
