@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coclave.llm.textvec import mix
-from coclave.runtime import ready
+from coclave.runtime import mapped, ready
 
 CELLS = 1 << 15
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters of text that are worked on at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def trigram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +136,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     share = min(1.0, rows / max(1, usable.select(lang).count()))
     picked = usable.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     counted = (
-        picked.select(F.col(text).cast("string"), F.col(lang).cast("string"))
-        .mapInArrow(_count, "lang string, cell int, n long")
+        mapped(picked.select(F.col(text).cast("string"), F.col(lang).cast("string")), _count, "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -164,7 +163,7 @@ def identify(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(partial(_predict, model=model), "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return mapped(rows, partial(_predict, model=model), "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def _select(batches: Iterator[pa.RecordBatch], model: Mixture, least: float) -> Iterator[pa.RecordBatch]:
@@ -178,4 +177,4 @@ def keep_identified(docs: DataFrame, model: Mixture, text: str = "text", least:
     ready(docs.sparkSession)
     names = docs.columns
     moved = docs.select(text, *(c for c in names if c != text))
-    return moved.mapInArrow(partial(_select, model=model, least=least), moved.schema).select(*names)
+    return mapped(moved, partial(_select, model=model, least=least), moved.schema).select(*names)

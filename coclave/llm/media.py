@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from coclave.runtime import fresh_path, ready
+from coclave.runtime import fresh_path, mapped, ready
 
 ROW = 64
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -89,7 +89,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ArchiveWriter:
-    """For mapInArrow over (key, text): writes archives, yields a manifest row for each that is finished."""
+    """For mapped() over (key, text): writes archives, yields a manifest row for each that is finished."""
 
     def __init__(self, folder: str, archive_bytes: int):
         self.folder, self.archive_bytes = folder, archive_bytes
@@ -131,7 +131,7 @@ def write_archives(docs: DataFrame, key: str, text: str, folder: str, archive_by
     A row's member is named by its key ("null" for a null key). Keys may repeat: members are told apart by offset.
     """
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(ArchiveWriter(folder, archive_bytes).__call__, "archive string, bytes long, members long")
+    return mapped(rows, ArchiveWriter(folder, archive_bytes).__call__, "archive string, bytes long, members long")
 
 
 class ByteRange(InputPartition):
@@ -254,7 +254,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_features(media: DataFrame) -> DataFrame:
     """One row per member: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    return media.select("key", "media").mapInArrow(
+    return mapped(
+        media.select("key", "media"),
         _features, "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coclave.llm.tokens import encoder
-from coclave.runtime import keep, ready
+from coclave.runtime import keep, mapped, ready
 
 #: Ranks of one length that share a join key.
 BLOCK = 256
 #: Characters encoded at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -88,7 +88,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """(key, piece, start, length, ids_crc32): each document's ids with `end_id` behind them, cut only beyond `capacity`."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(
+    return mapped(
+        rows,
         partial(_pieces, path=tokenizer, capacity=capacity, end_id=end_id),
         "key long, piece int, start long, length long, ids_crc32 long",
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coclave.runtime import ready
+from coclave.runtime import mapped, ready
 
 MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -313,5 +313,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     """
     ready(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(page).cast("string"))
-    done = rows.mapInArrow(partial(_extract, field=field or train()), "page_id long, url string, text string, n_chars long")
+    done = mapped(rows, partial(_extract, field=field or train()), "page_id long, url string, text string, n_chars long")
     return done.withColumnRenamed("page_id", key).withColumnRenamed("url", url)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coclave.llm.textvec import LOWER, SPACE, distinct, mix, span_hashes
-from coclave.runtime import ready
+from coclave.runtime import mapped, ready
 
 WORD_SLOTS = 1 << 20
 MEASURES, BINS = 7, 12
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, key: str = "doc_id",
     share = min(1.0, rows / max(1, graded.count()))
     picked = graded.filter(F.pmod(F.xxhash64(F.col("__key").cast("string")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     joined = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null").join(F.broadcast(picked), "__key")
-    found = joined.select("text", "grade").mapInArrow(_featurise, "grade int, slots binary").toArrow().combine_chunks()
+    found = mapped(joined.select("text", "grade"), _featurise, "grade int, slots binary").toArrow().combine_chunks()
     return train(found.column("grade").to_numpy().astype(np.int64), [np.frombuffer(s, "<i4").astype(np.int64) for s in found.column("slots").to_pylist()])
 
 
@@ -172,7 +172,7 @@ def grade_documents(docs: DataFrame, model: Grades, level: int = 2, least: float
     ready(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary"))
-    done = rows.mapInArrow(partial(_grade_given, given=given, level=level, least=least), "key long, expected_grade double, tail double, kept boolean")
+    done = mapped(rows, partial(_grade_given, given=given, level=level, least=least), "key long, expected_grade double, tail double, kept boolean")
     return done.withColumnRenamed("key", key)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coclave.runtime import ready
+from coclave.runtime import mapped, ready
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns. Bounds on length that cannot change which runs match are in the pattern, the others are tested after it.
@@ -224,12 +224,12 @@ def fit(docs: DataFrame, text: str = "text", false_discoveries: float = 0.01) ->
     """A scanner with the character counts and cuts of all documents."""
     ready(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text")).filter("text is not null")
-    counted = texts.mapInArrow(_characters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    counted = mapped(texts, _characters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = [0] * 128
     for r in counted:
         counts[r["code"]] = r["n"]
     scanner = Scanner(counts)
-    binned = texts.mapInArrow(scanner.histogram, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
+    binned = mapped(texts, scanner.histogram, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
     for level in {r["level"] for r in binned}:
         own = {r["bin"]: r["n"] for r in binned if r["level"] == level}
         total, above = sum(own.values()), 0
@@ -249,7 +249,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scann
     scanner = scanner or fit(docs, text)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     out = "key long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return rows.mapInArrow(scanner.digest, out).withColumnRenamed("key", key)
+    return mapped(rows, scanner.digest, out).withColumnRenamed("key", key)
 
 
 def hide_secrets(docs: DataFrame, text: str = "text", scanner: Scanner | None = None) -> DataFrame:
@@ -257,4 +257,4 @@ def hide_secrets(docs: DataFrame, text: str = "text", scanner: Scanner | None =
     scanner = scanner or fit(docs, text)
     names = docs.columns
     moved = docs.select(text, *(c for c in names if c != text))
-    return moved.mapInArrow(scanner.hide, moved.schema).select(*names)
+    return mapped(moved, scanner.hide, moved.schema).select(*names)

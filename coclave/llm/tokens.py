@@ -33,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Keeps the ids of up to `most` distinct words between calls; at that number it starts anew."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 18):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         letters = byte_letters()
         self.written = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
