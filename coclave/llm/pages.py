@@ -1,8 +1,9 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the document tree.
 
 A leaf block is the text between two borders of block-level elements. Its features are the tags, classes and ids of its
-ancestors and the look of its text; two labels, kept or not, are chained by transition weights. The field is trained on labelled
-pages that a seeded generator writes (fixed number, so the fitted weights have a fixed size) and decoded by Viterbi's algorithm.
+ancestors, the look of its text and its neighbours' sizes, where it stands, and telling words in it and in the heading above it;
+two labels, kept or not, are chained by transition weights. The field is trained on labelled pages that a seeded generator writes
+(fixed number, so the fitted weights have a fixed size), with and without names for their parts, and decoded by Viterbi's algorithm.
 """
 
 from __future__ import annotations
@@ -24,15 +25,34 @@ MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements whose content is not text, elements without content, and elements that do not end a block.
-RAW = frozenset("script style noscript template textarea svg iframe object canvas math".split())
+RAW = frozenset("script style noscript template textarea svg iframe object canvas annotation".split())
+#: Of these, those that a page cannot lose its rest to: without an end, or ended in their own tag, they are empty.
+EMPTY = frozenset("svg object canvas annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LANDMARKS = frozenset("article aside body details dialog fieldset figure footer form head header main nav section title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    + "math mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded semantics".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of texts that tell what a short block, or what stands under a heading, is for.
+TELLING = {
+    "menu": "home news sport about contact menu products services next previous categories sitemap login".split(),
+    "header": "welcome portal magazine daily online skip".split(),
+    "footer": "copyright rights reserved privacy terms powered imprint ©".split(),
+    "sidebar": "related popular trending recent read more tags archive latest".split(),
+    "notice": "cookie cookies accept consent policy subscriber javascript".split(),
+    "ad": "sponsored advertisement advert ad buy sale offer discount".split(),
+    "form": "subscribe newsletter email password sign register search send".split(),
+    "comment": "reply replies comment comments responses wrote says report".split(),
+    "share": "share tweet follow print facebook twitter".split(),
+}
+TOLD = frozenset(w for ws in TELLING.values() for w in ws)
+#: Words beyond which a block's words tell nothing.
+SHORT = 25
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
@@ -76,9 +96,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name == "br":
             parts.append(" ")
         elif name in RAW and not ends:
-            if (end := re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)) is None:
+            if name in EMPTY and (m[3] or m[6] or "").rstrip().endswith("/"):
+                continue
+            if (end := re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)) is not None:
+                at = end.end()
+            elif name not in EMPTY:
                 return close() or blocks
-            at = end.end()
         elif name in INLINE:
             if name == "a":
                 in_link = not ends
@@ -95,7 +118,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "td", "th", "option")):
                 stack.pop()
             if name not in VOID:
-                words = [w for x in ATTRIBUTE.finditer(m[3] or m[6] or "") for w in WORD.findall((x[2] or x[3] or x[4] or "").lower())]
+                named = (x for x in ATTRIBUTE.finditer(m[3] or m[6] or "") if x[1].lower() in ("class", "id", "role"))
+                words = [w for x in named for w in WORD.findall((x[2] or x[3] or x[4] or "").lower())]
                 stack.append((name, ("in:" + name, *("word:" + w for w in words))))
     say(page[at:])
     close()
@@ -103,18 +127,36 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
 
 
 def features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str, ...]]:
+    """Of each block: its ancestors, its look and its neighbours' size, where it stands, the telling words in it and in the heading
+    above it; the look again together with the kind of place: in an article, under names of any kind, or neither."""
     out = []
-    for text, own, links in blocks:
-        n = len(text)
+    sizes = [min(len(text).bit_length(), 9) for text, _, _ in blocks]
+    titles = [k for k, (_, own, _) in enumerate(blocks) if "parent:h1" in own]
+    above: tuple[str, ...] = ()
+    for k, (text, own, links) in enumerate(blocks):
+        said = set(WORD.findall(text.lower())) | ({"©"} if "©" in text else set()) if text.count(" ") < SHORT else set()
+        told = sorted(said & TOLD)
+        end = "ends" if text[-1] in ".!?…”\"'" else "open"
+        article = "in:article" in own or "in:main" in own
+        place = "article" if article else "named" if any(f[5:] in KNOWN for f in own if f.startswith("word:")) else "bare"
         look = (
-            "bias",
             f"links:{int(links * 3.999)}",
-            f"size:{min(n.bit_length(), 9)}",
-            "ends" if text[-1] in ".!?…”\"'" else "open",
-            "©" if "©" in text[:3] else "plain",
+            f"size:{sizes[k]}",
+            end,
             f"words:{min(text.count(' '), 6)}",
+            f"{end}:{sizes[k]}",
+            f"before:{sizes[k - 1] if k else 'none'}",
+            f"after:{sizes[k + 1] if k + 1 < len(blocks) else 'none'}",
+            f"at:{5 * k // len(blocks)}",
+            "first" if not k else "last" if k + 1 == len(blocks) else "inner",
+            "untitled" if not titles else "title" if k in titles else "over" if k < titles[0] else "beneath",
+            *(f"says:{w}" for w in told),
+            *(f"under:{w}" for w in above),
         )
-        out.append((*own, *look))
+        named = (f"article:{f}" for f in own if article and f.startswith(("word:", "mark:")))
+        out.append(("bias", *own, *look, *(f"{place}/{f}" for f in look), *named))
+        if any(f"parent:{h}" in own for h in HEADINGS):
+            above = tuple(told)
     return out
 
 
@@ -160,90 +202,161 @@ BOILER = {
     "comment": "comment comments reply replies respond discussion disqus thread responses feedback reader".split(),
     "share": "share sharing social follow like tweet buttons tools toolbar".split(),
 }
+#: Words that name parts of articles as often as parts of pages; and names that say nothing.
+EITHER = "message info more text top site head link links recent tags follow like tools thread reader feedback bottom legal lead note box item section panel".split()
+NEUTRAL = "row col box wrap inner block container outer css grid cell left right center unit".split()
+KNOWN = frozenset(BODY).union(*BOILER.values())
 TAGS = {"menu": "nav nav div ul", "header": "header header div", "footer": "footer footer div", "sidebar": "aside aside div section", "notice": "div div section aside dialog p", "ad": "div div aside section p", "form": "form form div", "comment": "section section div div ol article", "share": "div ul"}
 
 
 def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A page and whether each of its leaf blocks belongs to the article. Texts on both sides look alike."""
+    """A page and whether each of its leaf blocks belongs to the article.
+
+    Most pages have elements or names for their parts, and then texts on both sides look alike. The others have bare or neutrally
+    named boxes or table cells, and what is not the article shows by shorter texts, links, telling words and where it stands.
+    """
     labels: list[bool] = []
     syllables = [c + v for c in "bcdfglmnprst" for v in "aeiou"]
+    style = rng.choices(("parts", "boxes", "table"), (6, 3, 1))[0]
 
-    def words(least: int, most: int) -> str:
+    def words(least: int, most: int, marks: tuple[str, ...] = ("", ".", ".", "!", "?")) -> str:
         said = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(least, most)))
-        return (said.capitalize() + rng.choice(("", ".", ".", "!", "?"))) if said else said
+        return said.capitalize() + rng.choice(marks)
+
+    def telling(kind: str, text: str, share: float) -> str:
+        if rng.random() >= share:
+            return text
+        told = rng.sample(TELLING[kind], min(len(TELLING[kind]), rng.choice((1, 1, 2, 3))))
+        parts = text.split()
+        for w in told:
+            parts.insert(rng.randint(0, len(parts)), w if rng.random() < 0.5 else w.capitalize())
+        return " ".join(parts)
+
+    def neutral() -> str:
+        return f' class="{rng.choice((rng.choice(NEUTRAL), rng.choice("abcdefgh") + str(rng.randint(1, 99))))}{rng.choice(("", "-1", "-wide", f"-{rng.choice(NEUTRAL)}"))}"' if rng.random() < 0.3 else ""
 
     def leaf(tag: str, text: str, keep: bool) -> str:
         labels.append(keep)
-        if keep and rng.random() < 0.15:
-            text = f"<b>{text}</b>" if rng.random() < 0.7 else f'{text} <a href="/x">{words(1, 3)}</a>.'
-        return f"<{tag}>{text}</{tag}>"
+        mark = ""
+        if keep:
+            text = telling(rng.choice(list(TELLING)), text, 0.05)
+            if rng.random() < 0.12:
+                mark = f' {rng.choice(("class", "class", "id"))}="{rng.choice(EITHER + BODY)}"'
+            elif rng.random() < 0.04:
+                mark = f' data-{rng.choice(("id", "class", "role"))}="{rng.choice(BOILER[rng.choice(list(BOILER))])}"'
+            if rng.random() < 0.15:
+                text = f"<b>{text}</b>" if rng.random() < 0.7 else f'{text} <a href="/x">{words(1, 3)}</a>.'
+        return f"<{tag}{mark}>{text}</{tag}>"
 
     def paragraphs(least: int, most: int, keep: bool) -> str:
         return "".join(leaf(rng.choice(("p", "p", "p", "p", "h2", "h3", "li", "blockquote", "pre", "div")), words(*rng.choice(((1, 2), (3, 15), (15, 60)))), keep) for _ in range(rng.randint(least, most)))
 
-    def named(kind: str) -> tuple[str, str]:
+    def named(kind: str, inside: bool) -> tuple[str, str]:
         tag = rng.choice(TAGS[kind].split())
-        telling = "div ul section article ol p".split()
-        word = rng.choice(BOILER[kind])
+        need = "div ul section article ol p".split()
+        word = rng.choice([w for w in BOILER[kind] if not (inside and w in EITHER)])
         if rng.random() < 0.3:
             word += rng.choice(("-", "_", " ")) + rng.choice(("box", "wrap", "area", "inner", "list", "item", "block", "container", rng.choice(BOILER[kind])))
-        mark = f' {rng.choice(("class", "class", "id"))}="{word}"' if tag in telling or rng.random() < 0.5 else ""
+        mark = f' {rng.choice(("class", "class", "id"))}="{word}"' if tag in need or rng.random() < 0.5 else ""
         return tag, mark
 
-    def boiler(kind: str) -> str:
-        tag, mark = named(kind)
+    def boiler(kind: str, inside: bool = False) -> str:
+        tag, mark = named(kind, inside)
         if tag == "p" or kind != "menu" and rng.random() < 0.35:
             labels.append(False)
             link = rng.random() < 0.3
-            text = ("&copy; " if kind == "footer" and rng.random() < 0.7 else "") + words(2, 25)
+            text = ("&copy; " if kind == "footer" and rng.random() < 0.6 else "") + telling(kind, words(2, 25), 0.3)
             return f"<{tag}{mark}>" + (f'<a href="/y">{text}</a>' if link else text) + f"</{tag}>"
-        inside = ""
+        held = ""
         if kind in ("menu", "share") or rng.random() < 0.2:
             item = "li" if tag in ("ul", "ol", "nav") else rng.choice(("li", "div", "p"))
             for _ in range(rng.randint(2, 7)):
                 labels.append(False)
-                inside += f'<{item}><a href="/z">{words(1, 3)}</a></{item}>'
-            inside = f"<ul>{inside}</ul>" if item == "li" and tag not in ("ul", "ol") else inside
+                held += f'<{item}><a href="/z">{telling(kind, words(1, 3), 0.3)}</a></{item}>'
+            held = f"<ul>{held}</ul>" if item == "li" and tag not in ("ul", "ol") else held
         elif kind == "form":
             for _ in range(rng.randint(1, 3)):
                 labels.append(False)
-                inside += f"<div><label>{words(1, 3)}</label><input name=q></div>"
+                held += f"<div><label>{telling(kind, words(1, 3), 0.4)}</label><input name=q></div>"
             labels.append(False)
-            inside += f"<button>{words(1, 2)}</button>"
+            held += f"<button>{words(1, 2)}</button>"
         elif kind == "comment":
             for _ in range(rng.randint(1, 4)):
                 a = rng.choice(("div", "li", "article"))
-                inside += f'<{a} class="{rng.choice(BOILER[kind])}">' + leaf("p", words(3, 40), False) + f"</{a}>"
+                held += f'<{a} class="{rng.choice(BOILER[kind])}">' + leaf("p", words(3, 40), False) + f"</{a}>"
         else:
-            inside = paragraphs(1, 3, False)
+            held = paragraphs(1, 3, False)
             if kind == "header" and rng.random() < 0.4:
-                inside = leaf("h1", words(1, 4), False) + inside
-        return f"<{tag}{mark}>{inside}</{tag}>"
-
-    def some(kinds: str, share: float) -> str:
-        return "".join(boiler(k) for k in kinds.split() if rng.random() < share)
+                held = leaf("h1", words(1, 4), False) + held
+        return f"<{tag}{mark}>{held}</{tag}>"
+
+    def bare(kind: str) -> str:
+        """What boiler() writes, without an element or a name that says what it is."""
+        box = rng.choice(("div", "div", "p")) if kind not in ("menu", "comment", "sidebar") else "div"
+        if kind == "menu" and rng.random() < 0.6:
+            several = rng.choice((True, False))
+            items = [telling(kind, words(1, 2, ("",)), 0.6) for _ in range(rng.randint(2, 7))]
+            labels.extend([False] * (len(items) if several else 1))
+            items = [f'<a href="/z">{i}</a>' for i in items] if rng.random() < 0.6 else items
+            return f"<div{neutral()}>" + ("".join(f"<div>{i}</div>" for i in items) if several else rng.choice((" ", " | ", " &middot; ")).join(items)) + "</div>"
+        if kind in ("comment", "sidebar"):
+            head = leaf(rng.choice(("h2", "h3", "h4", "div")), " ".join(w.capitalize() for w in rng.sample(TELLING[kind], rng.choice((1, 1, 2)))), False)
+            many = rng.randint(1, 4)
+            inside = "".join(leaf("p", words(3, 30), False) if kind == "comment" else (labels.append(False) or f'<div><a href="/r">{words(2, 8)}</a></div>') for _ in range(many))
+            return f"<div{neutral()}>{head}{inside}</div>"
+        if kind == "form":
+            labels.append(False)
+            return f"<div{neutral()}>{telling(kind, words(0, 4, ('', ':')), 0.9)} <input name=q></div>"
+        labels.append(False)
+        text = telling(kind, words(1, 3 if kind == "header" else 9, ("", "", ".")), 0.2 if kind == "header" else 0.9)
+        if kind == "footer":
+            text = rng.choice(("&copy; 2024 ", "Copyright 2019 ", "Copyright &copy; ", "")) + text + rng.choice(("", " All rights reserved", " All rights reserved."))
+        return f"<{box}{neutral()}>" + (f'<a href="/y">{text}</a>' if rng.random() < 0.3 else text) + f"</{box}>"
+
+    def some(kinds: str, share: float, inside: bool = False) -> str:
+        return "".join(boiler(k, inside) if style == "parts" else bare(k) for k in kinds.split() if rng.random() < share)
+
+    def article() -> str:
+        title = leaf("h1", words(1, 12), True) if rng.random() < 0.85 else ""
+        text = title
+        if style == "parts":
+            text = f"<header>{title}</header>" if title and outer == "article" and rng.random() < 0.1 else title
+            text += some("share notice ad", 0.12, True)
+            if rng.random() < 0.15:  # text with no element of its own
+                labels.append(True)
+                text += words(5, 60)
+            text += paragraphs(1, 7, True)
+            if rng.random() < 0.4:
+                text += some("ad notice form sidebar share", 0.3, True) + paragraphs(0, 5, True)
+            return text + some("share comment form ad", 0.25, True)
+        for _ in range(rng.randint(2, 7)):
+            text += leaf(rng.choice(("p", "p", "p", "div", "blockquote", "li")), words(*rng.choice(((4, 12), (12, 60), (12, 60)))), True) if rng.random() < 0.9 else leaf("h2", words(1, 6, ("", "", "?")), True)
+        return text
 
     labels.append(False)
     page = f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>"
+    if style == "table":
+        page += "<table>" + (f"<tr><td colspan=2>{some('header', 1.0)}</td></tr>" if rng.random() < 0.6 else "") + "<tr>"
+        left = rng.random() < 0.7
+        page += f"<td{neutral()}>{some('menu menu ad', 0.7)}</td>" if left else ""
+        page += f"<td{neutral()}>{article()}</td>"
+        page += f"<td>{some('menu sidebar ad form', 0.5)}</td>" if not left or rng.random() < 0.3 else ""
+        return page + "</tr>" + (f"<tr><td colspan=3>{some('footer footer', 0.8)}</td></tr>" if rng.random() < 0.8 else "") + "</table></body></html>", labels
+    if style == "boxes":
+        page += some("notice header menu ad", 0.6)
+        inner = rng.choice(("div", "div", "center", ""))
+        page += (f"<{inner}{neutral()}>" if inner else "") + article() + (f"</{inner}>" if inner else "")
+        return page + some("sidebar comment form ad footer menu footer", 0.45) + "</body></html>", labels
+    around = lambda: " ".join(rng.sample(BODY + EITHER + ["wrapper", "container", "layout"], rng.randint(1, 3)))
+    if rng.random() < 0.4:  # names of the whole page say nothing of its parts
+        page = page[: -len("<body>")] + f'<body class="{around()}"><div id="{around()}">'
     page += some("notice header menu ad menu form", 0.5)
     outer = rng.choice(("article", "article", "main", "div", "section"))
     mark = f' {rng.choice(("class", "id"))}="{rng.choice(BODY)}"' if outer in ("div", "section") and rng.random() < 0.9 or rng.random() < 0.3 else ""
     wrap = rng.random() < 0.4
-    page += '<div class="wrapper container">' if wrap else ""
+    page += f'<div class="{rng.choice(("wrapper container", around()))}">' if wrap else ""
     page += some("menu sidebar", 0.2) if wrap else ""
-    page += f"<{outer}{mark}>"
-    if rng.random() < 0.85:
-        title = leaf("h1", words(1, 12), True)
-        page += f"<header>{title}</header>" if outer == "article" and rng.random() < 0.1 else title
-    page += some("share notice ad", 0.12)
-    if rng.random() < 0.15:  # text with no element of its own
-        labels.append(True)
-        page += words(5, 60)
-    page += paragraphs(1, 7, True)
-    if rng.random() < 0.4:
-        page += some("ad notice form sidebar share", 0.3) + paragraphs(0, 5, True)
-    page += some("share comment form ad", 0.15)
-    page += f"</{outer}>"
+    page += f"<{outer}{mark}>" + article() + f"</{outer}>"
     page += some("share sidebar comment", 0.3)
     page += "</div>" if wrap else ""
     page += some("sidebar comment ad form footer footer notice", 0.5)
@@ -251,7 +364,7 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=1)
-def train(pages: int = 500, rounds: int = 100, seed: int = 9, penalty: float = 0.3) -> Field:
+def train(pages: int = 900, rounds: int = 100, seed: int = 9, penalty: float = 0.3) -> Field:
     """Conditional log-likelihood of the labelled pages, by gradient ascent with per-weight steps."""
     rng = random.Random(seed)
     rows, labels = [], []
@@ -265,21 +378,18 @@ def train(pages: int = 500, rounds: int = 100, seed: int = 9, penalty: float = 0
     most = max(map(len, rows))
     inside = np.zeros((pages, most), bool)
     gold = np.zeros((pages, most), np.int64)
-    flat = np.zeros((sum(map(len, rows)), len(names)), np.float32)
-    at = 0
     for p, page in enumerate(rows):
         inside[p, : len(page)] = True
         gold[p, : len(page)] = labels[p]
-        for row in page:
-            flat[at, [names[f] for f in row]] = 1
-            at += 1
+    has = [sorted({names[f] for f in row}) for page in rows for row in page]
+    block, feature = np.repeat(np.arange(len(has)), [len(x) for x in has]), np.concatenate(has)
     w, steps = np.zeros(len(names)), np.zeros((2, 2))
     sums = [np.full_like(w, 1e-6), np.full_like(steps, 1e-6)]
     both = inside[:, 1:] & inside[:, :-1]
     seen = np.array([[(both & (gold[:, :-1] == a) & (gold[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
     for _ in range(rounds):
         score = np.zeros((pages, most, 2))
-        score[..., 1][inside] = flat @ w
+        score[..., 1][inside] = np.bincount(block, w[feature], len(has))
         forward, backward = np.zeros_like(score), np.zeros_like(score)
         forward[:, 0] = score[:, 0]
         for t in range(1, most):
@@ -293,7 +403,7 @@ def train(pages: int = 500, rounds: int = 100, seed: int = 9, penalty: float = 0
         for a in (0, 1):
             for b in (0, 1):
                 pair[a, b] = np.exp(forward[:, :-1, a] + steps[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total)[both].sum()
-        for value, slope, held in ((w, flat.T @ (gold - chance)[inside] - penalty * w, sums[0]), (steps, seen - pair - penalty * steps, sums[1])):
+        for value, slope, held in ((w, np.bincount(feature, (gold - chance)[inside][block], len(w)) - penalty * w, sums[0]), (steps, seen - pair - penalty * steps, sums[1])):
             held += slope**2
             value += 0.5 * slope / np.sqrt(held)
     return Field({f: float(w[k]) for f, k in names.items()}, steps.tolist())

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from coclave.llm import pages
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
@@ -14,6 +16,46 @@ def test_a_page():
     assert pages.train().extract(PAGE) == WANT
 
 
+#: Layouts that the generator does not write, and the blocks of their article.
+STORM = "<h1>Storm hits the coast</h1><p>A heavy storm reached the northern coast on Monday evening and damaged several houses.</p><p>Nobody was hurt, officials said on Tuesday.</p>"
+STORM_TEXT = "Storm hits the coast A heavy storm reached the northern coast on Monday evening and damaged several houses. Nobody was hurt, officials said on Tuesday."
+NAV, FOOT = "<nav><a href='/'>Home</a></nav>", "<footer>&copy; me</footer>"
+LAYOUTS = {
+    "bare boxes": (f"<title>t</title><body><div>Home News Sport</div><div>{STORM}</div><div>Copyright 2020 Example Ltd. All rights reserved.</div>", STORM_TEXT),
+    "table": (f"<table><tr><td><a href='/'>Home</a><br><a href='/n'>News</a></td><td>{STORM}</td></tr><tr><td colspan=2>Copyright 2020 Example Ltd</td></tr></table>", STORM_TEXT),
+    "message in article": (f"{NAV}<article><h1>Title here</h1><div class='message'>It was sent by ship in the spring.</div><p>More text follows.</p></article>{FOOT}", "Title here It was sent by ship in the spring. More text follows."),
+    "more in article": (f"{NAV}<article><h1>Title here</h1><p>First text.</p><p class='more'>The rest of the story is told here.</p></article>{FOOT}", "Title here First text. The rest of the story is told here."),
+    "data attributes": (f"{NAV}<article><h1>Title here</h1><p data-id='nav menu' data-class='sidebar' title='a class=nav'>First text.</p><p>Second.</p></article>{FOOT}", "Title here First text. Second."),
+    "graphics and formulae": (f"{NAV}<article><h1>Title <svg viewBox='0 0 1 1'/> here</h1><p>Area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<svg><text>no</text></svg></p><p>Last line.</p></article>{FOOT}", "Title here Area x=2 holds. Last line."),
+    "main": (
+        "<header><h1>My Site</h1><p>A site about things</p></header><div id='cookie-banner'>We use cookies.<button>Accept</button></div><main><h1>Cooking rice</h1><p>Wash the rice twice.</p><div class='advertisement'>Buy the best pot now!</div>"
+        "<p>Boil it for ten minutes.</p><ul><li>One cup of rice</li></ul><section class='comments'><h2>Comments</h2><p>Great recipe, thanks.</p></section></main><aside><h3>Related</h3><a href='/x'>Pasta</a></aside><footer>Contact us</footer>",
+        "Cooking rice Wash the rice twice. Boil it for ten minutes. One cup of rice",
+    ),
+    "names around the whole page": (
+        "<body class='post-template single'><div id='page' class='site'><div id='masthead' class='site-header'><a href='/'>Blog of Ann</a></div><div id='content' class='site-content'><div class='entry-content'><h1 class='entry-title'>On walking</h1><p>I walked for days.</p><p>It rained.</p>"
+        "<div class='share'><a href='#'>Tweet</a></div></div><div id='comments' class='comments-area'><p>Nice post!</p></div></div><div id='secondary' class='widget-area'><p>Archives</p></div><div id='colophon' class='site-footer'>Proudly powered</div></div>",
+        "On walking I walked for days. It rained.",
+    ),
+    "names that say nothing": (
+        "<div>The Daily Paper</div><div><a href='/a'>Politics</a> | <a href='/b'>Culture</a> | <a href='/c'>Login</a></div><div class='c1'><div class='c2'><h1>Bridge closed</h1><div>The old bridge over the river was closed this morning, after engineers found cracks in two of its pillars.</div>"
+        "<div>It will stay closed until the end of May.</div></div></div><div class='c3'>Subscribe to our newsletter <input></div><div class='c4'>&copy; 2024 The Daily Paper</div>",
+        "Bridge closed The old bridge over the river was closed this morning, after engineers found cracks in two of its pillars. It will stay closed until the end of May.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_other_layouts(name):
+    page, wanted = LAYOUTS[name]
+    assert pages.train().extract(f"<!DOCTYPE html><html>{page}</html>") == wanted
+
+
+def test_unclosed_graphics_lose_nothing():
+    assert [t for t, _, _ in pages.leaf_blocks("<p>a<svg><p>b</p>")] == ["a", "b"] and [t for t, _, _ in pages.leaf_blocks("<p>a<svg/></p><p>b</p><svg></svg>")] == ["a", "b"]
+    assert [t for t, _, _ in pages.leaf_blocks("<p>a<script>b</p>")] == ["a"]
+
+
 def test_held_out_accuracy():
     rng, field = random.Random(1234), pages.train()
     right = total = 0
