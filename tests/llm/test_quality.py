@@ -31,3 +31,49 @@ def test_odd_rows(spark):
     assert quality.grade_documents(odd.empty(spark), model).count() == 0
     none = quality.fit(docs, labels.filter("false"), F.col("grade"))
     assert quality.grade_documents(docs, none).count() == len(odd.rows())
+
+
+def test_slope_against_differences():
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 60)
+    slots = [np.unique(rng.integers(0, 12, 5)) for _ in grades]
+    likelihood = quality.Likelihood(grades, slots, np.arange(12), 2, 0.7)
+    x = np.concatenate([rng.normal(size=12), [-0.4, 0.3]])
+    brute = 0.35 * float(x[:12] @ x[:12])
+    for g, s in zip(grades, slots, strict=True):
+        cuts = [-np.inf, x[12], x[12] + np.exp(x[13]), np.inf]
+        upto = [1 / (1 + np.exp(-(c - x[s].sum()))) for c in cuts]
+        brute -= np.log(upto[g + 1] - upto[g])
+    value, slope = likelihood(x)
+    assert abs(value - brute / 60) < 1e-9
+    for k in range(len(x)):
+        step = np.eye(len(x))[k] * 1e-5
+        assert abs((likelihood(x + step)[0] - likelihood(x - step)[0]) / 2e-5 - slope[k]) < 1e-7
+
+
+def test_only_telling_slots_get_weights():
+    rng = np.random.default_rng(6)
+    grades = np.arange(600) % 3
+    slots = [np.unique(np.concatenate([rng.integers(10, 2000, 40), [g] if rng.random() < 0.8 else []])).astype(np.int64) for g in grades]
+    used = quality.telling(grades, slots)
+    assert {0, 1, 2} <= set(used.tolist()) and len(used) <= 5
+    held = [np.array([g]) for g in (0, 1, 2)]
+    assert quality.surprise(quality.train(grades, slots), np.array([0, 1, 2]), held) < 0.5
+    assert quality.choose_penalty(grades, slots) in quality.PENALTIES
+
+
+def test_held_out_poor_and_toxic_documents(spark):
+    """On noise words that no grade depends on, few of the lower grades are kept."""
+    rng = random.Random(8)
+    docs = []
+    for k in range(3000):
+        g = 0 if k % 9 == 0 else 1 if k % 9 == 1 else 2
+        text = [f"n{rng.randrange(4000)}" for _ in range(rng.randint(20, 200))]
+        text = [w + rng.choice(("###", "$$$")) for w in text] if g == 1 else text
+        text[0:0] = [rng.choice(("vile", "foul", "rotten"))] if g == 0 else []
+        docs.append((k, " ".join(text), g))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, grade int")
+    model = quality.fit(frame.filter("doc_id < 2000"), frame.filter("doc_id < 2000"), F.col("grade"))
+    held = frame.filter("doc_id >= 2000")
+    shares = {r["grade"]: r["kept"] for r in quality.grade_documents(held, model).join(held, "doc_id").groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert shares[0] < 0.1 and shares[1] < 0.1 and shares[2] > 0.95
