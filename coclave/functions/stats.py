@@ -90,3 +90,18 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 def uniform_sql(seed: int, *parts: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {' || chr(124) || '.join(f'{p}::VARCHAR' for p in parts)}), 1, 12))::BIGINT / {float(1 << 48)}::DOUBLE)"
+
+
+def now_millis() -> Column:
+    """Milliseconds since 1970, the same for all rows of a query."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def list_text(values: Column) -> Column:
+    """An array as JSON text."""
+    return F.to_json(values)
+
+
+def text_list(text: Column, kind: str = "double") -> Column:
+    """JSON text as an array; null where it is none."""
+    return F.from_json(text, f"array<{kind}>")

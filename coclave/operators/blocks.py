@@ -61,38 +61,76 @@ def coinclusion(groups: DataFrame, run_blocks: DataFrame, n_runs: int) -> DataFr
     )
 
 
-def pick_columns(blocks: dict[str, list[str]], exclusions: list[list[str]], n_runs: int, mean: float, spread: float, share_excluded: float = 0.25, seed: int = 1) -> list[dict]:
-    """Columns for each run, one run after another: {"blocks", "cols", "excluded"}.
+def inclusion_weights(groups: DataFrame, weight: float = 2.0) -> DataFrame:
+    """(x, y, weight), symmetric: blocks that stand in one group go together with this weight."""
+    return block_pairs(groups).withColumn("weight", F.lit(float(weight)))
 
-    A run leaves out the columns of one exclusion group and adds blocks by weight until it has round(mean + spread * Gamma(1, 2))
-    columns, or a block adds none. What has been in many runs weighs less. Each choice depends on those before it, so this is a
-    loop over block names on the driver; no rows are touched.
+
+def random_exclusions(sizes: dict[str, int], n: int, columns: int, share: float = 0.1, seed: int = 1) -> list[list[str]]:
+    """n groups of blocks drawn with replacement, each until its blocks have round(share * columns) columns together.
+
+    A block may stand in a group twice and then counts twice. No block has a column: ValueError, as no group would ever fill up.
+    """
+    rng, wanted, names = random.Random(seed), round(share * columns), list(sizes)
+    if wanted > 0 and not any(sizes.values()):
+        raise ValueError("the blocks have no columns")
+    groups = []
+    for _ in range(n):
+        group: list[str] = []
+        while sum(sizes[b] for b in group) < wanted:
+            group.append(rng.choice(names))
+        groups.append(group)
+    return groups
+
+
+class Picker:
+    """Chooses the blocks of runs one after another, by weights that follow what has been chosen.
+
+    A block that is in a share r of runs weighs 1 + 1e-9 - r, and times the sum of `together` over the run's blocks so far where that
+    is not 0. An exclusion group that has been left out by a share r weighs (1 + 1e-9 - r) ** |share_excluded - r|. With each choice
+    all blocks of the run so far count once more. Each choice depends on those before it, so this is a loop over block names on the
+    driver; no rows are touched.
     """
-    rng = random.Random(seed)
-    inside, outside = dict.fromkeys(blocks, 0.0), [0.0] * len(exclusions)
-    runs = []
 
-    def draw(weights: dict) -> object:
-        return max(weights, key=lambda k: rng.random() ** (1 / weights[k]) if weights[k] > 0 else -1.0)
+    def __init__(self, blocks: dict[str, list[str]], exclusions: list[list[str]], n_runs: int, together: dict[tuple[str, str], float] | None = None, share_excluded: float = 0.25, seed: int = 1):
+        self.blocks, self.exclusions, self.step = blocks, exclusions, 1 / n_runs
+        self.together, self.share, self.rng = together or {}, share_excluded, random.Random(seed)
+        self.inside, self.outside = dict.fromkeys(blocks, 0.0), [0.0] * len(exclusions)
+
+    def draw(self, weights: dict) -> object:
+        return max(weights, key=lambda k: self.rng.random() ** (1 / weights[k]) if weights[k] > 0 else -1.0)
+
+    def weight(self, block: str, chosen: list[str]) -> float:
+        with_chosen = sum(self.together.get((b, block), 0.0) for b in chosen)
+        return (1 + 1e-9 - self.inside[block]) * (with_chosen or 1.0)
 
-    for _ in range(n_runs):
-        wanted = round(mean + spread * rng.gammavariate(1, 2))
+    def run(self, wanted: int) -> dict:
         left_out: list[str] = []
-        if exclusions:
-            k = draw({i: (1 + 1e-9 - r) ** abs(share_excluded - r) for i, r in enumerate(outside)})
-            left_out = exclusions[k]
-            outside[k] += 1 / n_runs
-        barred = {c for b in left_out for c in blocks.get(b, [])}
-        open_ = [b for b in blocks if b not in left_out]
-        chosen, cols = [], {}
+        if self.exclusions:
+            k = self.draw({i: (1 + 1e-9 - min(r, 1.0)) ** abs(self.share - r) for i, r in enumerate(self.outside)})
+            left_out = self.exclusions[k]
+            self.outside[k] += self.step
+        barred = {c for b in left_out for c in self.blocks.get(b, [])}
+        open_ = [b for b in self.blocks if b not in left_out]
+        chosen: list[str] = []
+        cols: dict[str, None] = {}
         while len(cols) < wanted and open_:
-            block = draw({b: 1 + 1e-9 - min(inside[b], 1.0) for b in open_})
+            block = self.draw({b: self.weight(b, chosen) for b in open_})
             before = len(cols)
             chosen.append(block)
-            cols.update(dict.fromkeys(c for c in blocks[block] if c not in barred))
+            cols.update(dict.fromkeys(c for c in self.blocks[block] if c not in barred))
+            for b in set(chosen):
+                self.inside[b] += self.step
             if len(cols) == before:
                 break
-        for b in set(chosen):
-            inside[b] += 1 / n_runs
-        runs.append({"blocks": chosen, "cols": list(cols), "excluded": ":::".join(left_out)})
-    return runs
+        return {"blocks": chosen, "cols": list(cols), "excluded": ":::".join(left_out)}
+
+
+def pick_columns(blocks: dict[str, list[str]], exclusions: list[list[str]], n_runs: int, mean: float, spread: float, share_excluded: float = 0.25, seed: int = 1, together: dict[tuple[str, str], float] | None = None) -> list[dict]:
+    """Columns for each run: {"blocks", "cols", "excluded"}.
+
+    A run leaves out the columns of one exclusion group and adds blocks by Picker's weights until it has round(mean + spread *
+    Gamma(1, 2)) columns, or a block adds none.
+    """
+    picker = Picker(blocks, exclusions, n_runs, together, share_excluded, seed)
+    return [picker.run(round(mean + spread * picker.rng.gammavariate(1, 2))) for _ in range(n_runs)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coclave.operators.components import components
+from coclave.operators.number import in_order
 from coclave.runtime import cut
 
 #: The cuts of a whole sweep.
@@ -16,7 +17,7 @@ DENSITY_OF_OPTION = {1: "d1", 2: "d2", 3: "d3", 4: "d4", 5: "d5"}
 
 def _numbered(edges: DataFrame, thresholds: list[float]) -> DataFrame:
     """An id for every (threshold, edge): thresholds never share an id, so one run of components serves all."""
-    ranked = edges.withColumn("edge", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("a", "b")).cast("long") - 1)
+    ranked = in_order(edges, ["a", "b"], "edge")
     listed = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("threshold")) for k, t in enumerate(thresholds))))
     return ranked.withColumn("t", listed).select("a", "b", "weight", "edge", F.col("t.threshold").alias("threshold"), (F.col("edge") * len(thresholds) + F.col("t.k")).alias("id"))
 
@@ -89,3 +90,8 @@ def corems(labelled: DataFrame, least_edges: int = 3) -> DataFrame:
 def corem_rows(corem_edges: DataFrame) -> DataFrame:
     """(corem_id, row_id), each once."""
     return corem_edges.select("corem_id", F.explode(F.array("a", "b")).alias("row_id")).distinct()
+
+
+def corem_lists(corem_rows: DataFrame) -> DataFrame:
+    """(corem_id, rows): the rows of each corem as one ascending array."""
+    return corem_rows.groupBy("corem_id").agg(F.array_sort(F.collect_set("row_id")).alias("rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coclave.operators.select import members, scalar
@@ -17,11 +17,22 @@ def genes_of(corem_rows: DataFrame, info: DataFrame, corem_id: int, field: str =
     return corem_rows.filter(F.col("corem_id") == corem_id).join(info, "row_id").select(F.col(field).alias("gene"))
 
 
+def sharing_rows(corem_rows: DataFrame, info: DataFrame, corem_id: int, field: str = "sys_name") -> DataFrame:
+    """(corem_id, gene) of every corem and every row of it that the given corem holds too."""
+    own = corem_rows.filter(F.col("corem_id") == corem_id).select("row_id")
+    return corem_rows.join(own, "row_id", "left_semi").join(info.select("row_id", F.col(field).alias("gene")), "row_id").select("corem_id", "gene")
+
+
+def edge_key(a: Column, b: Column) -> Column:
+    """An edge as text, the same for both orders of its ends."""
+    return F.concat_ws("-", F.least(a, b), F.greatest(a, b))
+
+
 def choose(corem_rows: DataFrame, bridge: DataFrame, member: str, wanted: list, logic: str) -> DataFrame:
-    """corem_id of the corems that hold any, all or none of the wanted members; edges are asked for by their ends in either order."""
+    """corem_id of the corems that hold any, all or none of the wanted members."""
     every = corem_rows.select("corem_id").distinct()
     if member == "corem_id":
-        return scalar(every, "corem_id", wanted, logic)
+        return scalar(every, "corem_id", wanted, "or" if logic == "and" else logic)
     return members(every, bridge, member, wanted, logic, "corem_id")
 
 

@@ -73,3 +73,14 @@ def combine_parallel(edges: DataFrame, how: str = "sum") -> DataFrame:
     """(a, b, weight) with parallel edges summed or reduced to the heaviest; loops stay."""
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return edges.groupBy(*ends).agg((F.sum if how == "sum" else F.max)("weight").alias("weight"))
+
+
+def heavier(edges: DataFrame, than: float = 10.0) -> DataFrame:
+    """The subgraph of the edges that weigh more; nodes without such an edge are not in it."""
+    return edges.filter(F.col("weight") > than)
+
+
+def size_of(edges: DataFrame) -> DataFrame:
+    """(vertices, edges), one row; an edge counts as often as it stands, a vertex once."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).agg(F.count_distinct("node").alias("vertices"))
+    return nodes.crossJoin(edges.agg(F.count("*").alias("edges")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,37 +17,62 @@ def contained(hits: DataFrame, start: int, stop: int, contig: str) -> DataFrame:
     return hits.filter((F.col("start") >= start) & (F.col("stop") <= stop) & (F.col("contig") == contig))
 
 
-def flag_points(points: DataFrame, at: list[str], features: DataFrame, key: str = "hit_id", contig: str = "contig", width: int = 1024, out: str = "in_coding_rgn") -> DataFrame:
+#: Positions that share a mask, a bit for each.
+WORD = 64
+
+
+def masks(features: DataFrame, contig: str, start: Column, end: Column) -> DataFrame:
+    """(contig, word, mask): which positions of each stretch of WORD any feature [start, end] holds.
+
+    A feature gives a row for each word that it touches, and these are united by partial aggregates, so neither many features at
+    one place nor long ones meet in one task, and a position has one row to meet however many features hold it.
+    """
+    spread = features.select(F.col(contig).alias("contig"), start.cast("long").alias("s"), end.cast("long").alias("e")).filter("s <= e")
+    spread = spread.withColumn("word", F.explode(F.sequence(F.floor(F.col("s") / WORD), F.floor(F.col("e") / WORD))))
+    low, high = F.greatest(F.col("s") - F.col("word") * WORD, F.lit(0)), F.least(F.col("e") - F.col("word") * WORD, F.lit(WORD - 1))
+    own = F.expr("shiftleft(-1L, cast(low as int)) & shiftrightunsigned(-1L, cast(63 - high as int))")
+    return spread.withColumn("low", low).withColumn("high", high).groupBy("contig", "word").agg(F.bit_or(own).alias("mask"))
+
+
+def flag_points(points: DataFrame, at: list[str], features: DataFrame, contig: str = "contig", out: str = "in_coding_rgn") -> DataFrame:
     """Adds whether any of the positions `at` lies in a feature [start_pos, end_pos] of its contig.
 
-    A range join through bins of `width`: a feature stands in every bin that it touches, a position in one, so the join is an
-    equality on (contig, bin) with the bounds tested inside it. The key must tell points apart.
+    Each position meets the one mask of its word; a position or contig that is null lies in none.
     """
-    bins = features.select(F.col("contig").alias("__contig"), "start_pos", "end_pos", F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"end_pos div {width}"))).alias("__bin"))
-    places = points.select(F.col(key), F.col(contig).alias("__contig"), F.explode(F.array(*at)).alias("__at")).withColumn("__bin", F.expr(f"__at div {width}"))
-    inside = places.join(bins, ["__contig", "__bin"]).filter("start_pos <= __at and end_pos >= __at").select(key).distinct().withColumn(out, F.lit(True))
-    return points.join(inside, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    held, done = masks(features, "contig", F.col("start_pos"), F.col("end_pos")), points
+    for k, position in enumerate(at):
+        own = held.select(F.col("contig").alias(contig), F.col("word").alias("__word"), F.col("mask").alias(f"__mask{k}"))
+        done = done.withColumn("__word", F.floor(F.col(position) / WORD)).join(own, [contig, "__word"], "left").drop("__word")
+    bit = lambda k, position: F.expr(f"shiftrightunsigned(__mask{k}, cast(pmod({position}, {WORD}) as int)) & 1L") == 1
+    inside = [F.coalesce(bit(k, position), F.lit(False)) for k, position in enumerate(at)]
+    any_of = inside[0]
+    for one in inside[1:]:
+        any_of |= one
+    return done.withColumn(out, any_of).select(*points.columns, out)
 
 
 def covered(features: DataFrame, contig: str = "contig") -> DataFrame:
     """(contig, covered): positions in the union of the half-open features [start_pos, end_pos)."""
-    line = Window.partitionBy(contig).orderBy("start_pos", "end_pos")
-    reached = F.coalesce(F.max("end_pos").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("start_pos"))
-    own = features.filter("end_pos > start_pos").withColumn("__from", F.greatest("start_pos", reached))
-    return own.groupBy(contig).agg(F.sum(F.greatest(F.col("end_pos") - F.col("__from"), F.lit(0))).alias("covered"))
+    held = masks(features, contig, F.col("start_pos"), F.col("end_pos") - 1)
+    return held.groupBy(F.col("contig").alias(contig)).agg(F.sum(F.bit_count("mask")).cast("long").alias("covered"))
 
 
-def depth(hits: DataFrame, by: list[str]) -> DataFrame:
+def depth(hits: DataFrame, by: list[str], stretch: int = 1 << 16) -> DataFrame:
     """(by, position, depth): how many hits hold each position, for positions that any holds.
 
-    From the ends of the hits, not from their positions: +1 at a start, -1 behind a stop, summed along the contig; only stretches
-    of constant depth are spread out.
+    From the ends of the hits, not from their positions: +1 at a start, -1 behind a stop, summed along the axis; only stretches of
+    constant depth are spread out. The axis is cut into ranges of `stretch`; what runs into a range is summed over the ranges before
+    it, so a task has one range of one contig.
     """
     ends = hits.select(*by, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    steps = ends.groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    line = Window.partitionBy(*by).orderBy("at")
-    stretches = steps.withColumn("depth", F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("at").over(line) - 1).filter("depth > 0")
-    return stretches.select(*by, F.explode(F.sequence("at", "until")).alias("position"), "depth")
+    steps = ends.groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).withColumn("__range", F.floor(F.col("at") / stretch))
+    axis = Window.partitionBy(*by).orderBy("__range")
+    ranges = steps.groupBy(*by, "__range").agg(F.sum("d").alias("d"), F.min("at").alias("first"))
+    ranges = ranges.select(*by, "__range", F.coalesce(F.sum("d").over(axis.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.lead("first").over(axis).alias("__next"))
+    line = Window.partitionBy(*by, "__range").orderBy("at")
+    own = steps.join(ranges, [*by, "__range"])
+    depths = own.withColumn("depth", F.col("__before") + F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.coalesce(F.lead("at").over(line), F.col("__next")) - 1)
+    return depths.filter("depth > 0").select(*by, F.explode(F.sequence("at", "until")).alias("position"), "depth")
 
 
 def gre_hits(hits: DataFrame, motifs: DataFrame, by_motif: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coclave.operators.components import components
+from coclave.operators.number import in_order
 from coclave.runtime import cut
 
 
@@ -29,14 +30,83 @@ def matrices(pwm: DataFrame, by: list[str], letters: str = "acgt") -> DataFrame:
     return pwm.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["p"]).alias("matrix"))
 
 
-def meme_blocks(pwm: DataFrame, by: list[str], sites: str | None = None) -> DataFrame:
-    """(by, block): a text block for each motif, letters to 3 places."""
+#: Fixed values of the MEME format, version 3.0.
+MEME_HEAD = "MEME version 3.0\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies (from dataset with add-one prior applied):\n"
+
+
+def meme_header(a: float = 0.284, c: float = 0.216, g: float = 0.216, t: float = 0.284) -> str:
+    return f"{MEME_HEAD}A {a:.3f} C {c:.3f} G {g:.3f} T {t:.3f}\n"
+
+
+def meme_blocks(pwm: DataFrame, by: list[str], exported: DataFrame | None = None, name: Column | None = None) -> DataFrame:
+    """(by, block): the matrix of each motif as text, letters to 3 places.
+
+    With exported (by, num_sites, evalue) only motifs that it has, with these; with a name its lines come first.
+    """
     line = F.concat_ws(" ", *(F.format_string("%5.3f", c) for c in "acgt"))
-    rows = pwm.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("rows"), (F.max(sites) if sites else F.lit(0)).alias("nsites"))
-    head = F.concat(F.lit("letter-probability matrix: alength= 4 w= "), F.size("rows").cast("string"), F.lit(" nsites= "), F.col("nsites").cast("string"))
+    rows = pwm.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("rows"))
+    sites, evalue = F.lit("0"), F.lit("")
+    if exported is not None:
+        rows = rows.join(exported.select(*by, "num_sites", "evalue"), by)
+        sites, evalue = F.col("num_sites").cast("string"), F.format_string(" E= %.3e", F.col("evalue").cast("double"))
+    head = F.concat(F.lit("letter-probability matrix: alength= 4 w= "), F.size("rows").cast("string"), F.lit(" nsites= "), sites, evalue)
+    if name is not None:
+        head = F.concat(F.lit("\nMOTIF "), name, F.lit("\nBL   MOTIF "), name, F.lit(" width=0 seqs=0\n"), head)
     return rows.select(*by, F.concat_ws("\n", head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("block"))
 
 
+def exportable(motifs: DataFrame, sites: DataFrame, clusters: DataFrame, max_residual: float | None = None, max_evalue: float | None = None, bridge: DataFrame | None = None, row_id: object = None) -> DataFrame:
+    """(cluster_id, motif_num, evalue, residual, num_sites) of the motifs that have a site.
+
+    num_sites counts sites with a p-value. Either limit may be left out; with a bridge only clusters that hold the row count. Sites
+    are counted before anything is joined.
+    """
+    key = ["cluster_id", "motif_num"]
+    counted = sites.groupBy(*key).agg(F.count("pvalue").alias("num_sites"))
+    own = motifs if max_evalue is None else motifs.filter(F.col("evalue") <= max_evalue)
+    kept = clusters if max_residual is None else clusters.filter(F.col("residual") <= max_residual)
+    if bridge is not None:
+        kept = kept.join(bridge.filter(F.col("row_id") == row_id).select("cluster_id"), "cluster_id", "left_semi")
+    return own.select(*key, "evalue").join(kept.select("cluster_id", "residual"), "cluster_id").join(counted, key).select(*key, "evalue", "residual", "num_sites")
+
+
+def load_motifs(motifs: DataFrame, children: dict[str, DataFrame], first: int = 1) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Motifs with a number motif_info_id in order of (cluster_id, motif_num), and every child table by that number in place of these."""
+    key = ["cluster_id", "motif_num"]
+    named = in_order(motifs, key, "motif_info_id", first)
+    ids = named.select("motif_info_id", *key)
+    return named, {name: child.join(ids, key).drop(*key) for name, child in children.items()}
+
+
+def best_sites(sites: DataFrame, sizes: DataFrame, large: int = 100) -> DataFrame:
+    """(cluster, name, pvalue, start, n): the site of lowest p-value of each name in a cluster, and how many sites the name has there.
+
+    sites: (cluster, name, pvalue, start); sizes: (cluster, motifs). In a cluster of more than `large` motifs only names with more
+    than a twentieth as many sites stay; in others, and where this leaves two names or fewer, only those with more than 2.
+    """
+    first = F.min_by(F.struct("pvalue", "start"), F.struct("pvalue", "start"))
+    each = sites.groupBy("cluster", "name").agg(first.alias("best"), F.count("*").alias("n")).join(sizes, "cluster")
+    big, often = F.col("motifs") > large, F.col("n") > F.col("motifs") / 20
+    left = F.sum((big & often).cast("int")).over(Window.partitionBy("cluster"))
+    kept = each.withColumn("__left", left).filter((~big | often) & ((big & (F.col("__left") > 2)) | (F.col("n") > 2)))
+    return kept.select("cluster", "name", "best.pvalue", "best.start", "n")
+
+
+def gene_counts(motifs: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(gre_id, row_id, counts): how often each row is in the clusters of a motif cluster, most often first within each."""
+    held = motifs.select("cluster_id", "gre_id").join(bridge, "cluster_id").groupBy("gre_id", "row_id").agg(F.count("*").alias("counts"))
+    return held.orderBy("gre_id", F.col("counts").desc(), "row_id")
+
+
+def renormalised(evalue: Column) -> Column:
+    """An e-value in text with its first part below 10: 10.0e+003 as 1.0e+004; others, and what is no number, as they are."""
+    text = F.format_string("%.1e", F.expr("1D") * evalue.try_cast("double"))
+    exponent = F.substring_index(text, "e", -1).try_cast("int")
+    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    new = F.concat(F.substring_index(text, "e", 1), F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 3, "0"))
+    return F.when(F.abs(F.substring_index(F.lower(evalue), "e", 1).try_cast("double")) >= 10, F.coalesce(new, evalue)).otherwise(evalue)
+
+
 def pair_filter(pairs: DataFrame, fractions: DataFrame | None = None, max_p: float = 0.01, least_overlap: int = 6, coding: float | None = None) -> DataFrame:
     """Pairs of different motifs, significant and long enough; with fractions (motif, coding_frac), one end must be below `coding`."""
     kept = pairs.filter((F.col("pvalue") <= max_p) & (F.col("query") != F.col("target")) & (F.col("overlap") >= least_overlap))
@@ -76,8 +146,7 @@ def within_clusters(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 def numbered_clusters(lines: DataFrame, least: int = 4) -> DataFrame:
     """(gre_id, motif) from lines (pos, line) of tab-separated motifs; only lines of `least` motifs and more get a number."""
     kept = lines.withColumn("motifs", F.split("line", "\t")).filter(F.size("motifs") >= least)
-    line = Window.partitionBy(F.lit(0)).orderBy("pos")
-    return kept.withColumn("gre_id", F.row_number().over(line)).select("gre_id", F.explode("motifs").alias("motif"))
+    return in_order(kept, ["pos"], "gre_id", 1).select(F.col("gre_id").cast("int").alias("gre_id"), F.explode("motifs").alias("motif"))
 
 
 def set_gre_ids(motifs: DataFrame, found: DataFrame) -> DataFrame:
@@ -86,26 +155,34 @@ def set_gre_ids(motifs: DataFrame, found: DataFrame) -> DataFrame:
     return motifs.join(named, ["cluster_id", "motif_num"], "left").withColumn("gre_id", F.coalesce("__gre", "gre_id")).drop("__gre")
 
 
+def _stochastic(m: DataFrame) -> DataFrame:
+    return m.join(m.groupBy("col").agg(F.sum("p").alias("__sum")), "col").select("row", "col", (F.col("p") / F.col("__sum")).alias("p"))
+
+
+def markov_start(edges: DataFrame) -> DataFrame:
+    """(row, col, p): the column-stochastic matrix of (a, b, weight), both ways, each node with a loop of its heaviest edge."""
+    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    loops = both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
+    return _stochastic(both.filter("a <> b").unionByName(loops).groupBy(F.col("a").alias("row"), F.col("b").alias("col")).agg(F.max("weight").alias("p")))
+
+
+def markov_round(now: DataFrame, inflation: float = 2.4, least: float = 1e-4) -> DataFrame:
+    """One expansion, inflation and pruning of (row, col, p)."""
+    left = now.select("row", F.col("col").alias("via"), F.col("p").alias("x"))
+    right = now.select(F.col("row").alias("via"), "col", F.col("p").alias("y"))
+    squared = left.join(right, "via").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    return _stochastic(_stochastic(squared.withColumn("p", F.pow("p", F.lit(inflation)))).filter(F.col("p") >= least))
+
+
 def markov_clusters(edges: DataFrame, inflation: float = 2.4, least: float = 1e-4, rounds: int = 30) -> DataFrame:
     """(node, cluster): expansion and inflation of the column-stochastic matrix of (a, b, weight) until nothing changes.
 
     Both steps are joins and sums on sparse (row, col, p) entries; entries below `least` go, so columns stay short. Nodes of one
     cluster share an attractor; the cluster is the least node that they reach.
     """
-    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    loops = both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
-    start = both.filter("a <> b").unionByName(loops).groupBy(F.col("a").alias("row"), F.col("b").alias("col")).agg(F.max("weight").alias("p"))
-
-    def normal(m: DataFrame) -> DataFrame:
-        return m.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("col")))
-
-    now = cut(normal(start))
+    now = cut(markov_start(edges))
     for _ in range(rounds):
-        left = now.select("row", F.col("col").alias("via"), F.col("p").alias("x"))
-        right = now.select(F.col("row").alias("via"), "col", F.col("p").alias("y"))
-        squared = left.join(right, "via").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-        inflated = normal(squared.withColumn("p", F.pow("p", F.lit(inflation)))).filter(F.col("p") >= least)
-        after = cut(normal(inflated))
+        after = cut(markov_round(now, inflation, least))
         change = after.join(now.withColumnRenamed("p", "before"), ["row", "col"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
         now = after
         if change is None or change < 1e-3:

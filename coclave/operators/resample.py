@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coclave.functions.stats import rsd, uniform
 
 
+def drawn_positions(seed: int, col: Column, draw: Column, n: Column, size: int) -> Column:
+    """The first `size` different ones of tries(size) seeded numbers below n: a draw without replacement from n >= 2 * size.
+
+    Four numbers come from one hash. That fewer than `size` of the tries differ is less likely than 1 in 10 ** 9; the draw then holds
+    those.
+    """
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(tries(size) // 4 - 1)), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), col.cast("string"), draw.cast("string"), b.cast("string"))))
+    number = lambda h, k: F.floor(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32) * n).cast("long")
+    return F.slice(F.array_distinct(F.flatten(F.transform(hashed, lambda h: F.array(*(number(h, k) for k in range(4)))))), 1, size)
+
+
+def tries(size: int) -> int:
+    return -(-(3 * size + 16) // 4) * 4
+
+
 def lowest_rsd(cells: DataFrame, size: int, resamples: int, keep: float = 0.1, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
     """(col, nrows, resamples, lowest): per column the lowest share of the RSDs of `resamples` draws of `size` rows.
 
-    A draw takes the rows with the least seeded numbers, so it does not depend on partitions; draws of one column are apart in
-    the shuffle, and only the kept share of their RSDs is collected. Columns with fewer rows than `size` draw all they have.
+    A column's cells are numbered once in order of their rows; draws are seeded positions, joined to the cells, so what is shuffled
+    is size times draws and not cells times draws. Columns of fewer than 2 * size rows take the rows of least seeded numbers instead,
+    which are few there; with fewer rows than `size` they draw all they have. Nothing depends on partitions: RSDs have 12 places, as
+    sums depend on order.
     """
-    drawn = cells.select(row, col, value).filter(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    line = Window.partitionBy(col, "draw").orderBy(uniform(seed, F.col(col), F.col(row), F.col("draw")), row)
-    picked = drawn.withColumn("__rank", F.row_number().over(line)).filter(F.col("__rank") <= size)
-    each = picked.groupBy(col, "draw").agg(rsd(F.col(value)).alias("rsd")).filter("rsd is not null")
+    line = Window.partitionBy(col)
+    placed = cells.select(row, col, value).filter(F.col(value).isNotNull()).withColumn("__at", (F.row_number().over(line.orderBy(row)) - 1).cast("long")).withColumn("__n", F.count("*").over(line))
+    draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    few = placed.filter(F.col("__n") < 2 * size).withColumn("draw", draws)
+    rank = Window.partitionBy(col, "draw").orderBy(uniform(seed, F.col(col), F.col(row), F.col("draw")), row)
+    few = few.withColumn("__rank", F.row_number().over(rank)).filter(F.col("__rank") <= size).select(col, "draw", value)
+    many = placed.filter(F.col("__n") >= 2 * size)
+    picks = many.groupBy(col).agg(F.max("__n").alias("__n")).withColumn("draw", draws).withColumn("__at", F.explode(drawn_positions(seed, F.col(col), F.col("draw"), F.col("__n"), size)))
+    picked = picks.select(col, "draw", "__at").join(many.select(col, "__at", value), [col, "__at"]).select(col, "draw", value)
+    each = few.unionByName(picked).groupBy(col, "draw").agg(F.round(rsd(F.col(value)), 12).alias("rsd")).filter("rsd is not null")
     kept = round(resamples * keep)
     by = Window.partitionBy(col).orderBy("rsd", "draw")
     low = each.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") <= kept)

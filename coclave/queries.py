@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from coclave.functions.stats import neg_log10, uniform, uniform_sql
 from coclave.operators import blocks, communities, corem, enrich, expression, graph, interval, motif, names, resample, select
 from coclave.plans.agglom import agglom
+from coclave.plans.assemble import corem_columns
+from coclave.plans.corem_info import Corems, corem_info
 from coclave.runtime import cut
+from coclave.sources.files import last_iteration, with_cluster_ids
+from coclave.sources.sinks import upsert
 from coclave.sources.star import MODEL_SQL, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,10 +171,10 @@ def _(m: Star) -> DataFrame:
     return names.by_field(m.row_info, ["P7", "P3", "P5", "P7"], "sys_name", "row_id")
 
 
-@query("col_name_any", "SELECT col_id FROM col_info WHERE col_id = 3 OR name = (SELECT min(s_name) FROM supplier)")
+@query("col_name_any", "SELECT col_id FROM col_info WHERE col_id IN (1, 3) UNION ALL SELECT col_id FROM col_info WHERE name = (SELECT min(s_name) FROM supplier)")
 def _(m: Star) -> DataFrame:
     first = m.raw("supplier").agg(F.min("s_name")).first()[0]
-    return names.by_any_field(m.col_info, [3, first], ["col_id", "name"]).select("col_id").distinct()
+    return names.by_any_field(m.col_info, [1, 3, first], ["col_id", "name"], distinct=False).select("col_id")
 
 
 @query("genes_with_name", "SELECT row_id FROM row_info WHERE name = (SELECT max(p_name) FROM part)")
@@ -386,9 +390,7 @@ def _(m: Star, cuts: list[float]) -> DataFrame:
 
 @linked("corems_with_genes", "picked AS (SELECT row_id FROM corem_rows WHERE corem_id = 1) SELECT corem_id, sys_name AS gene FROM corem_rows JOIN row_info USING (row_id) WHERE row_id IN (SELECT row_id FROM picked)".replace("picked AS", ", picked AS", 1))
 def _(m: Star, cuts: list[float]) -> DataFrame:
-    held = communities.corem_rows(corems_of(m, cuts))
-    wanted = [r["gene"] for r in corem.genes_of(held, m.row_info, 1).collect()]
-    return corem.with_genes(held, m.row_info, wanted)
+    return corem.sharing_rows(cut(communities.corem_rows(corems_of(m, cuts))), m.row_info, 1)
 
 
 @linked("corem_and_genes", ", wanted AS (SELECT row_id FROM corem_rows WHERE corem_id = 1 ORDER BY row_id LIMIT 2), chosen AS (SELECT corem_id FROM corem_rows WHERE row_id IN (SELECT row_id FROM wanted) GROUP BY 1 HAVING count(*) = 2) SELECT row_id, count(*) AS counts FROM corem_rows WHERE corem_id IN (SELECT corem_id FROM chosen) GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM chosen)")
@@ -408,6 +410,54 @@ def _(m: Star, cuts: list[float]) -> DataFrame:
     return corem.sizes(communities.corem_rows(corems_of(m, cuts)))
 
 
+@linked("corem_lists", "SELECT corem_id, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS members FROM corem_rows GROUP BY 1")
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    return communities.corem_lists(communities.corem_rows(corems_of(m, cuts))).select("corem_id", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("members"))
+
+
+FIRST_EDGE = ", asked AS (SELECT a, b FROM corem_edges WHERE corem_id = 1 ORDER BY a, b LIMIT 1), chosen AS (SELECT DISTINCT corem_id FROM corem_edges JOIN asked USING (a, b))"
+
+
+def known_corems(m: Star, cuts: list[float]) -> Corems:
+    kept = corems_of(m, cuts)
+    none = m.spark.createDataFrame([], "corem_id int, col_id long")
+    return Corems(kept, cut(communities.corem_rows(kept)), none, m.row_info, m.col_info)
+
+
+def first_edge(of: Corems) -> list[str]:
+    """The first edge of corem 1 by its names, the other way round; nothing if there is no corem."""
+    found = of.edges.filter("corem_id = 1").orderBy("a", "b").limit(1).select(F.expr("concat('P', b, '-P', a)").alias("edge")).collect()
+    return [r["edge"] for r in found]
+
+
+@linked("corem_info_of_edge", FIRST_EDGE + " SELECT sys_name AS genes, count(*) AS counts FROM corem_rows JOIN chosen USING (corem_id) JOIN row_info USING (row_id) GROUP BY 1")
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    of = known_corems(m, cuts)
+    edge = first_edge(of)
+    return corem_info(of, edge, "edges", "genes", count=True) if edge else m.row_info.select(F.col("sys_name").alias("genes"), F.lit(0).cast("long").alias("counts")).limit(0)
+
+
+@linked("corem_info_of_genes", FIRST_EDGE.split(", chosen")[0] + ", chosen AS (SELECT corem_id FROM corem_rows JOIN asked ON row_id IN (a, b) GROUP BY 1 HAVING count(*) = 2) SELECT x.sys_name || '-' || y.sys_name AS edges FROM corem_edges JOIN chosen USING (corem_id) JOIN row_info x ON x.row_id = a JOIN row_info y ON y.row_id = b")
+def _(m: Star, cuts: list[float]) -> DataFrame:
+    of = known_corems(m, cuts)
+    edge = first_edge(of)
+    return corem_info(of, edge[0].split("-"), "genes", "edges", logic="and") if edge else m.row_info.select(F.col("sys_name").alias("edges")).limit(0)
+
+
+@query("corem_columns", None)
+def _(m: Star) -> DataFrame:
+    """All corems of the best cut against nulls of their own size, with the assembly's 1,000 draws."""
+    held = cut(communities.corem_rows(corems_of(m, SWEEP)))
+    return corem_columns(held, m.expr, 1000, 0.1, 0.05)
+
+
+@query("upsert_edges", "changed AS (SELECT a, b, weight + 1 AS weight FROM edges WHERE a % 3 = 0 UNION ALL VALUES (-1::BIGINT, 1::BIGINT, 0.5::DOUBLE)) SELECT a, b, round(weight, 9) AS weight FROM changed UNION ALL SELECT a, b, round(weight, 9) FROM edges WHERE a % 3 <> 0", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    old = cut(edges_of(m)).select("a", "b", "weight")
+    changed = old.filter("a % 3 = 0").withColumn("weight", F.col("weight") + 1).unionByName(m.spark.sql("SELECT -1L AS a, 1L AS b, 0.5D AS weight"))
+    return upsert(old, changed, ["a", "b"]).withColumn("weight", F.round("weight", 9))
+
+
 # Intervals
 
 
@@ -511,7 +561,7 @@ def _(m: Star) -> DataFrame:
 
 @query("motif_cluster_genes", "SELECT gre_id, row_id, count(*) AS counts FROM motifs JOIN bc_rows USING (cluster_id) GROUP BY ALL")
 def _(m: Star) -> DataFrame:
-    return m.motifs.join(m.bc_rows, "cluster_id").groupBy("gre_id", "row_id").agg(F.count("*").alias("counts"))
+    return motif.gene_counts(m.motifs, m.bc_rows)
 
 
 @query("motif_within_clusters", "c AS (SELECT row_id AS motif, group_name AS cluster FROM row_info) SELECT query, target, x.cluster FROM good JOIN c x ON x.motif = query JOIN c y ON y.motif = target AND y.cluster = x.cluster", PAIRS_SQL)
@@ -520,6 +570,113 @@ def _(m: Star) -> DataFrame:
     return motif.within_clusters(motif.pair_filter(pairs_of(m)), clusters).select("query", "target", "cluster")
 
 
+def option_one(m: Star) -> DataFrame:
+    """The motif graph with parallel edges summed; each pair stands twice, the second time with half its weight."""
+    once = motif.pair_weights(motif.pair_filter(pairs_of(m)))
+    twice = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("weight") / 2).alias("weight")))
+    return graph.combine_parallel(twice, "sum")
+
+
+HEAVY = "twice AS (SELECT * FROM linked UNION ALL SELECT b, a, weight / 2 FROM linked), summed AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight) AS weight FROM twice GROUP BY 1, 2), heavy AS (SELECT * FROM summed WHERE weight > 4)"
+
+
+@query("motif_heavy_edges", f"{HEAVY} SELECT a, b, round(weight, 3) AS weight FROM heavy", PAIRS_SQL)
+def _(m: Star) -> DataFrame:
+    return graph.heavier(option_one(m), 4.0).withColumn("weight", F.round("weight", 3))
+
+
+@query("motif_graph_size", f"{HEAVY} SELECT 'all' AS graph, (SELECT count(*) FROM (SELECT a FROM summed UNION SELECT b FROM summed)) AS vertices, (SELECT count(*) FROM summed) AS edges UNION ALL SELECT 'heavy', (SELECT count(*) FROM (SELECT a FROM heavy UNION SELECT b FROM heavy)), (SELECT count(*) FROM heavy)", PAIRS_SQL)
+def _(m: Star) -> DataFrame:
+    whole = cut(option_one(m))
+    sized = lambda name, edges: graph.size_of(edges).select(F.lit(name).alias("graph"), "vertices", "edges")
+    return sized("all", whole).unionByName(sized("heavy", graph.heavier(whole, 4.0)))
+
+
+EXPORT = "counted AS (SELECT cluster_id, motif_num, count(pvalue) AS num_sites FROM hits GROUP BY ALL), exported AS (SELECT cluster_id, motif_num, evalue, residual, num_sites FROM motifs JOIN biclusters USING (cluster_id) JOIN counted USING (cluster_id, motif_num) WHERE {})"
+
+
+@query("motif_export", f"{EXPORT.format('residual <= 150000 AND evalue <= 0.05')} SELECT cluster_id, motif_num, evalue, residual, num_sites FROM exported")
+def _(m: Star) -> DataFrame:
+    return motif.exportable(m.motifs, m.hits, m.biclusters, max_residual=150000, max_evalue=0.05)
+
+
+@query("motif_export_of_gene", f"{EXPORT.format('cluster_id IN (SELECT cluster_id FROM bc_rows WHERE row_id = (SELECT min(row_id) FROM bc_rows WHERE cluster_id IN (SELECT cluster_id FROM hits)))')} SELECT cluster_id, motif_num, evalue, residual, num_sites FROM exported")
+def _(m: Star) -> DataFrame:
+    gene = m.bc_rows.join(m.hits.select("cluster_id"), "cluster_id", "left_semi").agg(F.min("row_id")).first()[0]
+    return motif.exportable(m.motifs, m.hits, m.biclusters, bridge=m.bc_rows, row_id=gene)
+
+
+NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY cluster_id, motif_num) AS motif_info_id FROM motifs)"
+
+
+def cells_of(m: Star) -> DataFrame:
+    """The matrices as those of the first motifs of groups."""
+    return m.pwm.select(F.col("motif_id").alias("cluster_id"), F.lit(1).alias("motif_num"), "row", "a", "c", "g", "t")
+
+
+def loaded(m: Star, child: str) -> DataFrame:
+    return motif.load_motifs(m.motifs, {"pssm": cells_of(m), "sites": m.hits.select("cluster_id", "motif_num", "hit_id", "contig", "start", "pvalue")})[1][child]
+
+
+@query("motif_pssm_rows", f"{NUMBERED} SELECT motif_info_id, row, " + ", ".join(f"round({c}, 6) AS {c}" for c in "acgt") + " FROM numbered JOIN pwm ON motif_id = cluster_id AND motif_num = 1")
+def _(m: Star) -> DataFrame:
+    return loaded(m, "pssm").select("motif_info_id", "row", *(F.round(c, 6).alias(c) for c in "acgt"))
+
+
+@query("motif_site_rows", f"{NUMBERED} SELECT motif_info_id, hit_id, contig, start, pvalue FROM numbered JOIN hits USING (cluster_id, motif_num)")
+def _(m: Star) -> DataFrame:
+    return loaded(m, "sites")
+
+
+@query("motif_best_sites", """placed AS (SELECT gre_id AS cluster, (h.cluster_id % 50)::VARCHAR AS name, pvalue, start FROM hits h JOIN motifs USING (cluster_id, motif_num) WHERE gre_id IS NOT NULL),
+sizes AS (SELECT gre_id AS cluster, count(*) AS motifs FROM motifs WHERE gre_id IS NOT NULL GROUP BY 1),
+best AS (SELECT cluster, name, min(pvalue) AS pvalue, arg_min(start, (pvalue, start)) AS start, count(*) AS n FROM placed GROUP BY ALL),
+wide AS (SELECT *, sum((motifs > 100 AND n > motifs / 20.0)::INT) OVER (PARTITION BY cluster) AS remain FROM best JOIN sizes USING (cluster))
+SELECT cluster, name, pvalue, start, n FROM wide WHERE (motifs <= 100 AND n > 2) OR (motifs > 100 AND n > motifs / 20.0 AND (remain > 2 OR n > 2))""")
+def _(m: Star) -> DataFrame:
+    named = interval.gre_hits(m.hits, m.motifs, by_motif=True)
+    sites = named.select(F.col("gre_id").alias("cluster"), (F.col("cluster_id") % 50).cast("string").alias("name"), "pvalue", "start")
+    sizes = m.motifs.filter("gre_id is not null").groupBy(F.col("gre_id").alias("cluster")).agg(F.count("*").alias("motifs"))
+    return motif.best_sites(sites, sizes)
+
+
+@query("meme_file_rows", f"""{EXPORT.format('evalue <= 0.05')}, named AS (SELECT *, printf('7_%03d_%02d', cluster_id, motif_num) AS name FROM exported)
+SELECT cluster_id, motif_num, chr(10) || 'MOTIF ' || name || chr(10) || 'BL   MOTIF ' || name || ' width=0 seqs=0' || chr(10) || 'letter-probability matrix: alength= 4 w= ' || count(*) || ' nsites= ' || any_value(num_sites) || ' E= ' || printf('%.3e', any_value(evalue)) || chr(10)
+  || string_agg(printf('%5.3f %5.3f %5.3f %5.3f', a, c, g, t), chr(10) ORDER BY row) AS block
+FROM named JOIN pwm ON motif_id = cluster_id AND motif_num = 1 GROUP BY cluster_id, motif_num, name""")
+def _(m: Star) -> DataFrame:
+    chosen = motif.exportable(m.motifs, m.hits, m.biclusters, max_evalue=0.05)
+    return motif.meme_blocks(cells_of(m), ["cluster_id", "motif_num"], chosen, motif.motif_id(F.lit("7"), F.col("cluster_id"), F.col("motif_num")))
+
+
+@query("evalue_renormalised", "SELECT p_partkey AS row_id, CASE WHEN p_size >= 10 THEN printf('%.1fe+%03d', p_size / 10.0, p_partkey % 9 + 1) ELSE printf('%.1fe+%03d', p_size::DOUBLE, p_partkey % 9) END AS evalue FROM part")
+def _(m: Star) -> DataFrame:
+    text = F.format_string("%.1fe+%03d", F.col("p_size").cast("double"), F.col("p_partkey") % 9)
+    return m.raw("part").select(F.col("p_partkey").alias("row_id"), motif.renormalised(text).alias("evalue"))
+
+
+MARKOV_ROUNDS = 2
+
+
+def markov_sql() -> str:
+    """The fixed rounds of markov_round, one after another."""
+    parts = ["""both_ends AS (SELECT a, b, weight FROM linked UNION ALL SELECT b, a, weight FROM linked),
+looped AS (SELECT a, b, weight FROM both_ends WHERE a <> b UNION ALL SELECT a, a, max(weight) FROM both_ends GROUP BY a),
+start0 AS (SELECT a AS row, b AS col, max(weight) AS p FROM looped GROUP BY ALL), m0 AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM start0)"""]
+    for k in range(MARKOV_ROUNDS):
+        parts.append(f"""s{k} AS (SELECT x.row, y.col, pow(sum(x.p * y.p), 2.4) AS p FROM m{k} x JOIN m{k} y ON x.col = y.row GROUP BY ALL), i{k} AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM s{k}),
+m{k + 1} AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM i{k} WHERE p >= 1e-4)""")
+    return ", ".join(parts) + f" SELECT row, col, round(p, 5) AS p FROM m{MARKOV_ROUNDS} WHERE p >= 0.001"
+
+
+@query("motif_markov_rounds", markov_sql(), PAIRS_SQL)
+def _(m: Star) -> DataFrame:
+    now = cut(motif.markov_start(motif.pair_weights(motif.pair_filter(pairs_of(m)))))
+    for _ in range(MARKOV_ROUNDS):
+        now = cut(motif.markov_round(now))
+    return now.filter("p >= 0.001").withColumn("p", F.round("p", 5))
+
+
 @query("motif_markov", None)
 def _(m: Star) -> DataFrame:
     return motif.markov_clusters(motif.pair_weights(motif.pair_filter(pairs_of(m))))
@@ -567,8 +724,7 @@ def _(m: Star) -> DataFrame:
 
 @query("last_iteration_members", "i AS (SELECT max(l_linenumber) AS top FROM lineitem) SELECT DISTINCT l_orderkey AS cluster_id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = (SELECT top FROM i)")
 def _(m: Star) -> DataFrame:
-    lines = m.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    last = lines.crossJoin(F.broadcast(lines.agg(F.max("l_linenumber").alias("top")))).filter("l_linenumber = top")
+    last = last_iteration(m.raw("lineitem").select("l_orderkey", F.col("l_linenumber").alias("iteration"), "l_partkey"))
     parts = m.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     return last.join(parts, "l_partkey").select(F.col("l_orderkey").alias("cluster_id"), "name").distinct()
 
@@ -578,6 +734,19 @@ def _(m: Star) -> DataFrame:
     return m.biclusters.groupBy("run_id").agg(F.count("*").alias("clusters"), F.round(F.avg("residual"), 4).alias("residual"))
 
 
+@query("last_iteration_by_run", "r AS (SELECT l_orderkey % 20 AS run_id, l_linenumber AS iteration, l_partkey FROM lineitem) SELECT run_id, iteration, count(*) AS members FROM r WHERE iteration = (SELECT max(iteration) FROM r x WHERE x.run_id = r.run_id) GROUP BY ALL")
+def _(m: Star) -> DataFrame:
+    lines = m.raw("lineitem").select((F.col("l_orderkey") % 20).alias("run_id"), F.col("l_linenumber").alias("iteration"), "l_partkey")
+    return last_iteration(lines, ["run_id"]).groupBy("run_id", "iteration").agg(F.count("*").alias("members"))
+
+
+@query("scan_cluster_ids", "SELECT cluster_id, h.hit_id FROM (SELECT hit_id, cluster_id AS cluster, 'run' || cluster_id % 20 AS dirname FROM hits) h JOIN (SELECT cluster_id, cluster_num, 'run' || run_id AS dirname FROM biclusters WHERE run_id < 15) b ON b.dirname = h.dirname AND cluster_num = cluster")
+def _(m: Star) -> DataFrame:
+    scans = m.hits.select("hit_id", F.col("cluster_id").alias("cluster"), F.concat(F.lit("run"), (F.col("cluster_id") % 20).cast("string")).alias("dirname"))
+    runs = m.runs.filter("run_id < 15").select("run_id", F.concat(F.lit("run"), F.col("run_id").cast("string")).alias("dirname"))
+    return with_cluster_ids(scans, m.biclusters, runs).select("cluster_id", "hit_id")
+
+
 @query("run_sizes", "SELECT run_id, count(DISTINCT row_id) AS num_rows, count(DISTINCT col_id) AS num_cols FROM biclusters JOIN bc_rows USING (cluster_id) JOIN bc_cols USING (cluster_id) GROUP BY 1")
 def _(m: Star) -> DataFrame:
     runs = m.biclusters.select("cluster_id", "run_id")
@@ -591,9 +760,15 @@ DRAWS, SIZE, KEEP = 20, 5, 0.25
 
 
 def nulls_sql(name: str, seed: int) -> str:
-    u = uniform_sql(seed, "col_id", "row_id", "draw")
-    return f"""{name}_drawn AS (SELECT col_id, row_id, raw, draw, row_number() OVER (PARTITION BY col_id, draw ORDER BY {u}, row_id) AS place FROM expr, range({DRAWS}) t(draw)),
-{name}_rsd AS (SELECT col_id, draw, abs(stddev_pop(raw) / nullif(avg(raw), 0)) AS rsd FROM {name}_drawn WHERE place <= {SIZE} GROUP BY ALL),
+    u, tried = uniform_sql(seed, "col_id", "row_id", "draw"), resample.tries(SIZE)
+    number = f"floor(('0x' || substr(md5('{seed}|' || col_id || '|' || draw || '|' || j // 4), 8 * (j % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT"
+    return f"""{name}_cells AS (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY col_id) AS n FROM expr),
+{name}_few AS (SELECT col_id, raw, draw, row_number() OVER (PARTITION BY col_id, draw ORDER BY {u}, row_id) AS place FROM {name}_cells, range({DRAWS}) t(draw) WHERE n < {2 * SIZE}),
+{name}_tries AS (SELECT col_id, draw, j, {number} AS pos FROM (SELECT DISTINCT col_id, n FROM {name}_cells WHERE n >= {2 * SIZE}), range({DRAWS}) t(draw), range({tried}) x(j)),
+{name}_first AS (SELECT col_id, draw, pos, min(j) AS j FROM {name}_tries GROUP BY ALL),
+{name}_picks AS (SELECT *, row_number() OVER (PARTITION BY col_id, draw ORDER BY j) AS place FROM {name}_first),
+{name}_drawn AS (SELECT col_id, draw, raw FROM {name}_few WHERE place <= {SIZE} UNION ALL SELECT col_id, draw, raw FROM {name}_picks JOIN {name}_cells USING (col_id, pos) WHERE place <= {SIZE}),
+{name}_rsd AS (SELECT col_id, draw, abs(stddev_pop(raw) / nullif(avg(raw), 0)) AS rsd FROM {name}_drawn GROUP BY ALL),
 {name} AS (SELECT col_id, {DRAWS} AS resamples, list(rsd ORDER BY rsd) AS lowest FROM (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY rsd, draw) AS place FROM {name}_rsd WHERE rsd IS NOT NULL) WHERE place <= {round(DRAWS * KEEP)} GROUP BY 1)"""
 
 
@@ -654,6 +829,21 @@ def _(m: Star) -> DataFrame:
     return blocks.block_pairs(groups_of(m))
 
 
+@query("block_weights", "member AS (SELECT group_id, block FROM blocks) SELECT DISTINCT p.block AS x, q.block AS y, 2.0::DOUBLE AS weight FROM member p JOIN member q USING (group_id) WHERE p.block <> q.block")
+def _(m: Star) -> DataFrame:
+    return blocks.inclusion_weights(groups_of(m))
+
+
+@query("column_picks", None)
+def _(m: Star) -> DataFrame:
+    """Columns of 20 runs; as many blocks as there are nations come to the driver."""
+    listed = {r["block"]: r["cols"] for r in m.blocks.groupBy("block").agg(F.array_sort(F.collect_set("sample")).alias("cols")).orderBy("block").collect()}
+    together = {(r["x"], r["y"]): r["weight"] for r in blocks.inclusion_weights(groups_of(m)).collect()}
+    sizes = {b: len(c) for b, c in listed.items()}
+    picked = blocks.pick_columns(listed, blocks.random_exclusions(sizes, 4, sum(sizes.values())), 20, sum(sizes.values()) / 8, 1.0, together=together)
+    return m.spark.createDataFrame([(k, len(r["blocks"]), len(r["cols"]), r["excluded"]) for k, r in enumerate(picked)], "run int, blocks int, cols int, excluded string")
+
+
 @query("weighted_sample", f"SELECT col_id FROM (SELECT col_id, pow({uniform_sql(5, 'col_id')}, 1.0 / (1 + col_id % 7)) AS k FROM col_info) ORDER BY k DESC, col_id LIMIT 20")
 def _(m: Star) -> DataFrame:
     return blocks.weighted_sample(m.col_info.select("col_id"), "col_id", (1 + F.col("col_id") % 7).cast("double"), 20, 5).select("col_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coclave.operators.expression import missing_to_null, to_long, zscore
+from coclave.operators.number import in_place
 
 
 def ratios(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +71,8 @@ def contig_of(name: object) -> object:
 
 
 def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of one text file, numbered from 0 in file order; the numbering follows the files' splits, which are in order."""
-    numbered = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
-    return numbered.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__id")) - 1).alias("pos"), F.col("value").alias("line"))
+    """(pos, line) of one text file, numbered from 0 in file order; the numbering follows the file's splits, which are in order."""
+    return in_place(spark.read.text(path), "pos").select("pos", F.col("value").alias("line"))
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
@@ -125,10 +125,34 @@ def last_iteration(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows of the last iteration, of each run where `by` names it."""
     by = by or []
     last = table.groupBy(*by).agg(F.max("iteration").alias("__last"))
-    joined = table.join(F.broadcast(last), by) if by else table.crossJoin(F.broadcast(last))
+    # Without `by` it is one row; else a row per group, which the planner broadcasts only if it is small.
+    joined = table.join(last, by) if by else table.crossJoin(F.broadcast(last))
     return joined.filter("iteration = __last").drop("__last")
 
 
+def scan_table(spark: SparkSession, folders: dict[str, str], max_p: float = 1e-5) -> DataFrame:
+    """The scans of every run as one table with run_id, to be saved in folders by it; folders: run_id to a path or glob of scans."""
+    whole = None
+    for run, path in folders.items():
+        part = fimo(spark, path, max_p).withColumn("run_id", F.lit(run))
+        whole = part if whole is None else whole.unionByName(part)
+    if whole is None:
+        raise ValueError("no runs")
+    return whole
+
+
+def with_cluster_ids(scans: DataFrame, biclusters: DataFrame, runs: DataFrame) -> DataFrame:
+    """Scans (dirname, cluster, ...) with the cluster_id that the run of that directory has for that number; others are left out."""
+    known = biclusters.join(runs.select("run_id", "dirname"), "run_id").select("dirname", F.col("cluster_num").alias("cluster"), "cluster_id")
+    return scans.join(known, ["dirname", "cluster"])
+
+
+def organism_code(infos: DataFrame) -> str | None:
+    """The code of the first run that has one."""
+    first = infos.filter(F.col("ncbi_code").isNotNull()).select(F.col("ncbi_code").cast("string").alias("code")).limit(1).collect()
+    return first[0]["code"] if first else None
+
+
 def ensembles(runs: DataFrame) -> DataFrame:
     """(organism, species): the first species by name of each organism that has runs."""
     return runs.groupBy("organism").agg(F.min("species").alias("species"))

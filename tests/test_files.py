@@ -2,6 +2,7 @@ import bz2
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from coclave.plans.assemble import assemble
 from coclave.sources import files, sinks
@@ -61,7 +62,17 @@ def test_sinks(spark, tmp_path):
     pwm = spark.createDataFrame([("m", 1, 0.5, 0.5, 0.0, 0.0), ("m", 0, 0.25, 0.25, 0.25, 0.25)], "motif_id string, row int, a double, c double, g double, t double")
     sinks.meme_text(pwm, ["motif_id"], f"{tmp_path}/meme")
     text = "".join(p.read_text() for p in sorted((tmp_path / "meme").glob("*.txt")))
-    assert text.splitlines()[:3] == ["letter-probability matrix: alength= 4 w= 2 nsites= 0", "0.250 0.250 0.250 0.250", "0.500 0.500 0.000 0.000"]
+    lines = text.splitlines()
+    assert lines[0] == "MEME version 3.0" and lines[7] == "A 0.284 C 0.216 G 0.216 T 0.284"
+    assert lines[9:12] == ["letter-probability matrix: alength= 4 w= 2 nsites= 0", "0.250 0.250 0.250 0.250", "0.500 0.500 0.000 0.000"]
+    exported = spark.createDataFrame([("m", 12, 0.00123)], "motif_id string, num_sites long, evalue double")
+    sinks.meme_text(pwm, ["motif_id"], f"{tmp_path}/meme2", exported, F.col("motif_id"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "meme2").glob("*.txt")))
+    assert "\nMOTIF m\nBL   MOTIF m width=0 seqs=0\nletter-probability matrix: alength= 4 w= 2 nsites= 12 E= 1.230e-03\n0.250" in text
+    edges = spark.createDataFrame([(1, 9, 3, 0.5, 1.0, 0.5)], "corem_id int, a long, b long, weight double, density double, weighted_density double")
+    cols = spark.createDataFrame([(1, 4, 0.01)], "corem_id int, col_id long, pval double")
+    sinks.save_communities(edges, cols, f"{tmp_path}/c")
+    assert spark.read.parquet(f"{tmp_path}/c/corem_edges").first()["edge"] == "3-9" and spark.read.parquet(f"{tmp_path}/c/corem_cols").first()["col_id"] == 4
     for k in (1, 2):
         sinks.save(spark.createDataFrame([(k, k * 10)], "corem_id int, x int"), f"{tmp_path}/p", ["corem_id"], "overwrite")
     assert spark.read.parquet(f"{tmp_path}/p").count() == 2

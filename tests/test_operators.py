@@ -116,7 +116,7 @@ def test_intervals(spark):
     assert {r["hit_id"] for r in interval.contained(hits, 1, 4, "c").collect()} == {1, 2}
     marks = spark.createDataFrame([("c", 10, 20), ("c", 15, 30), ("c", 15, 30), ("d", 38, 5000)], "contig string, start_pos int, end_pos int")
     assert rows(interval.covered(marks)) == [("c", 20), ("d", 4962)]
-    assert rows(interval.flag_points(hits, ["start", "stop"], marks, width=16).select("hit_id", "in_coding_rgn")) == [(1, False), (2, False), (3, True)]
+    assert rows(interval.flag_points(hits, ["start", "stop"], marks).select("hit_id", "in_coding_rgn")) == [(1, False), (2, False), (3, True)]
 
 
 def test_resampling(spark):
