@@ -47,6 +47,8 @@ LENGTH_CLASSES = (20, 28, 40, 64, 128)
 LEVELS = len(LENGTH_CLASSES) + 1
 #: Candidates rejected as random at this level are dropped.
 RANDOM_LEVEL = 0.001
+#: Weight of a letter's frequency in both cases beside that in its own: a corpus may hold a case in little but secrets.
+FOLDED = 0.05
 BINS = 400  # of -log10 p, ten to a unit
 
 
@@ -131,7 +133,8 @@ def randomness(values: np.ndarray, size: int) -> float:
 def text_p(values: np.ndarray, alphabet: str, counts: np.ndarray) -> float:
     """How likely ordinary text of this length is to spread so evenly over the alphabet; normal approximation."""
     size, n = len(alphabet), len(values)
-    own = counts[[ord(c) for c in alphabet]] + 1.0
+    at = [ord(c) for c in alphabet]
+    own = counts[at] + FOLDED * (counts[[ord(c.lower()) for c in alphabet]] + counts[[ord(c.upper()) for c in alphabet]]) / 2 + 1.0
     delta = float((((own / own.sum()) - 1 / size) ** 2).sum() * size)
     mean, var = size - 1 + (n - 1) * delta, 2 * (size - 1) + 4 * n * delta
     return max(_tail((mean - chi_squared(values, size)) / math.sqrt(var)), 1e-39)
@@ -220,6 +223,19 @@ def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(128, dtype=np.int32)), pa.array(seen[:128])], ["code", "n"])
 
 
+def cuts_of(binned: list, false_discoveries: float) -> dict[int, int]:
+    """The least bin that is a discovery by Benjamini and Hochberg's rule, of each level of rows (level, bin, n) that has one."""
+    cuts = {}
+    for level in {r["level"] for r in binned}:
+        own = {r["bin"]: r["n"] for r in binned if r["level"] == level}
+        total, above = sum(own.values()), 0
+        for p in sorted(own, reverse=True):
+            above += own[p]
+            if total * 10 ** (-p / 10) <= false_discoveries * above:
+                cuts[level] = p
+    return cuts
+
+
 def fit(docs: DataFrame, text: str = "text", false_discoveries: float = 0.01) -> Scanner:
     """A scanner with the character counts and cuts of all documents."""
     ready(docs.sparkSession)
@@ -230,13 +246,7 @@ def fit(docs: DataFrame, text: str = "text", false_discoveries: float = 0.01) ->
         counts[r["code"]] = r["n"]
     scanner = Scanner(counts)
     binned = mapped(texts, scanner.histogram, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
-    for level in {r["level"] for r in binned}:
-        own = {r["bin"]: r["n"] for r in binned if r["level"] == level}
-        total, above = sum(own.values()), 0
-        for p in sorted(own, reverse=True):
-            above += own[p]
-            if total * 10 ** (-p / 10) <= false_discoveries * above:
-                scanner.cuts[level] = p
+    scanner.cuts = cuts_of(binned, false_discoveries)
     return scanner
 
 
