@@ -6,8 +6,10 @@ proportion to their weights. As each node's budget already fits what lies under
 when its own children are all exhausted. A leaf with budget b over t tokens repeats whole epochs and then takes a prefix of a
 seeded order of its documents.
 
-Gathered are sums per leaf and over a fixed number of ranges of the seeded order per leaf. Rows are ranked only inside the one
-range of a leaf where its prefix ends; before it all are taken, behind it none.
+Gathered are sums per leaf and over a fixed number of ranges of the seeded order per leaf, and again over as many parts of the one
+range of a leaf where its prefix ends. Documents are ranked only inside the one part where it ends, one in four million of a leaf,
+from a table of hashes and token counts; the last that is taken is the leaf's cut. Whole rows are read once more and compared with
+it, and are never dealt out.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coclave.runtime import cut
+from coclave.runtime import cut, keep
 
-#: Ranges of the seeded order per leaf.
+#: Ranges of the seeded order per leaf, and parts of a range; the order has 2 ** 48 places.
 RANGES = 2048
+WIDTH, PART = 2**48 // RANGES, 2**48 // RANGES**2
 LEVELS = ["domain", "lang", "source"]
 #: Leaves that are broadcast; beyond it they are joined by shuffling.
 BROADCAST_LEAVES = 20_000
@@ -90,44 +93,49 @@ def choose(
 
     The budget is `share` of all tokens. A row is taken once for each whole epoch of its leaf, and once more if the tokens up to
     and with it in the seeded order of the last epoch fit what is left; the order goes by a hash of key and token count, then
-    by these two. Null texts have no token and follow the prefix they stand in. Null keys, languages and sources count as "".
-    Repeated rows are rows of their own. Clashing columns stay inside `row`. An empty table gives no rows.
+    by these two, and rows equal in them are taken all or none. Null texts have no token and follow the prefix they stand in. Null
+    keys, languages and sources count as "". Repeated rows are rows of their own. Clashing columns stay inside `row`. An empty table
+    gives no rows.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = (
-        docs.select(
-            F.struct(*(F.col(c) for c in docs.columns)).alias("row"),
-            F.coalesce(domain.cast("string"), F.lit("")).alias("domain"),
-            name(lang).alias("lang"),
-            name(source).alias("source"),
-            count_words(F.col(text)).alias("n_tokens"),
-            F.col(key).alias("key"),
-        )
-        .withColumn("at", seeded_order(seed, F.col("key"), F.col("n_tokens")))
-        .withColumn("range", F.expr(f"at div {2**48 // RANGES}"))
-    )
-    ranges = cut(rows.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("in_range")))
+    rows = docs.select(
+        F.struct(*(F.col(c) for c in docs.columns)).alias("row"),
+        F.coalesce(domain.cast("string"), F.lit("")).alias("domain"),
+        name(lang).alias("lang"),
+        name(source).alias("source"),
+        count_words(F.col(text)).alias("n_tokens"),
+        F.col(key).alias("key"),
+    ).withColumn("at", seeded_order(seed, F.col("key"), F.col("n_tokens")))
+    slim = keep(rows.select(*LEVELS, "n_tokens", "key", "at", F.expr(f"at div {WIDTH}").alias("range")), "mix")
+    ranges = cut(slim.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("in_range")))
     leaves = ranges.groupBy(*LEVELS).agg(F.sum("in_range").alias("tokens"))
     total = (ranges.agg(F.sum("in_range")).first()[0] or 0) * share
-    line = Window.partitionBy(*LEVELS).orderBy("range")
     budgets = (
         leaf_budgets(leaves, weights, total, max_epochs)
         .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor((F.col("budget") + 1e-6) / F.col("tokens"))).otherwise(0))
         .withColumn("rest", F.floor(F.col("budget") - F.col("epochs") * F.col("tokens") + 1e-6))
-    )
-    filled = ranges.withColumn("upto", F.sum("in_range").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = cut(
-        filled.join(budgets, LEVELS)
-        .groupBy(*LEVELS, "epochs", "rest", "budget")
-        .agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("range", (F.col("upto") - F.col("in_range")).alias("before")))).alias("end"))
-        .select(*LEVELS, "epochs", "rest", "budget", F.col("end.range").alias("end"), F.col("end.before").alias("before"))
         .filter("budget > 0")
+        .select(*LEVELS, "epochs", "rest")
     )
+
+    def first_beyond(sums: DataFrame, at: str, before: Column) -> DataFrame:
+        """Adds `end`, the first place where the sums of a leaf pass its rest, and `before`, the tokens ahead of it; null if none does."""
+        line = Window.partitionBy(*LEVELS).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        upto = sums.withColumn("upto", before + F.sum("tokens").over(line))
+        found = F.min(F.when(F.col("upto") > F.col("rest"), F.struct(at, (F.col("upto") - F.col("tokens")).alias("before")))).alias("end")
+        return upto.groupBy(*LEVELS, "epochs", "rest").agg(found).select(*LEVELS, "epochs", "rest", F.col(f"end.{at}").alias("end"), F.col("end.before").alias("before"))
+
+    ends = cut(first_beyond(ranges.withColumnRenamed("in_range", "tokens").join(budgets, LEVELS), "range", F.lit(0)))
     small = ends.count() <= BROADCAST_LEAVES
-    joined = rows.join(F.broadcast(ends) if small else ends, LEVELS)
-    plain = joined.filter("end is null or range <> end").withColumn("copies", F.col("epochs") + F.when(F.expr("rest > 0 and (end is null or range < end)"), 1).otherwise(0))
-    within = Window.partitionBy(*LEVELS).orderBy("at", "key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.filter("range = end").withColumn("copies", F.col("epochs") + F.when(F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest"), 1).otherwise(0))
-    edge = edge.withColumn("copies", F.when(F.col("rest") > 0, F.col("copies")).otherwise(F.col("epochs")))
-    out = ["row", *LEVELS, "n_tokens", F.col("copies").cast("long").alias("copies")]
-    return plain.select(*out).unionByName(edge.select(*out)).filter("copies > 0")
+    given = lambda df: F.broadcast(df) if small else df
+    edge = slim.join(given(ends.filter("rest > 0")), LEVELS).filter("range = end").withColumn("part", F.expr(f"at div {PART}"))
+    parts = edge.groupBy(*LEVELS, "epochs", "rest", "before", "part").agg(F.sum("n_tokens").alias("tokens"))
+    inner = cut(first_beyond(parts, "part", F.col("before")).select(*LEVELS, "rest", F.col("end").alias("part"), F.col("before").alias("ahead")))
+    line = Window.partitionBy(*LEVELS).orderBy("at", "key", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = edge.select(*LEVELS, "part", "at", "key", "n_tokens").join(given(inner), [*LEVELS, "part"]).withColumn("upto", F.col("ahead") + F.sum("n_tokens").over(line))
+    place = F.struct("at", "key", "n_tokens")
+    last = ranked.filter("upto <= rest").groupBy(*LEVELS).agg(F.max(place).alias("last"))
+    cuts = cut(ends.join(inner.select(*LEVELS, "part"), LEVELS, "left").join(last, LEVELS, "left").select(*LEVELS, "epochs", "rest", "end", (F.col("part") * PART).alias("limit"), "last"))
+    within = F.col("end").isNull() | (F.col("at") < F.col("limit")) | F.coalesce(place <= F.col("last"), F.lit(False))
+    copies = F.col("epochs") + F.when((F.col("rest") > 0) & within, 1).otherwise(0)
+    return rows.join(given(cuts), LEVELS).withColumn("copies", copies.cast("long")).filter("copies > 0").select("row", *LEVELS, "n_tokens", "copies")

@@ -69,7 +69,7 @@ middle AS {_share_sql("langs2", "domain", "upper")},
 sources2 AS (SELECT s.*, m.budget AS upper FROM sources s JOIN (SELECT domain, lang, budget FROM middle) m USING (domain, lang)),
 final AS (SELECT domain, lang, source, tokens, budget, CASE WHEN tokens > 0 THEN floor((budget + 1e-6) / tokens) ELSE 0 END AS epochs FROM {_share_sql("sources2", "domain, lang", "upper")}),
 lined AS (SELECT p.*, f.budget, f.epochs, floor(f.budget - f.epochs * f.tokens + 1e-6) AS rest,
-  sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY spot, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed p JOIN final f USING (domain, lang, source))
+  sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY spot, doc_id, n_tokens) AS upto FROM placed p JOIN final f USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM lined WHERE budget > 0 AND epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
 """
