@@ -88,6 +88,10 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+#: Members of an archive at most: the counts of a ZIP's foot are 16 bits wide.
+MEMBERS = 65_535
+
+
 class ArchiveWriter:
     """For mapped() over (key, text): writes archives, yields a manifest row for each that is finished."""
 
@@ -109,7 +113,7 @@ class ArchiveWriter:
                 out.write(LOCAL.pack(b"PK\3\4", 20, 0, 0, 0, 33, crc, len(media), len(media), len(label), 0) + label)
                 out.write(media)
                 at += LOCAL.size + len(label) + len(media)
-                if at >= self.archive_bytes:
+                if at >= self.archive_bytes or len(entries) == MEMBERS:
                     yield self._finish(out, name, entries, at)
                     out = None
         if out is not None:
@@ -119,8 +123,7 @@ class ArchiveWriter:
     def _finish(out: pa.NativeFile, name: str, entries: list[bytes], at: int) -> pa.RecordBatch:
         directory = b"".join(entries)
         out.write(directory)
-        # The counts of a ZIP's foot are 16 bits wide; a longer directory is walked by its length.
-        out.write(FOOT.pack(b"PK\5\6", 0, 0, min(len(entries), 65535), min(len(entries), 65535), len(directory), at, 0))
+        out.write(FOOT.pack(b"PK\5\6", 0, 0, len(entries), len(entries), len(directory), at, 0))
         out.close()
         return pa.RecordBatch.from_pydict({"archive": [name], "bytes": [at + len(directory) + FOOT.size], "members": [len(entries)]})
 
