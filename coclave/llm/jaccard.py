@@ -391,30 +391,31 @@ def _add_class(batches: Iterator[pa.RecordBatch], column: int, width: int, key:
         texts = batch.column(column).cast(pa.binary())
         sets = _sets(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["key", "text"])]), width)
         classes = pa.array([class_of(s) if len(s) else None for _, s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "cls"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "__cls"])
 
 
 def least_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """The rows of docs without those that link with a row of a lesser key; `groups` are the rows of grouped().
 
     Rows that share a key go by their own texts: of those that link the one with the longest text stays, at a tie the last in
-    order. Rows with a null key or without words stay. Only rows whose key may have to go are signed again and joined.
+    order. Rows with a null key or without words stay. Only rows whose key may have to go are signed again and joined. All columns
+    of docs stay as they are, whatever their names; an empty table gives no rows.
     """
-    linked = groups.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-    own = linked.filter(F.col(key) == F.col("component_id"))
-    often = own.groupBy(key, "component").count().filter("count > 1").drop("count")
-    again = own.join(often, [key, "component"], "left_semi").select(key, "cls", "component", F.lit(False).alias("__gone"))
-    gone = linked.filter(F.col(key) != F.col("component_id")).select(key, "cls", "component", F.lit(True).alias("__gone"))
-    marked = cut(gone.unionByName(again).distinct())
-    marks, bits = marks_of(marked.select(key).distinct(), key)
-    at, schema = docs.columns.index(key), StructType([*docs.schema.fields, StructField("cls", LongType())])
+    linked = groups.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(key).alias("__key"), F.col("cls").alias("__cls"), F.col("component").alias("__component"), "component_id")
+    own = linked.filter("__key = component_id")
+    often = own.groupBy("__key", "__component").count().filter("count > 1").drop("count")
+    again = own.join(often, ["__key", "__component"], "left_semi").withColumn("__gone", F.lit(False))
+    gone = linked.filter("__key <> component_id").withColumn("__gone", F.lit(True))
+    marked = cut(gone.unionByName(again).drop("component_id").distinct())
+    marks, bits = marks_of(marked.select("__key").distinct(), "__key")
+    at, schema = docs.columns.index(key), StructType([*docs.schema.fields, StructField("__cls", LongType())])
     clear = mapped(docs, partial(_by_mark, column=at, marks=marks, bits=bits, marked=False), docs.schema)
-    signed = mapped(docs, partial(_add_class, column=docs.columns.index(text), width=width, key=at, marks=marks, bits=bits), schema)
-    kept = clear.unionByName(signed.join(marked, [key, "cls"], "left_anti").select(*docs.columns))
+    signed = mapped(docs, partial(_add_class, column=docs.columns.index(text), width=width, key=at, marks=marks, bits=bits), schema).withColumn("__key", F.col(key).cast("long"))
+    kept = clear.unionByName(signed.join(marked, ["__key", "__cls"], "left_anti").select(*docs.columns))
     if not (repeated := marked.filter("not __gone")).limit(1).count():
         return kept
     whole = F.struct(F.length(text).alias("length"), F.col(text).alias("last"), F.struct(*docs.columns).alias("row"))
-    best = signed.join(repeated, [key, "cls"]).groupBy(key, "component").agg(F.max(whole).alias("best"))
+    best = signed.join(repeated, ["__key", "__cls"]).groupBy("__key", "__component").agg(F.max(whole).alias("best"))
     return kept.unionByName(best.select("best.row.*"))
 
 

@@ -85,7 +85,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(key, piece, start, length, ids_crc32): each document's ids with `end_id` behind them, cut only beyond `capacity`."""
+    """(key, piece, start, length, ids_crc32): each document's ids with `end_id` behind them, cut only beyond `capacity`.
+
+    Null and empty texts are the end id alone; null and repeated keys give pieces like any others; an empty table gives none.
+    """
     ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return mapped(
@@ -98,7 +101,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 def place(pieces: DataFrame, capacity: int = 4096, spread: int = 4096) -> DataFrame:
     """The pieces with sequence_id and offset.
 
-    Ranks within a length are counted in salted parts of about `spread` pieces, so that one frequent length is not one task.
+    Ranks within a length are counted in salted parts of about `spread` pieces, so that one frequent length is not one task. Equal
+    pieces, also those with null keys, take places of their own; no pieces, no rows.
     """
     spark: SparkSession = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

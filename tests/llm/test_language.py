@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from coclave.llm import language
 from tests.llm import odd
 
@@ -43,3 +46,39 @@ def test_predictions_do_not_depend_on_neighbours(spark):
     alone = [model.predict([t])[1][0] for t in (odd.PROSE, odd.LONG[:5000], "größere")]
     together = model.predict([odd.PROSE, odd.LONG[:5000], "größere"])[1]
     assert max(abs(a - b) for a, b in zip(alone, together, strict=True)) < 1e-9
+
+
+def test_shares_against_a_plain_estimation():
+    """One text at a time, one word at a time: the same rounds of estimation, and languages that leave by the same rule."""
+    rng = random.Random(7)
+    model = language.Mixture(["aa", "bb", "cc"], np.log(np.random.default_rng(3).dirichlet(np.full(3, 0.3), language.CELLS)).astype(np.float32))
+
+    def plain(said):
+        words = said.split()
+        likes = []
+        for w in words:
+            cells, _ = language.trigram_cells([w])
+            ll = model.table[cells].sum(0, dtype=np.float64)
+            likes.append(np.exp(np.maximum(ll - ll.max(), -80)))
+
+        def rounds(share, n):
+            for _ in range(n):
+                parts = [x * share / max((x * share).sum(), 1e-300) for x in likes]
+                share = np.sum(parts, 0) / len(words)
+            return share, sum(math.log(max((x * share).sum(), 1e-300)) for x in likes)
+
+        share, fit = rounds(np.full(3, 1 / 3), 6)
+        active = [0, 1, 2]
+        while len(active) > 1:
+            least = min(active, key=lambda k: share[k])
+            start = np.array([share[k] + 1e-9 if k in active and k != least else 0.0 for k in range(3)])
+            trial, trial_fit = rounds(start / start.sum(), 3)
+            if trial_fit + 0.5 * math.log(max(len(words), 2)) < fit:
+                break
+            share, fit = trial, trial_fit
+            active.remove(least)
+        return share / share.sum()
+
+    for _ in range(60):
+        said = " ".join(text(rng, rng.choice(list(SYLLABLES)), 1) for _ in range(rng.randint(1, 40)))
+        assert np.allclose(model.shares([said])[0], plain(said), atol=1e-6), said
