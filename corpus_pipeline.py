@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coclave.llm import jaccard, language, mixing, packing, secrets
 from coclave.llm.queries import MIX_SEED, domain_of, mix_weights, tokenizer_path
-from coclave.runtime import keep, ready
+from coclave.runtime import discard, keep, ready
 
 #: The least share of a document's words that its language must have.
 LEAST_SHARE = 0.4
@@ -34,17 +34,17 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are written over; every document stays. n_chars follows the text."""
+    """Secrets are written over; every document stays, with its null or empty text as it is. n_chars follows the text."""
     return secrets.hide_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights choose."""
+    """The documents that the target weights choose; null texts have no token, null languages and sources count as empty names."""
     return mixing.choose(docs, mix_weights(spark), domain_of("source"), SHARE, EPOCHS, MIX_SEED).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in sequences."""
+    """Every document's pieces with their places in sequences; a null or empty text is a piece of the end id alone."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -61,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
