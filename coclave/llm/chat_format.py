@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Strings that templates use to mark turns.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
 OPEN, CLOSE, SEP, END = "<|", "|>\n", "<|sep|>", "<|end|>\n"
+#: Parts whose running sums are appended one after another.
+CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -31,6 +33,20 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
+def begins(lengths: Column) -> Column:
+    """Where each part begins, of parts of these lengths laid end to end.
+
+    Running sums are appended within chunks and over the chunks, so what is copied grows with CHUNK times the parts, and with the
+    square of the number of chunks, not of parts.
+    """
+    sums = lambda of: F.aggregate(of, F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.get(acc, F.size(acc) - 1) + n))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))
+    inner = F.transform(numbers, lambda c: sums(F.slice(lengths, c * CHUNK + 1, CHUNK)))
+    whole = F.struct(inner.alias("inner"), sums(F.transform(inner, lambda e: F.element_at(e, -1))).alias("before"))
+    laid = lambda w: F.flatten(F.transform(w["inner"], lambda e, c: F.transform(F.slice(e, 1, F.size(e) - 1), lambda x: x + F.get(w["before"], c))))
+    return F.when(F.size(lengths) > 0, F.get(F.transform(F.array(whole), laid), F.lit(0))).otherwise(F.array().cast("array<long>"))
+
+
 def format_chats(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", train_on: str = "assistant"
 ) -> DataFrame:
@@ -77,11 +93,7 @@ def format_chats(
             lambda run: F.concat(F.lit(OPEN), escape(run["role"]), F.lit(CLOSE), F.array_join(run["texts"], SEP), F.lit(END)),
         ),
     )
-    # Ends of blocks by one pass that appends running sums; then ends of texts in each trained block.
-    ends = lambda lengths: F.aggregate(
-        lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.get(acc, F.size(acc) - 1) + n)
-    )
-    blocks = blocks.withColumn("ends", ends(F.transform("blocks", lambda b: F.length(b).cast("long"))))
+    blocks = blocks.withColumn("begins", begins(F.transform("blocks", lambda b: F.length(b).cast("long"))))
     spans = F.flatten(
         F.transform(
             "runs",
@@ -90,11 +102,11 @@ def format_chats(
                 F.transform(
                     F.arrays_zip(
                         run["texts"].alias("t"),
-                        F.slice(ends(F.transform(run["texts"], lambda t: (F.length(t) + len(SEP)).cast("long"))), 1, F.size(run["texts"])).alias("at"),
+                        begins(F.transform(run["texts"], lambda t: (F.length(t) + len(SEP)).cast("long"))).alias("at"),
                     ),
                     lambda x: F.struct(
-                        (F.get("ends", k) + len(OPEN) + F.length(escape(run["role"])) + len(CLOSE) + x["at"]).alias("start"),
-                        (F.get("ends", k) + len(OPEN) + F.length(escape(run["role"])) + len(CLOSE) + x["at"] + F.length(x["t"])).alias("stop"),
+                        (F.get("begins", k) + len(OPEN) + F.length(escape(run["role"])) + len(CLOSE) + x["at"]).alias("start"),
+                        (F.get("begins", k) + len(OPEN) + F.length(escape(run["role"])) + len(CLOSE) + x["at"] + F.length(x["t"])).alias("stop"),
                     ),
                 ),
             ).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>")),

@@ -32,3 +32,10 @@ def test_odd_rows(spark):
     assert [(t["role"], t["text"]) for t in got[1]["read"]] == [("", "first"), ("user", ""), ("user", "b"), ("assistant", ""), ("assistant", "tie")]
     assert got[1]["loss"] == "tie" and got[None]["loss"] == "x" and len(got[3]["read"]) == 2 and got[2]["loss_spans"] == []
     assert formatted(df.filter("false")).count() == 0
+
+
+def test_begins_of_many_parts(spark):
+    rng = random.Random(4)
+    rows = [(n, [rng.randint(0, 9) for _ in range(n)]) for n in (0, 1, 2, 255, 256, 257, 511, 512, 513, 3000)]
+    for r in spark.createDataFrame(rows, "n int, lengths array<long>").select("lengths", chat_format.begins(F.col("lengths")).alias("at")).collect():
+        assert r["at"] == [sum(r["lengths"][:k]) for k in range(len(r["lengths"]))]
