@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from coclave.llm import jaccard
@@ -93,3 +94,30 @@ def test_without_keeps_the_rest(spark):
     assert left.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, *_ in odd.rows() if i not in (2, 7))
     assert jaccard.without(docs, gone.filter("false")).count() == docs.count()
+
+
+def test_a_passage_in_all_documents_makes_few_candidates(spark, monkeypatch):
+    """Documents of many sizes around one passage: the pairs that are looked at grow with the documents, not with their square."""
+    rng, seen = random.Random(12), []
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(4, 40))) + " " + passage) for k in range(500)]
+    plausible = jaccard.Join.plausible
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return plausible(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "plausible", counted)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert sum(seen) <= 4 * len(rows)
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng = random.Random(3)
+    for _ in range(300):
+        base = np.array([rng.getrandbits(64) for _ in range(rng.choice((1, 5, 40, 300, 900)))], np.uint64)
+        other = np.concatenate([base[rng.randint(0, len(base) // 4) :], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, len(base)))], np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        x, y = (np.frombuffer(jaccard.sketch_of(s), np.uint8).reshape(1, -1) for s in (a, b))
+        assert jaccard.differing(x, y)[0] <= len(np.setxor1d(a, b))
+        assert jaccard.differing(x, x)[0] == 0
