@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from coclave.operators.components import components
 from coclave.operators.number import in_order
-from coclave.runtime import cut
 
 #: The cuts of a whole sweep.
 THRESHOLDS = [k / 10 for k in range(1, 11)]
@@ -27,8 +26,7 @@ def link_communities(edges: DataFrame, similarity: DataFrame, thresholds: list[f
 
     `similarity` is (keystone, i, j, similarity). A community is numbered by its first edge in order of (a, b).
     """
-    edges = cut(edges)
-    named = cut(_numbered(edges, thresholds))
+    named = _numbered(edges, thresholds)
     of = lambda x, y, out: (F.least(x, y).alias(f"{out}_a"), F.greatest(x, y).alias(f"{out}_b"))
     pairs = similarity.filter(F.col("similarity") >= min(thresholds)).select(*of("keystone", "i", "x"), *of("keystone", "j", "y"), "similarity")
     x = named.select(F.col("a").alias("x_a"), F.col("b").alias("x_b"), F.col("id").alias("src"), "threshold")

@@ -628,15 +628,15 @@ def _(m: Star) -> DataFrame:
     return loaded(m, "sites")
 
 
-@query("motif_best_sites", """placed AS (SELECT gre_id AS cluster, (h.cluster_id % 50)::VARCHAR AS name, pvalue, start FROM hits h JOIN motifs USING (cluster_id, motif_num) WHERE gre_id IS NOT NULL),
-sizes AS (SELECT gre_id AS cluster, count(*) AS motifs FROM motifs WHERE gre_id IS NOT NULL GROUP BY 1),
+@query("motif_best_sites", """placed AS (SELECT gre_id AS cluster, (h.cluster_id % 25)::VARCHAR AS name, pvalue, start FROM hits h JOIN motifs USING (cluster_id, motif_num) WHERE gre_id IS NOT NULL),
+sizes AS (SELECT gre_id AS cluster, count(*) AS motifs FROM motifs WHERE gre_id IS NOT NULL AND evalue < 0.01 GROUP BY 1),
 best AS (SELECT cluster, name, min(pvalue) AS pvalue, arg_min(start, (pvalue, start)) AS start, count(*) AS n FROM placed GROUP BY ALL),
 wide AS (SELECT *, sum((motifs > 100 AND n > motifs / 20.0)::INT) OVER (PARTITION BY cluster) AS remain FROM best JOIN sizes USING (cluster))
 SELECT cluster, name, pvalue, start, n FROM wide WHERE (motifs <= 100 AND n > 2) OR (motifs > 100 AND n > motifs / 20.0 AND (remain > 2 OR n > 2))""")
 def _(m: Star) -> DataFrame:
     named = interval.gre_hits(m.hits, m.motifs, by_motif=True)
-    sites = named.select(F.col("gre_id").alias("cluster"), (F.col("cluster_id") % 50).cast("string").alias("name"), "pvalue", "start")
-    sizes = m.motifs.filter("gre_id is not null").groupBy(F.col("gre_id").alias("cluster")).agg(F.count("*").alias("motifs"))
+    sites = named.select(F.col("gre_id").alias("cluster"), (F.col("cluster_id") % 25).cast("string").alias("name"), "pvalue", "start")
+    sizes = m.motifs.filter("gre_id is not null and evalue < 0.01").groupBy(F.col("gre_id").alias("cluster")).agg(F.count("*").alias("motifs"))
     return motif.best_sites(sites, sizes)
 
 
