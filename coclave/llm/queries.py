@@ -131,6 +131,20 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Every pair of documents with a common shingle, counted; reach follows the links. Meant for thousands of documents.
+OP8_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM worded),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) m USING (doc_id)
+"""
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
@@ -178,4 +192,4 @@ FROM numbered GROUP BY conv_id
 """
 
 QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_grade": op6_quality_grade, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
-ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_chat_format": OP10_SQL}
