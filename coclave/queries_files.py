@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coclave.operators import blocks, interval, resample
+from coclave.operators.expression import zscore
 from coclave.queries import query
 from coclave.runtime import fresh_path
 from coclave.sources import files, sinks
@@ -125,3 +127,74 @@ def _(m: Star) -> DataFrame:
 @query("sink_numbered_names", "SELECT row_number() OVER (ORDER BY name) AS row_id, name FROM (SELECT DISTINCT p_name AS name FROM part)")
 def _(m: Star) -> DataFrame:
     return sinks.numbered(m.raw("part").select(F.col("p_name").alias("name")), "row_id")
+
+
+@query("sink_expression_table", """r AS (SELECT row_number() OVER (ORDER BY name) AS row_id, name FROM (SELECT DISTINCT sys_name AS name FROM row_info)), c AS (SELECT row_number() OVER (ORDER BY name) AS col_id, name FROM (SELECT DISTINCT name FROM col_info))
+SELECT r.row_id, c.col_id, round(raw, 6) AS raw, round((raw - avg(raw) OVER w) / nullif(stddev_samp(raw) OVER w, 0), 6) + 0.0 AS std FROM expr JOIN row_info i ON i.row_id = expr.row_id JOIN col_info j ON j.col_id = expr.col_id JOIN r ON r.name = i.sys_name JOIN c ON c.name = j.name WINDOW w AS (PARTITION BY expr.row_id)""")
+def _(m: Star) -> DataFrame:
+    named = m.expr.join(m.row_info.select("row_id", F.col("sys_name").alias("row")), "row_id").join(m.col_info.select("col_id", F.col("name").alias("col")), "col_id").select("row", "col", "raw")
+    rows = sinks.numbered(m.row_info.select(F.col("sys_name").alias("name")), "row_id")
+    cols = sinks.numbered(m.col_info.select("name"), "col_id")
+    done = sinks.expression_table(zscore(named, "row", "raw", "std"), rows, cols)
+    return done.select("row_id", "col_id", F.round("raw", 6).alias("raw"), (F.round("std", 6) + 0.0).alias("std"))
+
+
+GRE_DEPTH = "d AS (SELECT gre_id, position, count(*) AS value FROM (SELECT gre_id, unnest(range(start, stop + 1)) AS position FROM hits JOIN motifs USING (cluster_id, motif_num) WHERE gre_id IN (11, 12)) GROUP BY ALL)"
+
+
+@query("sink_browser_track", f"{GRE_DEPTH} SELECT 'GRE_' || gre_id AS id, position::INT AS start, position::INT AS end, '+' AS strand, 'chr' AS chr, value::INT AS value FROM d")
+def _(m: Star) -> DataFrame:
+    named = interval.gre_hits(m.hits, m.motifs.filter("gre_id in (11, 12)"), by_motif=True)
+    path = fresh_path(m.spark, "track")
+    sinks.browser_track(interval.depth(named, ["gre_id"]), "chr", path)
+    return m.spark.read.schema("start int, end int, strand string, chr string, value int, id string").csv(path, sep="\t", header=True)
+
+
+@query("sink_module_track", "SELECT 'P' || p_partkey AS gene, 'chr' AS chr, p_partkey::INT AS start, (p_partkey + p_size)::INT AS stop FROM part")
+def _(m: Star) -> DataFrame:
+    path = fresh_path(m.spark, "module")
+    genes = m.raw("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("gene"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("stop"))
+    sinks.module_track(genes, "chr", path)
+    return m.spark.read.schema("gene string, chr string, start int, stop int").csv(path, sep="\t", header=True)
+
+
+@query("sink_sub_matrix", "SELECT row_id::VARCHAR AS row, round(max(CASE WHEN col_id = 1 THEN raw END), 6) AS c1, round(max(CASE WHEN col_id = 2 THEN raw END), 6) AS c2 FROM expr WHERE col_id IN (1, 2) GROUP BY 1")
+def _(m: Star) -> DataFrame:
+    path = fresh_path(m.spark, "matrix")
+    cells = m.expr.select(F.col("row_id").cast("string").alias("row"), F.concat(F.lit("c"), F.col("col_id").cast("string")).alias("col"), F.round("raw", 6).alias("raw"))
+    sinks.sub_matrix(cells, ["c1", "c2"], path)
+    return m.spark.read.schema("row string, c1 double, c2 double").csv(path, sep="\t", header=True)
+
+
+@query("sink_sites_fasta", "SELECT 'S' || s_suppkey AS refseq, 'S' || s_suppkey AS header, repeat('N', 20) || upper(translate(md5(s_name), '0123456789abcdef', 'acgtacgtacgtacgt')) || repeat('N', 20) AS sequence FROM supplier")
+def _(m: Star) -> DataFrame:
+    path = fresh_path(m.spark, "sites")
+    sites = m.raw("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.translate(F.md5("s_name"), "0123456789abcdef", "acgtacgtacgtacgt").alias("site"))
+    sinks.sites_fasta(sites, path)
+    return files.fasta(m.spark, path)
+
+
+@query("sink_run_tables", "SELECT run_id, cluster_id, residual FROM biclusters WHERE run_id < 4 AND run_id <> 2 UNION ALL SELECT 2, -1, 0.5::DOUBLE")
+def _(m: Star) -> DataFrame:
+    """Four runs in folders of their own, of which the third is then written anew."""
+    path = fresh_path(m.spark, "runs")
+    sinks.save(m.biclusters.filter("run_id < 4").select("run_id", "cluster_id", "residual"), path, ["run_id"], "overwrite")
+    sinks.save(m.spark.sql("SELECT 2L AS run_id, -1L AS cluster_id, 0.5D AS residual"), path, ["run_id"], "overwrite")
+    return m.spark.read.parquet(path).select(F.col("run_id").cast("long").alias("run_id"), "cluster_id", "residual")
+
+
+@query("source_ensembles", "SELECT n_regionkey::VARCHAR AS organism, min(n_name) AS species FROM nation GROUP BY 1")
+def _(m: Star) -> DataFrame:
+    return files.ensembles(m.raw("nation").select(F.col("n_regionkey").cast("string").alias("organism"), F.col("n_name").alias("species")))
+
+
+@query("missing_nulls", "SELECT col_id FROM col_info WHERE col_id % 3 <> 0 OR col_id % 2 <> 0")
+def _(m: Star) -> DataFrame:
+    """Columns without 1,000 draws of sets of 5: a third has a distribution, and half of these too few draws."""
+    stored = m.col_info.filter("col_id % 3 = 0").select("col_id", F.lit(5).alias("nrows"), F.when(F.col("col_id") % 2 == 0, 1000).otherwise(10).alias("resamples"))
+    return resample.missing_nulls(m.col_info.select("col_id"), stored, 5, 1000)
+
+
+@query("set_combinations", "SELECT '' AS chosen UNION ALL SELECT x FROM (VALUES ('a'), ('b'), ('c'), ('a+b'), ('a+c'), ('b+c'), ('a+b+c')) t(x)")
+def _(m: Star) -> DataFrame:
+    return m.spark.createDataFrame([("+".join(c),) for c in blocks.set_combinations(["a", "b", "c"])], "chosen string")
