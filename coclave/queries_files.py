@@ -130,13 +130,13 @@ def _(m: Star) -> DataFrame:
 
 
 @query("sink_expression_table", """r AS (SELECT row_number() OVER (ORDER BY name) AS row_id, name FROM (SELECT DISTINCT sys_name AS name FROM row_info)), c AS (SELECT row_number() OVER (ORDER BY name) AS col_id, name FROM (SELECT DISTINCT name FROM col_info))
-SELECT r.row_id, c.col_id, round(raw, 6) AS raw, round((raw - avg(raw) OVER w) / nullif(stddev_samp(raw) OVER w, 0), 6) + 0.0 AS std FROM expr JOIN row_info i ON i.row_id = expr.row_id JOIN col_info j ON j.col_id = expr.col_id JOIN r ON r.name = i.sys_name JOIN c ON c.name = j.name WINDOW w AS (PARTITION BY expr.row_id)""")
+SELECT r.row_id, c.col_id, round((raw - avg(raw) OVER w) / nullif(stddev_samp(raw) OVER w, 0), 6) + 0.0 AS std FROM expr JOIN row_info i ON i.row_id = expr.row_id JOIN col_info j ON j.col_id = expr.col_id JOIN r ON r.name = i.sys_name JOIN c ON c.name = j.name WINDOW w AS (PARTITION BY expr.row_id)""")
 def _(m: Star) -> DataFrame:
     named = m.expr.join(m.row_info.select("row_id", F.col("sys_name").alias("row")), "row_id").join(m.col_info.select("col_id", F.col("name").alias("col")), "col_id").select("row", "col", "raw")
     rows = sinks.numbered(m.row_info.select(F.col("sys_name").alias("name")), "row_id")
     cols = sinks.numbered(m.col_info.select("name"), "col_id")
     done = sinks.expression_table(zscore(named, "row", "raw", "std"), rows, cols)
-    return done.select("row_id", "col_id", F.round("raw", 6).alias("raw"), (F.round("std", 6) + 0.0).alias("std"))
+    return done.select("row_id", "col_id", (F.round("std", 6) + 0.0).alias("std"))
 
 
 GRE_DEPTH = "d AS (SELECT gre_id, position, count(*) AS value FROM (SELECT gre_id, unnest(range(start, stop + 1)) AS position FROM hits JOIN motifs USING (cluster_id, motif_num) WHERE gre_id IN (11, 12)) GROUP BY ALL)"
