@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coclave.runtime import cut
@@ -25,6 +25,6 @@ def in_place(df: DataFrame, out: str, start: int = 0) -> DataFrame:
     return line.join(starts, "__part").withColumn(out, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
-def in_order(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
+def in_order(df: DataFrame, order: list[str | Column], out: str, start: int = 0) -> DataFrame:
     """Adds `out`, the row's number from `start` on in the order of these columns, which must tell rows apart."""
     return in_place(df.orderBy(*order), out, start)

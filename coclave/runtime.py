@@ -12,6 +12,7 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -84,6 +85,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
+def small(df: DataFrame, label: str, most: int = 1 << 16) -> DataFrame:
+    """The rows, computed once; marked for broadcast if there are at most `most` of them, else joined like any table."""
+    kept = keep(df, label)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def discard(kept: DataFrame) -> None:
     """Delete the table of keep(), once nothing that is still to run reads it."""
     spark = kept.sparkSession
