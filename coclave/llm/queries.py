@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coclave.llm import chat_format, jaccard, language, media, mixing, packing, pages, quality, secrets, vectors
+from coclave.llm import audit, chat_format, jaccard, language, media, mixing, packing, pages, phrases, pieces, quality, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,5 +191,66 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_grade": op6_quality_grade, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format}
-ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_chat_format": OP10_SQL}
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM worded, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+around AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(f) AS most FROM f, (VALUES (2), (3)) AS sizes(k), (VALUES (1), (2), (3)) AS places(i) WHERE len(ws) > k AND i + k - 1 <= len(ws) GROUP BY ALL),
+held AS (SELECT f.lang, f.phrase, ws, f.f AS a FROM f LEFT JOIN around o ON o.lang = f.lang AND o.phrase = f.phrase WHERE len(ws) > 1 AND (o.most IS NULL OR 100::HUGEINT * o.most < 80::HUGEINT * f.f)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM held, (VALUES (1), (2), (3)) AS cut(k) WHERE k < len(ws)),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS c, count(DISTINCT id) AS docs FROM words GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(c)::BIGINT AS c FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang),
+cells AS MATERIALIZED (SELECT x.lang, x.source, x.term, x.c FROM counts x JOIN kept USING (lang, term)),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM groups g LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+shares AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(x.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(x.c, 0) + 5) // (s.n + 5 * l.v))::BIGINT AS p,
+  1 + (1000000000::HUGEINT * (k.c + 5) // (l.n + 5 * l.v))::BIGINT AS q
+  FROM sums s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN cells x ON x.lang = s.lang AND x.source = s.source AND x.term = k.term),
+apart AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def piece_model() -> str:
+    """Where the model is, as tokenizer_path()."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"), piece_model(), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_source_mix": op2_source_mix, "op3_embedding_dedup": op3_embedding_dedup, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_grade": op6_quality_grade, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_main_text": op9_main_text, "op10_chat_format": op10_chat_format, "op11_collocations": op11_collocations, "op12_source_divergence": op12_source_divergence, "op13_pieces": op13_pieces}
+ORACLES = {"op2_source_mix": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_chat_format": OP10_SQL, "op11_collocations": OP11_SQL, "op12_source_divergence": OP12_SQL}

@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int = 1 << 15) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever it stands; spans sorted and disjoint.
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int = 1 << 15, codes: np.ndarray = BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever it stands; spans sorted and disjoint. `codes` numbers other units.
 
     Whole texts of any length: the running sums are taken over stretches of about `most` bytes, cut between spans.
     """
@@ -39,7 +39,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int
         e = max(k + 1, int(np.searchsorted(stop, a + most, "right")))
         b = int(stop[e - 1])
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(BYTE[data[a:b]] * _power("base", b - a), out=sums[1:])
+        np.cumsum(codes[data[a:b]] * _power("base", b - a), out=sums[1:])
         s, t = start[k:e] - a, stop[k:e] - a
         out[k:e] = mix((sums[t] - sums[s]) * _power("inverse", b - a)[s] + (t - s).astype(np.uint64))
         k = e
