@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coclave.functions.stats import rsd, uniform
+from coclave.functions.stats import uniform
+from coclave.operators.number import in_order
+from coclave.runtime import cut
 
 
 def drawn_positions(seed: int, col: Column, draw: Column, n: Column, size: int) -> Column:
@@ -23,28 +25,62 @@ def tries(size: int) -> int:
     return -(-(3 * size + 16) // 4) * 4
 
 
-def lowest_rsd(cells: DataFrame, size: int, resamples: int, keep: float = 0.1, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
-    """(col, nrows, resamples, lowest): per column the lowest share of the RSDs of `resamples` draws of `size` rows.
+def rsd_of_draws(cells: DataFrame, sizes: list[int], first: Column, count: Column, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
+    """(col, nrows, draw, rsd) of the draws first .. first + count - 1 of each size, from one sequence of rows per column and draw.
+
+    A draw of a size is the beginning of the column's sequence of that draw: a sequence is drawn once, as long as the largest size
+    asks, and its running moments give the deviation at every size on the way. So a draw of a size is the same whatever other sizes
+    are asked for. `first` and `count` may be columns of `cells` that are constant within a column, so that each is drawn as
+    far as it needs.
 
-    A column's cells are numbered once in order of their rows; draws are seeded positions, joined to the cells, so what is shuffled
-    is size times draws and not cells times draws. Columns of fewer than 2 * size rows take the rows of least seeded numbers instead,
-    which are few there; with fewer rows than `size` they draw all they have. Nothing depends on partitions: RSDs have 12 places, as
-    sums depend on order.
+    A column's cells are numbered once, in order of their rows, from ranges; draws are seeded positions, joined to the cells, so
+    what is shuffled is the largest size times draws and not cells times draws. Sizes of more than half of a column's rows go by the
+    rows of least seeded numbers instead, which are few there; with fewer rows than a size they draw all. RSDs have 12 places,
+    as sums depend on order; null where the mean is 0.
     """
-    line = Window.partitionBy(col)
-    placed = cells.select(row, col, value).filter(F.col(value).isNotNull()).withColumn("__at", (F.row_number().over(line.orderBy(row)) - 1).cast("long")).withColumn("__n", F.count("*").over(line))
-    draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    few = placed.filter(F.col("__n") < 2 * size).withColumn("draw", draws)
-    rank = Window.partitionBy(col, "draw").orderBy(uniform(seed, F.col(col), F.col(row), F.col("draw")), row)
-    few = few.withColumn("__rank", F.row_number().over(rank)).filter(F.col("__rank") <= size).select(col, "draw", value)
-    many = placed.filter(F.col("__n") >= 2 * size)
-    picks = many.groupBy(col).agg(F.max("__n").alias("__n")).withColumn("draw", draws).withColumn("__at", F.explode(drawn_positions(seed, F.col(col), F.col("draw"), F.col("__n"), size)))
-    picked = picks.select(col, "draw", "__at").join(many.select(col, "__at", value), [col, "__at"]).select(col, "draw", value)
-    each = few.unionByName(picked).groupBy(col, "draw").agg(F.round(rsd(F.col(value)), 12).alias("rsd")).filter("rsd is not null")
-    kept = round(resamples * keep)
-    by = Window.partitionBy(col).orderBy("rsd", "draw")
-    low = each.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") <= kept)
-    return low.groupBy(col).agg(F.sort_array(F.collect_list("rsd")).alias("lowest")).select(col, F.lit(size).alias("nrows"), F.lit(resamples).alias("resamples"), "lowest")
+    sizes = sorted(set(sizes))
+    held = cells.filter(F.col(value).isNotNull()).select(F.col(row).alias("__row"), F.col(col).alias("__col"), F.col(value).alias("__value"), first.cast("long").alias("__first"), count.cast("long").alias("__count"))
+    line = in_order(held, ["__col", "__row"], "__pos")
+    columns = line.groupBy("__col").agg(F.min("__pos").alias("__start"), F.count("*").alias("__n"), F.min("__first").alias("__first"), F.max("__count").alias("__count")).filter("__count > 0")
+    columns = cut(columns)
+    line = line.drop("__first", "__count")
+    asked = F.array(*map(F.lit, sizes))
+    draws = F.explode(F.expr("sequence(__first, __first + __count - 1)"))
+    # The largest size that is at most half of the rows, and whether there are larger ones.
+    half = F.coalesce(F.array_max(F.filter(asked, lambda s: s * 2 <= F.col("__n"))), F.lit(0))
+    many = columns.withColumn("__half", half).filter("__half > 0").withColumn("draw", draws)
+    tried = None
+    for size in sizes:  # one plan per step of the longest sequence, each over columns of their own
+        own = many.filter(F.col("__half") == size).select("__col", "__n", "__start", "draw", F.posexplode(drawn_positions(seed, F.col("__col"), F.col("draw"), F.col("__n"), size)).alias("__place", "__pos"))
+        tried = own if tried is None else tried.unionByName(own)
+    tried = tried.select("__col", "__n", "draw", (F.col("__place") + 1).alias("__place"), (F.col("__pos") + F.col("__start")).alias("__pos"))
+    picked = tried.join(line.select("__pos", "__value"), "__pos").select("__col", "__n", "draw", "__place", "__value", F.lit(False).alias("__few"))
+    few = line.join(columns.filter(F.col("__n") < 2 * sizes[-1]), "__col").withColumn("draw", draws)
+    rank = Window.partitionBy("__col", "draw").orderBy(uniform(seed, F.col("__col"), F.col("__row"), F.col("draw")), "__row")
+    few = few.withColumn("__place", F.row_number().over(rank)).filter(F.col("__place") <= sizes[-1]).select("__col", "__n", "draw", "__place", "__value", F.lit(True).alias("__few"))
+    along = Window.partitionBy("__col", "draw", "__few").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    moved = few.unionByName(picked).withColumn("rsd", F.round(F.abs(F.try_divide(F.stddev_pop("__value").over(along), F.avg("__value").over(along))), 12))
+    own = F.filter(asked, lambda s: (F.least(s, F.col("__n")) == F.col("__place")) & ((s * 2 > F.col("__n")) == F.col("__few")))
+    ends = moved.filter(F.col("__place").isin(sizes) | (F.col("__place") == F.col("__n")))
+    return ends.select(F.col("__col").alias(col), F.explode(own).alias("nrows"), "draw", "rsd")
+
+
+def lowest_of_sizes(cells: DataFrame, sizes: list[int], resamples: int, keep: float = 0.1, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
+    """(col, nrows, resamples, lowest): per column and size the lowest share of the RSDs of `resamples` draws, all sizes in one plan."""
+    each = rsd_of_draws(cells, sizes, F.lit(0), F.lit(resamples), seed, row, col, value).filter("rsd is not null")
+    low = lowest(each, F.lit(round(resamples * keep)), col)
+    return low.select(col, "nrows", F.lit(resamples).alias("resamples"), "lowest")
+
+
+def lowest(each: DataFrame, most: Column, col: str = "col_id") -> DataFrame:
+    """(col, nrows, lowest): of the draws (col, nrows, draw, rsd) the `most` lowest, ascending."""
+    by = Window.partitionBy(col, "nrows").orderBy("rsd", "draw")
+    return each.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") <= most).groupBy(col, "nrows").agg(F.sort_array(F.collect_list("rsd")).alias("lowest"))
+
+
+def lowest_rsd(cells: DataFrame, size: int, resamples: int, keep: float = 0.1, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
+    """lowest_of_sizes() of one size."""
+    return lowest_of_sizes(cells, [size], resamples, keep, seed, row, col, value)
 
 
 def merge(old: DataFrame, new: DataFrame, keep: float = 0.1, col: str = "col_id") -> DataFrame:
@@ -53,8 +89,8 @@ def merge(old: DataFrame, new: DataFrame, keep: float = 0.1, col: str = "col_id"
     return both.select(col, "nrows", "resamples", F.slice(F.sort_array("all"), F.lit(1), F.round(F.col("resamples") * keep).cast("int")).alias("lowest"))
 
 
-def empirical_pvalue(observed: DataFrame, nulls: DataFrame, least_resamples: int = 1, cutoff: float | None = 0.05, col: str = "col_id", value: str = "rsd") -> DataFrame:
-    """(col, pval) of observed (col, value) against the stored lowest values.
+def empirical_pvalue(observed: DataFrame, nulls: DataFrame, least_resamples: int = 1, cutoff: float | None = 0.05, col: str = "col_id", value: str = "rsd", also: list[str] | None = None) -> DataFrame:
+    """(also, col, pval) of observed (col, value) against the stored lowest values.
 
     The share of all draws that are not above the observation; if that reaches the stored share, the stored share to 2 places; if
     none is, 1 / resamples. Columns without enough draws, and missing observations, are not tested.
@@ -62,7 +98,7 @@ def empirical_pvalue(observed: DataFrame, nulls: DataFrame, least_resamples: int
     both = observed.filter(F.col(value).isNotNull()).join(nulls.filter(F.col("resamples") >= least_resamples).select(col, "resamples", "lowest"), col)
     below = F.size(F.filter("lowest", lambda y: y <= F.col(value)))
     share, stored = below / F.col("resamples"), F.size("lowest") / F.col("resamples")
-    done = both.select(col, F.when(share >= stored, F.round(stored, 2)).when(below == 0, 1 / F.col("resamples")).otherwise(share).alias("pval"))
+    done = both.select(*(also or []), col, F.when(share >= stored, F.round(stored, 2)).when(below == 0, 1 / F.col("resamples")).otherwise(share).alias("pval"))
     return done if cutoff is None else done.filter(F.col("pval") <= cutoff)
 
 

@@ -34,15 +34,13 @@ def assemble(bc_rows: DataFrame, cells: DataFrame, cutoff: float = 0.05, thresho
 
 
 def corem_columns(held: DataFrame, cells: DataFrame, resamples: int, keep: float, significance: float) -> DataFrame:
-    """(corem_id, col_id, pval). One null distribution per size of corem; the sizes are few."""
-    sizes = held.groupBy("corem_id").agg(F.count("*").alias("size"))
+    """(corem_id, col_id, pval): each corem's columns against nulls of its own size, all sizes from one sequence of draws."""
+    sizes = cut(held.groupBy("corem_id").agg(F.count("*").alias("nrows")))
+    asked = [r["nrows"] for r in sizes.select("nrows").distinct().collect()]
+    if not asked:
+        return held.sparkSession.createDataFrame([], "corem_id int, col_id long, pval double")
+    nulls = resample.lowest_of_sizes(cells, asked, resamples, keep)
     seen = held.join(cells, "row_id").groupBy("corem_id", "col_id").agg(rsd(F.col("raw")).alias("rsd")).join(sizes, "corem_id")
-    out = None
-    for (size,) in sizes.select("size").distinct().orderBy("size").collect():
-        nulls = resample.lowest_rsd(cells, int(size), resamples, keep)
-        own = seen.filter(F.col("size") == size).withColumn("key", F.struct("corem_id", "col_id"))
-        both = own.join(nulls.select("col_id", "resamples", "lowest"), "col_id")
-        tested = resample.empirical_pvalue(both.select("key", "rsd"), both.select("key", "resamples", "lowest"), cutoff=significance, col="key")
-        part = tested.select("key.corem_id", "key.col_id", "pval")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else held.sparkSession.createDataFrame([], "corem_id int, col_id long, pval double")
+    key = F.struct("col_id", "nrows")
+    tested = resample.empirical_pvalue(seen.select("corem_id", key.alias("key"), "rsd"), nulls.select(key.alias("key"), "resamples", "lowest"), cutoff=significance, col="key", also=["corem_id"])
+    return tested.select("corem_id", "key.col_id", "pval")
