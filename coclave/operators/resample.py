@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coclave.functions.stats import uniform
 from coclave.operators.number import in_order
 from coclave.runtime import cut
+from coclave.sources.versioned import Versioned
 
 
 def drawn_positions(seed: int, col: Column, draw: Column, n: Column, size: int) -> Column:
@@ -84,7 +85,10 @@ def lowest_rsd(cells: DataFrame, size: int, resamples: int, keep: float = 0.1, s
 
 
 def merge(old: DataFrame, new: DataFrame, keep: float = 0.1, col: str = "col_id") -> DataFrame:
-    """Two sets of null distributions of the same (col, nrows) as one: lists joined and sorted, the kept share of all draws left."""
+    """Two sets of null distributions of the same (col, nrows) as one: lists joined and sorted, the kept share of all draws left.
+
+    The sets must come from different seeds; of one seed, top_up() draws only what is lacking.
+    """
     both = old.unionByName(new).groupBy(col, "nrows").agg(F.sum("resamples").cast("int").alias("resamples"), F.flatten(F.collect_list("lowest")).alias("all"))
     return both.select(col, "nrows", "resamples", F.slice(F.sort_array("all"), F.lit(1), F.round(F.col("resamples") * keep).cast("int")).alias("lowest"))
 
@@ -105,3 +109,75 @@ def empirical_pvalue(observed: DataFrame, nulls: DataFrame, least_resamples: int
 def missing_nulls(wanted: DataFrame, nulls: DataFrame, size: int, resamples: int, col: str = "col_id") -> DataFrame:
     """Columns without a stored distribution of this size and so many draws."""
     return wanted.join(nulls.filter((F.col("nrows") == size) & (F.col("resamples") >= resamples)).select(col), col, "left_anti")
+
+
+#: Columns of a stored record beyond (col, nrows): the seed, the draws 0 .. resamples - 1 that it has, how many values it may grow to keep, and these.
+STORED = ("seed", "resamples", "reserve", "lowest")
+
+
+def shortfall(wanted: DataFrame, stored: DataFrame | None, resamples: int, keep: float, seed: int = 1, col: str = "col_id") -> DataFrame:
+    """(col, nrows, first, count) of the draws that records of the wanted (col, nrows) lack to have `resamples`.
+
+    A record of another seed, or one that reserved too few values to know all it should keep now, is drawn from its first draw on.
+    """
+    if stored is None:
+        return wanted.select(col, "nrows", F.lit(0).cast("long").alias("first"), F.lit(resamples).cast("long").alias("count"))
+    both = wanted.join(stored.select(col, "nrows", "seed", "resamples", "reserve"), [col, "nrows"], "left")
+    usable = (F.col("seed") == seed) & (F.col("reserve") >= round(resamples * keep))
+    first = F.when(usable, F.least("resamples", F.lit(resamples))).otherwise(0).cast("long")
+    # A record that has more draws than are wanted stays as it is.
+    return both.withColumn("first", F.coalesce(first, F.lit(0).cast("long"))).withColumn("count", resamples - F.col("first")).filter("count > 0").select(col, "nrows", "first", "count")
+
+
+def top_up(stored: DataFrame | None, cells: DataFrame, wanted: DataFrame, resamples: int, keep: float = 0.1, seed: int = 1, reserve: int | None = None, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
+    """The new records (col, nrows, *STORED) of the wanted (col, nrows) that had fewer draws than `resamples`, none else.
+
+    Draws are numbered, and a record has those from 0 on, so only the numbers that it lacks are drawn, and no number twice. A record
+    holds its `reserve` lowest values (by default those that ten times the draws would keep), not only those that its draws now
+    keep: so as long as it grows within that, it is equal to one that was drawn at once. Beyond, it is drawn anew from the start.
+    """
+    most = max(reserve or 0, round(resamples * keep)) if reserve else round(10 * resamples * keep)
+    lacking = cut(shortfall(wanted, stored, resamples, keep, seed, col))
+    out = None
+    # Records that lack the same draws are drawn together, all sizes from one sequence per column.
+    spans = lacking.groupBy("first", "count").agg(F.sort_array(F.collect_set("nrows")).alias("sizes")).collect()
+    for span in spans:
+        own = lacking.filter((F.col("first") == span["first"]) & (F.col("count") == span["count"])).select(col, "nrows")
+        here = cells.join(own.select(col).distinct(), col, "left_semi")
+        each = rsd_of_draws(here, span["sizes"], F.lit(span["first"]), F.lit(span["count"]), seed, row, col, value).filter("rsd is not null").join(own, [col, "nrows"], "left_semi")
+        new = lowest(each.select(col, "nrows", "draw", "rsd"), F.lit(most), col)
+        done = own.join(new, [col, "nrows"])
+        if stored is not None and span["first"] > 0:
+            before = stored.select(col, "nrows", F.col("lowest").alias("__before"), F.col("reserve").alias("__reserve"))
+            done = own.join(before, [col, "nrows"]).join(new, [col, "nrows"], "left")
+            # What a record reserved before bounds what it knows.
+            size = F.least("__reserve", F.lit(most))
+            merged = F.slice(F.array_sort(F.concat("__before", F.coalesce("lowest", F.array().cast("array<double>")))), F.lit(1), size)
+            done = done.select(col, "nrows", merged.alias("lowest"), size.alias("reserve"))
+        else:
+            done = done.withColumn("reserve", F.lit(most))
+        done = done.select(col, "nrows", F.lit(seed).alias("seed"), F.lit(resamples).alias("resamples"), F.col("reserve").cast("int").alias("reserve"), "lowest")
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        empty = lacking.select(col, "nrows", F.lit(seed).alias("seed"), F.lit(0).alias("resamples"), F.lit(0).alias("reserve"), F.array().cast("array<double>").alias("lowest"))
+        return empty.filter(F.lit(False))
+    return out
+
+
+def kept_share(stored: DataFrame, keep: float = 0.1, col: str = "col_id") -> DataFrame:
+    """(col, nrows, resamples, lowest) of stored records, with the share that their draws keep."""
+    return stored.select(col, "nrows", "resamples", F.slice("lowest", F.lit(1), F.round(F.col("resamples") * keep).cast("int")).alias("lowest"))
+
+
+def store_nulls(table: Versioned, cells: DataFrame, wanted: DataFrame, resamples: int, keep: float = 0.1, seed: int = 1, reserve: int | None = None, col: str = "col_id") -> DataFrame:
+    """Draw what the table's records lack for the wanted (col, nrows), write the sizes that changed, and return the records as kept_share().
+
+    The table's part is its nrows. Sizes without a shortfall are neither read nor written.
+    """
+    since = table.version()
+    stored = table.read(since)
+    new = cut(top_up(stored, cells, wanted, resamples, keep, seed, reserve, col=col))
+    if new.limit(1).count():
+        table.upsert(new, [col, "nrows"])
+    done = table.read()
+    return kept_share((new if done is None else done).join(wanted.select(col, "nrows"), [col, "nrows"], "left_semi"), keep, col)

@@ -6,6 +6,7 @@ import pytest
 
 from coclave.operators import resample
 from coclave.plans.assemble import corem_columns
+from coclave.sources.versioned import Versioned
 
 
 def stream(seed, col, draw, n, size):
@@ -85,3 +86,55 @@ def test_one_plan_whatever_the_sizes(spark, cells):
     assert corem_columns(empty, cells, 10, 0.1, 0.05).count() == 0
     none = spark.createDataFrame([], "row_id int, col_id int, raw double")
     assert resample.lowest_of_sizes(none, [2, 3], 5).count() == 0
+
+
+def wanted(spark):
+    return spark.createDataFrame([(c, s) for c in range(5) for s in (3, 4, 10)], "col_id int, nrows int")
+
+
+def listed(df):
+    return sorted((r["col_id"], r["nrows"], r["resamples"], tuple(r["lowest"])) for r in df.collect())
+
+
+def test_topped_up_in_two_steps_equals_drawn_at_once(spark, cells, tmp_path):
+    table = Versioned(spark, str(tmp_path / "nulls"), lambda: resample.F.col("nrows"))
+    first = resample.store_nulls(table, cells, wanted(spark).filter("nrows < 10"), 8, 0.5)
+    assert {r["resamples"] for r in first.collect()} == {8} and table.version() == 1
+    done = resample.store_nulls(table, cells, wanted(spark), 20, 0.5)
+    at_once = resample.lowest_of_sizes(cells, [3, 4, 10], 20, 0.5)
+    assert listed(done) == listed(at_once)
+    lacking = resample.shortfall(wanted(spark), table.read(1), 20, 0.5).collect()
+    assert {(r["nrows"], r["first"], r["count"]) for r in lacking} == {(3, 8, 12), (4, 8, 12), (10, 0, 20)}
+    # Nothing lacks: nothing is written.
+    assert listed(resample.store_nulls(table, cells, wanted(spark), 20, 0.5)) == listed(at_once) and table.version() == 2
+    assert resample.store_nulls(table, cells, wanted(spark), 5, 0.5).first()["resamples"] == 20
+
+
+def test_a_record_that_reserved_too_little_or_has_another_seed_is_drawn_anew(spark, cells):
+    little = resample.top_up(None, cells, wanted(spark), 8, 0.5, reserve=4)
+    assert {r["reserve"] for r in little.collect()} == {4}
+    assert {(r["first"], r["count"]) for r in resample.shortfall(wanted(spark), little, 20, 0.5).collect()} == {(0, 20)}
+    grown = resample.top_up(little, cells, wanted(spark), 20, 0.5)
+    assert listed(resample.kept_share(grown, 0.5)) == listed(resample.lowest_of_sizes(cells, [3, 4, 10], 20, 0.5))
+    other = resample.top_up(grown, cells, wanted(spark), 20, 0.5, seed=2)
+    assert listed(resample.kept_share(other, 0.5)) == listed(resample.lowest_of_sizes(cells, [3, 4, 10], 20, 0.5, seed=2))
+
+
+def test_versions_are_seen_whole_and_only_touched_parts_are_written(spark, tmp_path):
+    table = Versioned(spark, str(tmp_path / "t"), lambda: resample.F.col("k") % 3)
+    assert table.read() is None and table.version() == 0
+    rows = spark.range(9).selectExpr("id AS k", "'old' AS v")
+    assert table.upsert(rows, ["k"]) == 1
+    before = table._read_list(1)["parts"]
+    assert table.upsert(spark.createDataFrame([(3, "new"), (12, "new")], "k long, v string"), ["k"]) == 2
+    after = table._read_list(2)["parts"]
+    assert before["1"] == after["1"] and before["2"] == after["2"] and before["0"] != after["0"]
+    assert sorted(map(tuple, table.read().collect())) == sorted([(k, "new" if k in (3, 12) else "old") for k in [*range(9), 12]])
+    assert sorted(map(tuple, table.read(1).collect())) == [(k, "old") for k in range(9)]
+    with pytest.raises(FileExistsError):
+        table.replace(rows, since=1)
+    assert table.read().count() == 10
+    assert table.replace(rows.filter("k < 0"), whole=True) == 3 and table.read().count() == 0
+    odd = Versioned(spark, str(tmp_path / "odd"), lambda: resample.F.col("p"))
+    odd.replace(spark.createDataFrame([("a/b=c d%", 1), (None, 2), ("", 3)], "p string, n int"))
+    assert sorted(r["n"] for r in odd.read().collect()) == [1, 2, 3] and odd.read(parts=["a/b=c d%"]).count() == 1
