@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coclave.operators.number import least_from_here
+from coclave.runtime import cut
+
 _HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 _SMALL = 16
 
@@ -65,9 +68,15 @@ def neg_log10(p: Column, digits: int = 4, floor: float = 1e-300) -> Column:
 def adjusted(df: DataFrame, p: str = "pval", order: str = "key") -> DataFrame:
     """Adds qval_bh and qval_bonferroni over all rows; ties in p share their value whatever the order.
 
-    The windows are over one partition: the rows are tests (keys), already aggregated.
+    Tests are ranked by ranges of p, and the least of the later ranges goes from range to range, so no task sees them all.
     """
-    whole = Window.partitionBy(F.lit(0))
+    both = least_from_here(df, [p, order], lambda rank, n: F.col(p) * n / rank, "qval_bh", "__n")
+    return both.withColumn("qval_bh", F.least(F.lit(1.0), F.col("qval_bh"))).withColumn("qval_bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")
+
+
+def adjusted_within(df: DataFrame, by: list[str], p: str = "pval", order: str = "key") -> DataFrame:
+    """adjusted() of each group of rows by itself; a group is the tests of one question."""
+    whole = Window.partitionBy(*by)
     ranked = df.withColumn("__n", F.count("*").over(whole)).withColumn("__rank", F.row_number().over(whole.orderBy(p, order)))
     back = whole.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -77,6 +86,51 @@ def adjusted(df: DataFrame, p: str = "pval", order: str = "key") -> DataFrame:
     )
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 1024, few: int = 10_000) -> list[float | None]:
+    """Exact percentiles with linear interpolation; nulls and NaN do not count, and without values all are null.
+
+    The ranks that they need are sought by histograms: a pass counts the values of `bins` equal parts of each range that is still
+    open, and the part that holds a rank is the next range, until it has one value or at most `few`, which are looked through.
+    What comes to the driver is bounded by bins, few and the number of shares.
+    """
+    rows = cut(df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [(n - 1) * share for share in shares]
+    found: dict[int, float] = {}
+    open_ = {(low, high, 0, n): {r for h in places for r in (math.floor(h), math.ceil(h))}}
+    while open_:
+        ranges, parts = list(open_), None
+        for k, (a, b, _, count) in enumerate(ranges):
+            inside = rows.filter((F.col("v") >= a) & (F.col("v") <= b))
+            v = F.col("v")
+            if a == b or count <= few:
+                place = F.lit(0)
+            elif math.isinf(a) or math.isinf(b):
+                place = F.when(v == -math.inf, 0).when(v == math.inf, 2).otherwise(1)
+            else:
+                place = F.least(F.floor((v / 2 - a / 2) / (b / 2 - a / 2) * bins), F.lit(bins - 1)).cast("int")
+            own = inside.groupBy(F.lit(k).alias("k"), place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+            parts = own if parts is None else parts.unionByName(own)
+        counted = sorted(tuple(r) for r in parts.collect())
+        next_: dict[tuple[float, float, int, int], set[int]] = {}
+        for k, (a, b, before, count) in enumerate(ranges):
+            if a == b:
+                found.update(dict.fromkeys(open_[a, b, before, count], a))
+            elif count <= few:
+                line = sorted(r["v"] for r in rows.filter((F.col("v") >= a) & (F.col("v") <= b)).collect())
+                found.update({r: line[r - before] for r in open_[a, b, before, count]})
+            else:
+                upto = before
+                for _, _, m, x, y in (c for c in counted if c[0] == k):
+                    if here := {r for r in open_[a, b, before, count] if upto <= r < upto + m}:
+                        next_[x, y, upto, m] = here
+                    upto += m
+        open_ = next_
+    return [found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h)) if math.floor(h) != math.ceil(h) else found[int(h)] for h in places]
+
+
 def rsd(x: Column) -> Column:
     """Relative standard deviation, of the population; an aggregate."""
     return F.abs(F.try_divide(F.stddev_pop(x), F.avg(x)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coclave.operators.components import components
@@ -80,8 +80,8 @@ def corems(labelled: DataFrame, least_edges: int = 3) -> DataFrame:
     density = F.when(n == 2, 0.0).otherwise(F.try_divide(m - n + 1, n * (n - 1) / 2 - n + 1))
     stats = community_stats(labelled).withColumn("raw", density).withColumn("density", F.round("raw", 5))
     stats = stats.withColumn("weighted_density", F.round(F.round(F.col("w") / m, 5) * F.col("raw"), 5)).filter((m >= least_edges) & (F.col("density") > 0))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("density").desc(), F.col("weighted_density").desc(), F.col("community").desc())
-    ranked = stats.withColumn("corem_id", F.row_number().over(order)).select("threshold", "community", "corem_id", "density", "weighted_density")
+    order = [F.col("density").desc(), F.col("weighted_density").desc(), F.col("community").desc(), F.col("threshold")]
+    ranked = in_order(stats, order, "corem_id", 1).withColumn("corem_id", F.col("corem_id").cast("int")).select("threshold", "community", "corem_id", "density", "weighted_density")
     return labelled.join(ranked, ["threshold", "community"]).select("corem_id", "a", "b", "weight", "density", "weighted_density")
 
 

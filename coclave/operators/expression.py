@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coclave.functions.stats import rsd
+from coclave.functions.stats import percentiles, rsd
 
 
 def zscore(cells: DataFrame, row: str = "row_id", value: str = "raw", out: str = "std") -> DataFrame:
@@ -52,10 +52,10 @@ def to_long(wide: DataFrame, row: str, out_col: str = "col", out_value: str = "v
 
 def limits(cells: DataFrame, value: str = "raw", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(low, high) exact percentiles; symmetric about 0 if the lower is below 0."""
-    both = cells.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
-    a, b = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    most = F.greatest(F.abs(a), F.abs(b))
-    return both.select(F.when(a < 0, -most).otherwise(a).alias("low"), F.when(a < 0, most).otherwise(b).alias("high"))
+    a, b = percentiles(cells, value, [low, high])
+    if a is not None and a < 0:
+        a, b = -max(abs(a), abs(b)), max(abs(a), abs(b))
+    return cells.sparkSession.createDataFrame([(a, b)], "low double, high double")
 
 
 def columns_by_mean(cells: DataFrame, col: str = "col_id", value: str = "raw") -> DataFrame:

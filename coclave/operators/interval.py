@@ -17,6 +17,36 @@ def contained(hits: DataFrame, start: int, stop: int, contig: str) -> DataFrame:
     return hits.filter((F.col("start") >= start) & (F.col("stop") <= stop) & (F.col("contig") == contig))
 
 
+def dyadic(start: Column, stop: Column) -> Column:
+    """The closed interval [start, stop] as structs (level, node): node covers [node * 2^level, (node + 1) * 2^level).
+
+    The least such cover: at most two nodes a level, so twice the logarithm of the length; none where start > stop.
+    """
+    s, e = start.cast("long"), stop.cast("long") + 1
+
+    def at(k: Column) -> Column:
+        first, end = F.negative(F.call_function("shiftright", F.negative(s), k)), F.call_function("shiftright", e, k)
+        node = lambda use, n: F.when(use & (first < end), F.struct(k.alias("level"), n.alias("node")))
+        return F.array(node(F.pmod(first, F.lit(2)) == 1, first), node(F.pmod(end, F.lit(2)) == 1, end - 1))
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(F.greatest(e - s, F.lit(1)).cast("double"))).cast("int") + 1))
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+
+
+def holding(points: DataFrame, at: str, intervals: DataFrame, start: str, stop: str, contig: str = "contig") -> DataFrame:
+    """All pairs of a point and a closed interval [start, stop] of its contig that holds it, with the columns of both.
+
+    Both tables have `contig`, and no other name in common. An interval goes to the nodes of its dyadic cover, a point to the node of
+    each level in use that holds it; they meet at exactly one. So what is joined by is an equal key, and a long interval costs
+    the logarithm of its length. Points and bounds that are null, and null contigs, meet nothing.
+    """
+    covers = intervals.withColumn("__node", F.explode(dyadic(F.col(start), F.col(stop)))).withColumn("__level", F.col("__node.level")).withColumn("__node", F.col("__node.node"))
+    levels = sorted(r[0] for r in covers.select("__level").distinct().collect())  # 63 at most
+    probes = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    probes = probes.withColumn("__node", F.call_function("shiftright", F.col(at).cast("long"), F.col("__level")))
+    return probes.join(covers, [contig, "__level", "__node"]).drop("__level", "__node")
+
+
 #: Positions that share a mask, a bit for each.
 WORD = 64
 

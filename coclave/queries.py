@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from coclave.functions.stats import neg_log10, uniform, uniform_sql
 from coclave.operators import blocks, communities, corem, enrich, expression, graph, interval, motif, names, resample, select
+from coclave.operators.number import in_order
 from coclave.plans.agglom import agglom
 from coclave.plans.assemble import corem_columns
 from coclave.plans.corem_info import Corems, corem_info
-from coclave.runtime import cut
+from coclave.runtime import cut, fresh_path
 from coclave.sources.files import last_iteration, with_cluster_ids
 from coclave.sources.sinks import upsert
 from coclave.sources.star import MODEL_SQL, Star
+from coclave.sources.versioned import Versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,6 +147,29 @@ for _name, _x, _wanted, _y, _logic in (
         return logged(agglom(m, wanted, x, y, logic=logic, pval_cutoff=1.0 if y == "gre" else 0.05))
 
 
+def sets_sql(bridge: str, member: str, cutoff: float) -> str:
+    """enrichment_sql over a table sets (set_id, row_id), with everything by set."""
+    term = f"exp({LOG_CHOOSE.format('n_all', 'i')} + {LOG_CHOOSE.format('(big - n_all)', '(drawn - i)')} - ({LOG_CHOOSE.format('big', 'drawn')}))"
+    return f"""sets AS (SELECT p_size AS set_id, p_partkey AS row_id FROM part), chosen AS (SELECT DISTINCT set_id, cluster_id FROM sets JOIN bc_rows USING (row_id)),
+drawn AS (SELECT set_id, count(*)::DOUBLE AS drawn FROM chosen GROUP BY 1), everywhere AS (SELECT {member} AS key, count(*) AS all_counts FROM {bridge} GROUP BY 1),
+own AS (SELECT set_id, {member} AS key, count(*) AS counts FROM chosen JOIN {bridge} USING (cluster_id) GROUP BY ALL),
+sized AS (SELECT *, all_counts::DOUBLE AS n_all, (SELECT count(*) FROM biclusters)::DOUBLE AS big FROM own JOIN everywhere USING (key) JOIN drawn USING (set_id)),
+tested AS (SELECT set_id, key, counts, all_counts, CASE WHEN counts >= least(n_all, drawn) THEN 0.0 ELSE
+  least(1.0, list_sum(list_transform(range(greatest(counts + 1, (n_all + drawn - big)::BIGINT, 0), least(n_all, drawn)::BIGINT + 1), lambda i: {term}))) END AS pval FROM sized),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS tests, row_number() OVER (PARTITION BY set_id ORDER BY pval, key) AS place FROM tested),
+fixed AS (SELECT *, least(1.0, min(pval * tests / place) OVER (PARTITION BY set_id ORDER BY place DESC ROWS UNBOUNDED PRECEDING)) AS bh, least(1.0, pval * tests) AS bonferroni FROM ranked)
+SELECT set_id, key, counts, all_counts, {', '.join(f'round(-log10(greatest({p}, 1e-300)), 4) + 0.0 AS {out}' for p, out in (('pval', 'pval_log'), ('bh', 'qval_bh_log'), ('bonferroni', 'qval_bonferroni_log')))}
+FROM fixed WHERE pval <= {cutoff}"""
+
+
+@query("enrichment_of_sets", sets_sql("bc_cols", "col_id", 0.05))
+def _(m: Star) -> DataFrame:
+    """All parts of one size as a set, every set against all columns in one plan."""
+    sets = m.raw("part").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("row_id"))
+    done = enrich.enrichment_of_sets(sets, m.bc_rows, "row_id", "col_id", m.biclusters, target=m.bc_cols)
+    return done.select("set_id", "key", "counts", "all_counts", *(neg_log10(F.col(p)).alias(f"{p}_log") for p in ("pval", "qval_bh", "qval_bonferroni")))
+
+
 @query("agglom_rows_cluster", f"chosen AS ({selection_sql('row', ROWS, 'or')}) SELECT cluster_id, count(*) AS num_genes, string_agg(sys_name, ',' ORDER BY sys_name) AS genes FROM bc_rows JOIN row_info USING (row_id) WHERE cluster_id IN (SELECT cluster_id FROM chosen) GROUP BY 1")
 def _(m: Star) -> DataFrame:
     return agglom(m, ["P1", "P2", "P3"], "genes", "bicluster", x_input_type="sys_name").withColumn("genes", F.array_join("genes", ","))
@@ -458,6 +483,28 @@ def _(m: Star) -> DataFrame:
     return upsert(old, changed, ["a", "b"]).withColumn("weight", F.round("weight", 9))
 
 
+@query("upsert_edges_stored", "changed AS (SELECT a, b, weight + 1 AS weight FROM edges WHERE a % 3 = 0 UNION ALL VALUES (-1::BIGINT, 1::BIGINT, 0.5::DOUBLE)) SELECT a, b, round(weight, 9) AS weight FROM changed UNION ALL SELECT a, b, round(weight, 9) FROM edges WHERE a % 3 <> 0", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    """upsert_edges over a stored table, written back in place and read again; only parts with changed edges are written."""
+    table = Versioned(m.spark, fresh_path(m.spark, "edges"), lambda: F.pmod("a", F.lit(12)))
+    table.replace(edges_of(m).select("a", "b", "weight"))
+    stored = table.read()
+    changed = stored.filter("a % 3 = 0").withColumn("weight", F.col("weight") + 1).unionByName(m.spark.sql("SELECT -1L AS a, 1L AS b, 0.5D AS weight"))
+    table.upsert(changed, ["a", "b"])
+    return table.read().withColumn("weight", F.round("weight", 9))
+
+
+@query("set_gre_ids_stored", "SELECT cluster_id, motif_num, CASE WHEN gre_id % 2 = 0 THEN gre_id + 100 ELSE gre_id END AS gre_id FROM motifs")
+def _(m: Star) -> DataFrame:
+    """New numbers for every second GRE, written over the stored motifs and read again."""
+    table = Versioned(m.spark, fresh_path(m.spark, "motifs"), lambda: F.col("cluster_id") % 8)
+    table.replace(m.motifs.select("cluster_id", "motif_num", "gre_id"))
+    motifs = table.read()
+    found = motifs.filter("gre_id % 2 = 0").withColumn("gre_id", F.col("gre_id") + 100)
+    table.replace(motif.set_gre_ids(motifs, found))
+    return table.read().select("cluster_id", "motif_num", "gre_id")
+
+
 # Intervals
 
 
@@ -489,6 +536,21 @@ def _(m: Star) -> DataFrame:
     return interval.gre_positions(m.motifs, m.hits, GRES, 0.08, 0.9)
 
 
+@query("hits_in_features", "SELECT hit_id, f.contig, f.start_pos, f.end_pos, count(*) AS n FROM hits h JOIN features f ON f.contig = h.contig AND f.start_pos <= h.start AND f.end_pos >= h.start GROUP BY ALL")
+def _(m: Star) -> DataFrame:
+    """Every pair of a hit's start and a feature that holds it, equal features as one with their number."""
+    features = m.features.groupBy("contig", "start_pos", "end_pos").agg(F.count("*").alias("n"))
+    found = interval.holding(m.hits.select("hit_id", "contig", "start"), "start", features, "start_pos", "end_pos")
+    return found.select("hit_id", "contig", "start_pos", "end_pos", "n")
+
+
+@query("stab_many", "p AS (SELECT DISTINCT contig, start_pos AS position FROM features) SELECT p.contig, position, hit_id FROM p JOIN hits h ON h.contig = p.contig AND h.start <= position AND h.stop >= position AND pvalue <= 0.05")
+def _(m: Star) -> DataFrame:
+    """The hits that hold any of many positions, in one join."""
+    points = m.features.select("contig", F.col("start_pos").alias("position")).distinct()
+    return interval.holding(points, "position", m.hits.filter("pvalue <= 0.05").select("hit_id", "contig", "start", "stop"), "start", "stop").select("contig", "position", "hit_id")
+
+
 FLAG = "flagged AS (SELECT h.*, EXISTS (SELECT 1 FROM features f WHERE f.contig = h.contig AND ((f.start_pos <= h.start AND f.end_pos >= h.start) OR (f.start_pos <= h.stop AND f.end_pos >= h.stop))) AS in_coding_rgn FROM hits h)"
 
 
@@ -793,6 +855,40 @@ def _(m: Star) -> DataFrame:
     return listed(resample.merge(nulls_of(m, 1), nulls_of(m, 2), KEEP))
 
 
+@query("resample_top_up", f"{nulls_sql('one', 1)} SELECT col_id, resamples, {TEXT} FROM one")
+def _(m: Star) -> DataFrame:
+    """Two fifths of the draws, stored for half of the columns; then what lacks for all of them to have all draws."""
+    table = Versioned(m.spark, fresh_path(m.spark, "nulls"), lambda: F.col("nrows"))
+    columns = m.expr.select("col_id").distinct().withColumn("nrows", F.lit(SIZE))
+    resample.store_nulls(table, m.expr, columns.filter("col_id % 2 = 0"), DRAWS * 2 // 5, KEEP)
+    return listed(resample.store_nulls(table, m.expr, columns, DRAWS, KEEP))
+
+
+def corem_nulls_sql(least_p: float) -> str:
+    """Each corem's columns against nulls of its size; nulls_sql for all sizes of corems at once."""
+    u = uniform_sql(1, "col_id", "row_id", "draw")
+    number = "floor(('0x' || substr(md5('1|' || col_id || '|' || draw || '|' || j // 4), 8 * (j % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT"
+    return f"""csize AS (SELECT corem_id, count(*) AS size FROM corem_rows GROUP BY 1), sizes AS (SELECT DISTINCT size FROM csize),
+cells AS (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY col_id) AS n FROM expr),
+few AS (SELECT size, col_id, raw, draw, row_number() OVER (PARTITION BY size, col_id, draw ORDER BY {u}, row_id) AS place FROM cells, range({DRAWS}) t(draw), sizes WHERE n < 2 * size),
+tries AS (SELECT col_id, draw, j, {number} AS pos FROM (SELECT DISTINCT col_id, n FROM cells), range({DRAWS}) t(draw), (SELECT unnest(range(3 * max(size) + 20)) AS j FROM sizes)),
+firsts AS (SELECT col_id, draw, pos, min(j) AS j FROM tries GROUP BY ALL), picks AS (SELECT *, row_number() OVER (PARTITION BY col_id, draw ORDER BY j) AS place FROM firsts),
+drawn AS (SELECT size, col_id, draw, raw FROM few WHERE place <= size UNION ALL SELECT size, col_id, draw, raw FROM picks JOIN cells USING (col_id, pos) JOIN sizes ON place <= size AND n >= 2 * size),
+rsds AS (SELECT size, col_id, draw, round(abs(stddev_pop(raw) / nullif(avg(raw), 0)), 12) AS rsd FROM drawn GROUP BY ALL),
+lows AS (SELECT size, col_id, list(rsd ORDER BY rsd) AS lowest FROM (SELECT *, row_number() OVER (PARTITION BY size, col_id ORDER BY rsd, draw) AS place FROM rsds WHERE rsd IS NOT NULL) WHERE place <= {round(DRAWS * KEEP)} GROUP BY ALL),
+seen AS (SELECT corem_id, col_id, abs(stddev_pop(raw) / nullif(avg(raw), 0)) AS rsd FROM corem_rows JOIN expr USING (row_id) GROUP BY ALL),
+t AS (SELECT corem_id, col_id, {DRAWS} AS resamples, len(lowest) AS kept, len(list_filter(lowest, lambda y: y <= rsd)) AS below FROM seen JOIN csize USING (corem_id) JOIN lows USING (size, col_id) WHERE rsd IS NOT NULL),
+p AS (SELECT corem_id, col_id, CASE WHEN below / resamples >= kept / resamples THEN round(kept / resamples, 2) WHEN below = 0 THEN 1 / resamples ELSE below / resamples END AS pval FROM t)
+SELECT corem_id, col_id, round(pval, 6) AS pval FROM p WHERE pval <= {least_p}"""
+
+
+@query("corem_columns_at_cut", f"{LINKED_SQL.strip()}, {corem_nulls_sql(0.2)}", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    """corem_columns of the SQL's cut, with the draws that the SQL states."""
+    held = cut(communities.corem_rows(corems_of(m, THRESHOLDS)))
+    return corem_columns(held, m.expr, DRAWS, KEEP, 0.2).withColumn("pval", F.round("pval", 6))
+
+
 @query("empirical_pval", f"{nulls_sql('one', 1)}, seen AS (SELECT col_id, abs(stddev_pop(raw) / nullif(avg(raw), 0)) AS rsd FROM expr WHERE row_id IN ({_list(list(range(60)))}) GROUP BY 1), t AS (SELECT col_id, resamples, len(lowest) AS kept, len(list_filter(lowest, lambda y: y <= rsd)) AS below FROM seen JOIN one USING (col_id) WHERE rsd IS NOT NULL) SELECT col_id, round(CASE WHEN below / resamples >= kept / resamples THEN round(kept / resamples, 2) WHEN below = 0 THEN 1 / resamples ELSE below / resamples END, 6) AS pval FROM t")
 def _(m: Star) -> DataFrame:
     seen = expression.rsd_by_column(m.expr, list(range(60)))
@@ -857,5 +953,6 @@ def _(m: Star) -> DataFrame:
 
 @query("split_bins", "n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, count(*) OVER () AS n FROM supplier) SELECT pos, (SELECT max(i) FROM range(7) t(i) WHERE i * n // 7 <= pos) AS bin FROM n")
 def _(m: Star) -> DataFrame:
-    line = m.raw("supplier").select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s_suppkey")) - 1).alias("pos"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    return line.select("pos", blocks.bin_of(F.col("pos"), F.col("n"), 7).alias("bin"))
+    line = in_order(m.raw("supplier").select("s_suppkey"), ["s_suppkey"], "pos")
+    n = line.agg(F.count("*").alias("n"))  # one row
+    return line.crossJoin(F.broadcast(n)).select("pos", blocks.bin_of(F.col("pos"), F.col("n"), 7).alias("bin"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coclave.operators import blocks, interval, resample
+from coclave.operators import blocks, communities, graph, interval, resample
 from coclave.operators.expression import zscore
-from coclave.queries import query
-from coclave.runtime import fresh_path
+from coclave.queries import GRAPH_SQL, LINKED_SQL, THRESHOLDS, edges_of, query
+from coclave.runtime import cut, fresh_path
 from coclave.sources import files, sinks
 from coclave.sources.star import Star
 
@@ -198,3 +198,40 @@ def _(m: Star) -> DataFrame:
 @query("set_combinations", "SELECT '' AS chosen UNION ALL SELECT x FROM (VALUES ('a'), ('b'), ('c'), ('a+b'), ('a+c'), ('b+c'), ('a+b+c')) t(x)")
 def _(m: Star) -> DataFrame:
     return m.spark.createDataFrame([("+".join(c),) for c in blocks.set_combinations(["a", "b", "c"])], "chosen string")
+
+
+@query("sink_reports", "SELECT 'blocks' AS report, block AS key, count(*) AS n FROM blocks GROUP BY ALL UNION ALL SELECT 'runs', run_id::VARCHAR, n_clusters FROM runs")
+def _(m: Star) -> DataFrame:
+    """Two reports, written with their heads and read again."""
+    path = fresh_path(m.spark, "reports")
+    sinks.reports({"blocks": m.blocks.groupBy("block").agg(F.count("*").alias("n")), "runs": m.runs.select("run_id", "n_clusters")}, path)
+    blocks_, runs = (m.spark.read.csv(f"{path}/{name}", header=True) for name in ("blocks", "runs"))
+    one = blocks_.select(F.lit("blocks").alias("report"), F.col("block").alias("key"), F.col("n").cast("long").alias("n"))
+    return one.unionByName(runs.select(F.lit("runs").alias("report"), F.col("run_id").alias("key"), F.col("n_clusters").cast("long").alias("n")))
+
+
+@query("sink_edge_list", "SELECT a, b, round(weight, 6) AS weight FROM edges", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    path = fresh_path(m.spark, "edges")
+    sinks.edge_list(edges_of(m), path)
+    return m.spark.read.schema("a long, b long, weight double").csv(path, sep="\t").withColumn("weight", F.round("weight", 6))
+
+
+@query("sink_community_files", f"""{LINKED_SQL.strip()} SELECT 'wpairs' AS file, count(*) AS n, sum(a)::BIGINT AS ids FROM edges UNION ALL SELECT 'tanimoto', count(*), sum(keystone)::BIGINT FROM sim
+UNION ALL SELECT 'clusters', count(*), sum(community)::BIGINT FROM labelled UNION ALL SELECT 'density', count(*), sum(communities)::BIGINT FROM densities UNION ALL SELECT 'communities', count(*), sum(corem_id)::BIGINT FROM corem_edges
+UNION ALL SELECT 'corem_rows', count(*), sum(row_id)::BIGINT FROM corem_rows""", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    """All files of the communities, and the four corem tables, written and read again: rows and the sum of an id of each."""
+    path, edges = fresh_path(m.spark, "communities"), cut(edges_of(m))
+    similarity = cut(graph.edge_similarity(edges))
+    labelled = cut(communities.link_communities(edges, similarity, THRESHOLDS))
+    densities = cut(communities.partition_densities(communities.community_stats(labelled)))
+    kept = cut(communities.corems(labelled.filter(F.col("threshold") == THRESHOLDS[0])))
+    sinks.community_files(edges, similarity, labelled, densities, kept, path)
+    sinks.save_communities(kept, kept.select("corem_id", F.col("a").alias("col_id"), F.lit(0.5).alias("pval")).distinct(), f"{path}/tables")
+    places = {"wpairs": 0, "tanimoto": 0, "clusters": 1, "density": 5, "communities": 0}
+    out = m.spark.read.parquet(f"{path}/tables/corem_rows").agg(F.count("*").alias("n"), F.sum("row_id").cast("long").alias("ids")).select(F.lit("corem_rows").alias("file"), "n", "ids")
+    for name, at in places.items():
+        read = m.spark.read.csv(f"{path}/{name}", sep="\t")
+        out = out.unionByName(read.agg(F.count("*").alias("n"), F.sum(F.col(f"_c{at}").cast("double")).cast("long").alias("ids")).select(F.lit(name).alias("file"), "n", "ids"))
+    return out
