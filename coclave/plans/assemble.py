@@ -25,7 +25,7 @@ def assemble(bc_rows: DataFrame, cells: DataFrame, cutoff: float = 0.05, thresho
     """Graph, backbone, link communities at the best threshold, and per corem the columns of low relative deviation."""
     thresholds = thresholds or communities.THRESHOLDS
     edges = cut(graph.backbone(graph.backbone_pval(graph.weigh(graph.cooccurrence(bc_rows))), cutoff))
-    labelled = cut(communities.link_communities(edges, graph.edge_similarity(edges, definition), thresholds))
+    labelled = cut(communities.link_communities(edges, graph.edge_links(edges, definition, min(thresholds)), thresholds))
     densities = cut(communities.partition_densities(communities.community_stats(labelled)))
     best = communities.best_threshold(densities, option)
     kept = cut(communities.corems(labelled.join(F.broadcast(best.select("threshold")), "threshold", "left_semi"), least_edges))

@@ -327,6 +327,12 @@ for _d in (0, 1):
         return graph.edge_similarity(cut(edges_of(m)), d)
 
 
+@query("tanimoto_from_cut", similarity_sql(0) + " SELECT keystone, i, j, similarity FROM sim WHERE similarity >= 0.3", GRAPH_SQL)
+def _(m: Star) -> DataFrame:
+    """Pairs from a least similarity on, which bounds those that are made."""
+    return graph.edge_similarity(cut(edges_of(m)), 0, 0.3)
+
+
 LINKED_SQL = (
     similarity_sql(0)
     + f""",
@@ -353,7 +359,7 @@ corem_rows AS (SELECT corem_id, a AS row_id FROM corem_edges UNION SELECT corem_
 
 def labelled_of(m: Star, thresholds: list[float]) -> DataFrame:
     edges = cut(edges_of(m))
-    return cut(communities.link_communities(edges, graph.edge_similarity(edges), thresholds))
+    return cut(communities.link_communities(edges, graph.edge_links(edges, 0, min(thresholds)), thresholds))
 
 
 def corems_of(m: Star, cuts: list[float]) -> DataFrame:
