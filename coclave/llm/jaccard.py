@@ -467,7 +467,7 @@ class Join:
         entries = mapped(self.rows, partial(_entries, width=self.width, percent=self.percent, small=small, bits=bits, frequent=given), "bucket int, blob binary")
         self.small = small
         found = keep(entries.groupBy("bucket").applyInArrow(_per_bucket(_pairs, percent=self.percent, small=small), FOUND), "candidates")
-        given.destroy()
+        given.unpersist()
         return found
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -479,15 +479,18 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that reach the threshold on their whole sets."""
         pairs = cut(self.plausible(pairs))
+        if not (n := pairs.count()):
+            return pairs
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        bits = min(27, max(16, math.ceil(math.log2(16 * max(1, pairs.count())))))
+        bits = min(27, max(16, math.ceil(math.log2(16 * n))))
         wanted = self.spark.sparkContext.broadcast(bitmap(mapped(ends, partial(_mark_slots, bits=bits), "slot long"), bits))
         texts = mapped(self.rows, partial(_whole_texts, width=self.width, wanted=wanted, map_bits=bits), "cls long, text binary").groupBy("cls").agg(F.first("text").alias("text"))
         one = texts.select(F.col("cls").alias("a"), F.col("text").alias("x"))
         two = texts.select(F.col("cls").alias("b"), F.col("text").alias("y"))
         joined = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
         done = cut(mapped(joined, partial(_verify, percent=self.percent, width=self.width), "a long, b long"))
-        wanted.destroy()
+        # Not destroy(): a stage that turned out not to be needed may still run, and can fetch what it lacks again.
+        wanted.unpersist()
         return done
 
     def crossed(self, entries: DataFrame) -> DataFrame:
