@@ -28,6 +28,8 @@ from coclave.runtime import cut, mapped, ready
 LEADING, PIECE, FAN = 8, 128, 16
 #: Bytes of vectors in a block, which travel together: the bytes moved for all pairs of blocks fall as this grows.
 BLOCK_BYTES = 4 << 20
+#: Pairs near the threshold that are decided in double precision at a time.
+NEAR = 1 << 16
 MASK = (1 << 33) - 1
 
 
@@ -96,16 +98,19 @@ def _unpack(payload: pa.Buffer, size: int, kind: np.dtype) -> tuple[np.ndarray,
     return ids, n, units(np.frombuffer(payload, kind, offset=8 + 16 * k).reshape(k, size))
 
 
-def link_block_pair(one: np.ndarray, two: np.ndarray, same: bool, least: float, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of linked unit vectors, each pair once; pieces whose boxes are too far apart are skipped."""
+def link_block_pair(one: np.ndarray, two: np.ndarray, same: bool, least: float, axes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of linked unit vectors, each pair once, a piece of `one` at a time; pieces whose boxes are too far apart are skipped.
+
+    Single precision decides what it can, within the bound of its error; the rest is decided in double, NEAR pairs at a time.
+    """
     epsilon = np.sqrt(2 - 2 * least) + 1e-9
+    slack = max(1e-4, 6.1e-8 * (one.shape[1] + 4))
     starts_a, starts_b = range(0, len(one), PIECE), range(0, len(two), PIECE)
     box = lambda at, starts: (np.array([at[s : s + PIECE].min(0) for s in starts]), np.array([at[s : s + PIECE].max(0) for s in starts]))
     (low_a, high_a), (low_b, high_b) = box(one @ axes, starts_a), box(two @ axes, starts_b)
     gap = np.maximum(0, np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None]))
     near = (gap**2).sum(2) <= epsilon**2
     a32, b32 = one.astype(np.float32), two.astype(np.float32)
-    left, right = [], []
     for p, s in enumerate(starts_a):
         piece = a32[s : s + PIECE]
         open_ = np.flatnonzero(near[p])
@@ -113,41 +118,58 @@ def link_block_pair(one: np.ndarray, two: np.ndarray, same: bool, least: float,
         if not len(open_):
             continue
         first, stop = int(open_[0]) * PIECE, (int(open_[-1]) + 1) * PIECE
-        i, j = np.nonzero(piece @ b32[first:stop].T >= least - 1e-4)
+        products = piece @ b32[first:stop].T
+        i, j = np.nonzero(products >= least - slack)
+        sure = products[i, j] >= least + slack
         i, j = i + s, j + first
         if same:
-            i, j = i[i < j], j[i < j]
-        good = np.einsum("ij,ij->i", one[i], two[j]) >= least
-        left.append(i[good])
-        right.append(j[good])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+            i, j, sure = i[i < j], j[i < j], sure[i < j]
+        open_ = np.flatnonzero(~sure)
+        for k in range(0, len(open_), NEAR):
+            at = open_[k : k + NEAR]
+            sure[at] = np.einsum("ij,ij->i", one[i[at]], two[j[at]]) >= least
+        if sure.any():
+            yield i[sure], j[sure]
+
+
+def find(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The root of each position."""
+    root = parent[at]
+    while (root != (above := parent[root])).any():
+        root = above
+    return root
 
 
-def least_labels(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The least label that each position reaches over the links."""
-    labels = labels.copy()
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of each pair of positions; a root is the least position of its tree."""
     while True:
-        before = labels.copy()
-        np.minimum.at(labels, i, before[j])
-        np.minimum.at(labels, j, labels[i])
-        if (labels == before).all():
-            return labels
+        a, b = find(parent, i), find(parent, j)
+        apart = a != b
+        if not apart.any():
+            return
+        i, j = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
 def _join(batches: Iterator[pa.RecordBatch], size: int, kind: np.dtype, least: float, axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(cls, root, links) of what is linked in a pair of blocks; links are counted and united by piece and then let go."""
     for batch in batches:
         for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
             same = a.as_py() == b.as_py()
             ids_a, n_a, one = _unpack(x.as_buffer(), size, kind)
             ids_b, n_b, two = (ids_a, n_a, one) if same else _unpack(y.as_buffer(), size, kind)
-            i, j = link_block_pair(one, two, same, least, axes)
             shift = 0 if same else len(ids_a)
             ids, n = (ids_a, n_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([n_a, n_b]))
-            j = j + shift
-            links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+            links, parent = np.zeros(len(ids)), np.arange(len(ids))
+            for i, j in link_block_pair(one, two, same, least, axes):
+                j = j + shift
+                links += np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+                unite(parent, i, j)
             linked = np.flatnonzero(links)
-            roots = least_labels(i, j, ids) if len(i) else ids
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(roots[linked]), pa.array(links[linked].astype(np.int64))], ["cls", "root", "links"])
+            labels = ids.copy()
+            root = find(parent, np.arange(len(ids)))
+            np.minimum.at(labels, root, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(labels[root[linked]]), pa.array(links[linked].astype(np.int64))], ["cls", "root", "links"])
 
 
 def _close(low_a: str, high_a: str, low_b: str, high_b: str, epsilon: float) -> Column:

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from coclave.llm import vectors
 
@@ -75,3 +77,29 @@ def test_distant_blocks_are_skipped(spark):
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first()["kept"] is True
+
+
+def test_a_dense_block_is_joined_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    n, size = 16_384, 64
+    raw = (rng.normal(size=size) + rng.normal(size=(n, size)) * 0.05).astype("<f4")
+    payload = n.to_bytes(8, "little") + np.arange(n).tobytes() + np.ones(n, np.int64).tobytes() + raw.tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([payload], pa.binary()), pa.array([payload], pa.binary())], ["a", "b", "x", "y"])
+    tracemalloc.start()
+    done = next(vectors._join(iter([batch]), size, np.dtype("<f4"), 0.9, np.eye(size)[:, :8]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20, peak
+    assert done.num_rows == n and set(done.column("root").to_pylist()) == {0} and set(done.column("links").to_pylist()) == {n - 1}
+
+
+def test_pairs_near_the_threshold_are_decided_in_double_precision():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 5))
+    one = vectors.units(x)
+    exact = one @ one.T
+    least = float(exact[3, 4])  # a pair right at it
+    found = [(int(a), int(b)) for i, j in vectors.link_block_pair(one, one, True, least, np.eye(5)) for a, b in zip(i, j, strict=True)]
+    dots = np.einsum("ik,jk->ij", one, one)
+    want = {(a, b) for a in range(700) for b in range(a + 1, 700) if dots[a, b] >= least}
+    assert len(found) == len(set(found)) and set(found) ^ want <= {(3, 4)}
