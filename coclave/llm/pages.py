@@ -131,6 +131,7 @@ def features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str
     above it; the look again together with the kind of place: in an article, under names of any kind, or neither."""
     out = []
     sizes = [min(len(text).bit_length(), 9) for text, _, _ in blocks]
+    most = max(sizes, default=0)
     titles = [k for k, (_, own, _) in enumerate(blocks) if "parent:h1" in own]
     above: tuple[str, ...] = ()
     for k, (text, own, links) in enumerate(blocks):
@@ -148,6 +149,8 @@ def features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[tuple[str
             f"before:{sizes[k - 1] if k else 'none'}",
             f"after:{sizes[k + 1] if k + 1 < len(blocks) else 'none'}",
             f"at:{5 * k // len(blocks)}",
+            "largest" if sizes[k] == most else "smaller",
+            f"quiet:{end}:{sizes[k]}" if not told and links < 0.25 else "told",
             "first" if not k else "last" if k + 1 == len(blocks) else "inner",
             "untitled" if not titles else "title" if k in titles else "over" if k < titles[0] else "beneath",
             *(f"says:{w}" for w in told),
@@ -213,11 +216,12 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page and whether each of its leaf blocks belongs to the article.
 
     Most pages have elements or names for their parts, and then texts on both sides look alike. The others have bare or neutrally
-    named boxes or table cells, and what is not the article shows by shorter texts, links, telling words and where it stands.
+    named boxes or table cells, and what is not the article shows by shorter texts, links, telling words and where it stands; their
+    articles may be one text only. A few are nothing but an article, with or without markup.
     """
     labels: list[bool] = []
     syllables = [c + v for c in "bcdfglmnprst" for v in "aeiou"]
-    style = rng.choices(("parts", "boxes", "table"), (6, 3, 1))[0]
+    style = rng.choices(("parts", "boxes", "table", "plain"), (12, 8, 3, 2))[0]
 
     def words(least: int, most: int, marks: tuple[str, ...] = ("", ".", ".", "!", "?")) -> str:
         said = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(least, most)))
@@ -239,7 +243,7 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         labels.append(keep)
         mark = ""
         if keep:
-            text = telling(rng.choice(list(TELLING)), text, 0.05)
+            text = telling(rng.choice(list(TELLING)), text, 0.15 if style == "parts" else 0.05)
             if rng.random() < 0.12:
                 mark = f' {rng.choice(("class", "class", "id"))}="{rng.choice(EITHER + BODY)}"'
             elif rng.random() < 0.04:
@@ -311,13 +315,15 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         text = telling(kind, words(1, 3 if kind == "header" else 9, ("", "", ".")), 0.2 if kind == "header" else 0.9)
         if kind == "footer":
             text = rng.choice(("&copy; 2024 ", "Copyright 2019 ", "Copyright &copy; ", "")) + text + rng.choice(("", " All rights reserved", " All rights reserved."))
+        if style == "table" and rng.random() < 0.4:  # the cell is the block
+            return text + "<hr>"
         return f"<{box}{neutral()}>" + (f'<a href="/y">{text}</a>' if rng.random() < 0.3 else text) + f"</{box}>"
 
     def some(kinds: str, share: float, inside: bool = False) -> str:
         return "".join(boiler(k, inside) if style == "parts" else bare(k) for k in kinds.split() if rng.random() < share)
 
     def article() -> str:
-        title = leaf("h1", words(1, 12), True) if rng.random() < 0.85 else ""
+        title = leaf("h1", words(1, 12), True) if rng.random() < (0.85 if style == "parts" else 0.55) else ""
         text = title
         if style == "parts":
             text = f"<header>{title}</header>" if title and outer == "article" and rng.random() < 0.1 else title
@@ -329,10 +335,24 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
             if rng.random() < 0.4:
                 text += some("ad notice form sidebar share", 0.3, True) + paragraphs(0, 5, True)
             return text + some("share comment form ad", 0.25, True)
-        for _ in range(rng.randint(2, 7)):
+        count = rng.choice((1, 1, 1, 2, 2, 3, 4, 5, 6, 7))
+        if count < 3:  # texts that tell themselves from what is around them
+            long_ = lambda: telling(rng.choice(list(TELLING)), words(6, 60, (".", ".", ".", "?")), 0.05)
+            if count == 1 and not title and rng.random() < 0.2:
+                labels.append(True)
+                return long_()
+            return text + "".join(leaf(rng.choice(("p", "p", "div")), long_(), True) for _ in range(count))
+        for _ in range(count):
             text += leaf(rng.choice(("p", "p", "p", "div", "blockquote", "li")), words(*rng.choice(((4, 12), (12, 60), (12, 60)))), True) if rng.random() < 0.9 else leaf("h2", words(1, 6, ("", "", "?")), True)
         return text
 
+    if style == "plain":
+        head = f"<html><head><title>{words(1, 8)}</title></head><body>" if rng.random() < 0.4 else rng.choice(("", "<html><body>", "<!DOCTYPE html><html><body>"))
+        labels.extend([False] * ("<title>" in head))
+        if rng.random() < 0.25:
+            labels.append(True)
+            return head + words(3, 80), labels
+        return head + "".join(leaf(rng.choice(("p", "p", "div")), words(*rng.choice(((4, 12), (12, 60)))), True) for _ in range(rng.choice((1, 1, 2, 2, 3, 4)))), labels
     labels.append(False)
     page = f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>"
     if style == "table":
@@ -364,7 +384,7 @@ def _labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=1)
-def train(pages: int = 900, rounds: int = 100, seed: int = 9, penalty: float = 0.3) -> Field:
+def train(pages: int = 2000, rounds: int = 100, seed: int = 9, penalty: float = 0.3) -> Field:
     """Conditional log-likelihood of the labelled pages, by gradient ascent with per-weight steps."""
     rng = random.Random(seed)
     rows, labels = [], []

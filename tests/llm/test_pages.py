@@ -45,6 +45,34 @@ LAYOUTS = {
 }
 
 
+#: Small pages, written before the training pages had any like them.
+FIRST = "The council agreed on Monday to repair the old town hall before the winter comes."
+SECOND = "Work on the roof begins next week, and the clock will be cleaned in spring."
+SMALL = {
+    f"{tag}, {count}, {'wrapped' if wrapped else 'open'}": (
+        "<html><body><div>Home News Sport</div>" + ("<div>" if wrapped else "") + "".join(f"<{tag}>{t}</{tag}>" for t in (FIRST, SECOND)[:count]) + ("</div>" if wrapped else "") + "<div>Copyright 2021 Example Ltd. All rights reserved.</div></body></html>",
+        " ".join((FIRST, SECOND)[:count]),
+    )
+    for tag in ("p", "div")
+    for count in (1, 2)
+    for wrapped in (False, True)
+} | {
+    "title and a div": (f"<html><body><div>Home News Sport</div><h1>Town hall</h1><div>{FIRST}</div><div>Copyright 2021 Example Ltd</div></body></html>", f"Town hall {FIRST}"),
+    "title and a p, wrapped": (f"<html><body><div>Home News Sport</div><div><h1>Town hall</h1><p>{FIRST}</p></div><div>Copyright 2021 Example Ltd</div></body></html>", f"Town hall {FIRST}"),
+    "one paragraph": ("<p>Just one paragraph of plain text.</p>", "Just one paragraph of plain text."),
+    "no markup": (f"{FIRST} {SECOND}", f"{FIRST} {SECOND}"),
+    "two paragraphs and nothing else": (f"<html><body><p>{FIRST}</p><p>{SECOND}</p></body></html>", f"{FIRST} {SECOND}"),
+    "an article element of one line": (f"<html><body><nav><a href='/'>Home</a></nav><article><p>{FIRST}</p></article><footer>Imprint</footer></body></html>", FIRST),
+    "a table cell": (f"<table><tr><td><a href='/'>Home</a></td><td>{FIRST}</td></tr><tr><td colspan=2>Copyright 2021 Example Ltd</td></tr></table>", FIRST),
+}
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_small_pages(name):
+    page, wanted = SMALL[name]
+    assert pages.train().extract(page) == wanted
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_other_layouts(name):
     page, wanted = LAYOUTS[name]
