@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coclave.llm.textvec import LOWER, SPACE, distinct, mix, span_hashes
-from coclave.runtime import mapped, ready
+from coclave.runtime import cut, mapped, ready
 
 WORD_SLOTS = 1 << 20
 MEASURES, BINS = 7, 12
@@ -206,14 +206,19 @@ def choose_penalty(grades: np.ndarray, slots: list[np.ndarray], folds: int = 3)
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", rows: int = 8_000) -> Grades:
     """Learn from about `rows` labelled documents at most, picked by a hash of their key; null grades and texts teach nothing.
 
-    `grade` is an expression over `labels`, integers from 0. A document with several labels is learned with each.
+    `grade` is an expression over `labels`, integers from 0. A document with several labels is learned with each different one. Equal
+    rows of either table count once, and should keys with several texts make more pairs than `rows`, a hash of the pair picks again.
     """
     ready(docs.sparkSession)
-    graded = labels.select(F.col(key).alias("__key"), grade.cast("int").alias("grade")).filter("grade is not null and __key is not null")
-    share = min(1.0, rows / max(1, graded.count()))
-    picked = graded.filter(F.pmod(F.xxhash64(F.col("__key").cast("string")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    graded = cut(labels.select(F.col(key).alias("__key"), grade.cast("int").alias("grade")).filter("grade is not null and __key is not null").distinct())
+    part = lambda share, *of: F.pmod(F.xxhash64(*of), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    picked = graded.filter(part(min(1.0, rows / max(1, graded.count())), F.col("__key").cast("string")))
     joined = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null").join(F.broadcast(picked), "__key")
-    found = mapped(joined.select("text", "grade"), _featurise, "grade int, slots binary").toArrow().combine_chunks()
+    # Told apart by a hash, so that repeats meet as numbers and not as texts; what is left is the sample, and small.
+    pairs = cut(joined.withColumn("__hash", F.xxhash64("text")).groupBy("__key", "grade", "__hash").agg(F.first("text").alias("text")))
+    if (n := pairs.count()) > 2 * rows:
+        pairs = pairs.filter(part(rows / n, F.col("__key").cast("string"), "grade", "__hash"))
+    found = mapped(pairs.select("text", "grade"), _featurise, "grade int, slots binary").toArrow().combine_chunks()
     # The order of the rows, and with it the folds, must not depend on partitions.
     rows_ = sorted(zip(found.column("grade").to_pylist(), found.column("slots").to_pylist(), strict=True))
     grades, slots = np.array([g for g, _ in rows_], np.int64), [np.frombuffer(s, "<i4") for _, s in rows_]

@@ -77,3 +77,17 @@ def test_held_out_poor_and_toxic_documents(spark):
     held = frame.filter("doc_id >= 2000")
     shares = {r["grade"]: r["kept"] for r in quality.grade_documents(held, model).join(held, "doc_id").groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert shares[0] < 0.1 and shares[1] < 0.1 and shares[2] > 0.95
+
+
+def test_repeated_keys_do_not_widen_the_sample(spark, monkeypatch):
+    seen = []
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda grades, slots, **more: seen.append(len(grades)) or plain(grades, slots, **more))
+    docs = spark.createDataFrame([(k % 4, f"good words here {k % 50}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 4, k % 2) for k in range(400)], "doc_id long, g int")
+    quality.fit(docs, labels, F.col("g"), rows=20)
+    assert max(seen) <= 40
+    seen.clear()
+    few = spark.createDataFrame([(k, f"words {k}") for k in range(10)] * 3, "doc_id long, text string")
+    quality.fit(few, spark.createDataFrame([(k, k % 2) for k in range(10)] * 5, "doc_id long, g int"), F.col("g"))
+    assert max(seen) == 10
