@@ -467,7 +467,7 @@ class Join:
         entries = mapped(self.rows, partial(_entries, width=self.width, percent=self.percent, small=small, bits=bits, frequent=given), "bucket int, blob binary")
         self.small = small
         found = keep(entries.groupBy("bucket").applyInArrow(_per_bucket(_pairs, percent=self.percent, small=small), FOUND), "candidates")
-        given.unpersist()
+        given.destroy()
         return found
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -489,8 +489,8 @@ class Join:
         two = texts.select(F.col("cls").alias("b"), F.col("text").alias("y"))
         joined = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
         done = cut(mapped(joined, partial(_verify, percent=self.percent, width=self.width), "a long, b long"))
-        # Not destroy(): a stage that turned out not to be needed may still run, and can fetch what it lacks again.
-        wanted.unpersist()
+        # All stages that read it have ended: with pairs on one side, none is dropped as not needed.
+        wanted.destroy()
         return done
 
     def crossed(self, entries: DataFrame) -> DataFrame:
