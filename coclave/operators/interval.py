@@ -108,7 +108,7 @@ def depth(hits: DataFrame, by: list[str], stretch: int = 1 << 16) -> DataFrame:
 def gre_hits(hits: DataFrame, motifs: DataFrame, by_motif: bool = False) -> DataFrame:
     """Hits with the gre_id of the motifs of their cluster: one row for each such motif, or of their own motif with by_motif."""
     named = motifs.filter("gre_id is not null")
-    return hits.join(named.select("cluster_id", "motif_num", "gre_id"), ["cluster_id", "motif_num"]) if by_motif else hits.join(named.select("cluster_id", "gre_id"), "cluster_id")
+    return hits.join(named.select("cluster_id", "motif_num", "gre_id"), ["cluster_id", "motif_num"]) if by_motif else hits.join(named.select("cluster_id", *(["motif_num"] if "motif_num" not in hits.columns else []), "gre_id"), "cluster_id")
 
 
 def gre_positions(motifs: DataFrame, hits: DataFrame, gre_ids: list[int], max_evalue: float = 10.0, max_p: float = 10.0) -> DataFrame:

@@ -13,6 +13,7 @@ from coclave.operators.number import in_order
 from coclave.plans.agglom import agglom
 from coclave.plans.assemble import corem_columns
 from coclave.plans.corem_info import Corems, corem_info
+from coclave.plans.find_scans import find_scans
 from coclave.runtime import cut, fresh_path
 from coclave.sources.files import last_iteration, with_cluster_ids
 from coclave.sources.sinks import upsert
@@ -557,6 +558,32 @@ def _(m: Star) -> DataFrame:
     return interval.holding(points, "position", m.hits.filter("pvalue <= 0.05").select("hit_id", "contig", "start", "stop"), "start", "stop").select("contig", "position", "hit_id")
 
 
+GENOME_SQL = "genome AS (SELECT contig AS scaffold, 'NC_' || contig AS refseq, max(stop) AS length FROM hits GROUP BY contig), locus AS (SELECT * FROM genome ORDER BY scaffold LIMIT 1)"
+
+
+def genome_of(m: Star) -> DataFrame:
+    return m.hits.groupBy(F.col("contig").alias("scaffold")).agg(F.max("stop").alias("length")).withColumn("refseq", F.concat(F.lit("NC_"), F.col("scaffold")))
+
+
+@query("find_scans_track", f"""{GENOME_SQL}, inside AS (SELECT h.* FROM hits h JOIN locus ON contig = scaffold WHERE start >= 0 AND stop <= length AND pvalue <= 0.5),
+spread AS (SELECT gre_id, unnest(range(start, stop + 1)) AS position FROM inside i JOIN (SELECT cluster_id, gre_id FROM motifs WHERE gre_id IN ({_list(GRES)})) g USING (cluster_id))
+SELECT position AS start, position AS "end", '+' AS strand, (SELECT refseq FROM locus) AS chr, count(*) AS value, 'GRE_' || gre_id AS id FROM spread GROUP BY gre_id, position""")
+def _(m: Star) -> DataFrame:
+    """The whole of the first chromosome, named by its RefSeq name, for two GREs."""
+    genome = cut(genome_of(m))
+    locus = genome.agg(F.min("refseq")).first()[0]
+    return find_scans(genome, m.hits, m.motifs, locus, gre_ids=GRES, max_p=0.5)
+
+
+@query("find_scans_series", f"""{GENOME_SQL}, inside AS (SELECT h.* FROM hits h JOIN locus ON contig = scaffold WHERE start >= 100 AND stop <= 900)
+SELECT gre_id, position, count(*) AS depth FROM (SELECT gre_id, unnest(range(start, stop + 1)) AS position FROM inside JOIN (SELECT cluster_id, gre_id FROM motifs WHERE gre_id IS NOT NULL) g USING (cluster_id)) GROUP BY ALL""")
+def _(m: Star) -> DataFrame:
+    """A range of the first chromosome, named by its scaffold, for all GREs."""
+    genome = cut(genome_of(m))
+    locus = genome.agg(F.min("scaffold")).first()[0]
+    return find_scans(genome, m.hits, m.motifs, locus, 100, 900, form="series")
+
+
 FLAG = "flagged AS (SELECT h.*, EXISTS (SELECT 1 FROM features f WHERE f.contig = h.contig AND ((f.start_pos <= h.start AND f.end_pos >= h.start) OR (f.start_pos <= h.stop AND f.end_pos >= h.stop))) AS in_coding_rgn FROM hits h)"
 
 
