@@ -12,8 +12,10 @@ documents that this leaves in different components are paired, the smaller part
 bounds the sizes that its partners can have, so entries meet by bands of sizes, and those that no size suits meet nothing.
 
 A candidate is first held against parity sketches: a set's sketch has the parity of the number of its shingles in each of 2 to 4
-bits a shingle, so bits that differ between two sketches are never more than shingles that differ. Pairs that this does not rule
-out are verified on the whole sets, made again from the texts. Links inside a component already found are not looked for, as they
+bits a shingle, so bits that differ between two sketches are never more than shingles that differ. Entries of frequent keys carry
+a short sketch of SHORT bits too, so of texts that are put together from common sentences only pairs that it does not rule out are
+made at all (sets beyond some 900 shingles fill it, and theirs are ruled out by the long one only). Pairs that both leave
+are verified on the whole sets, made again from the texts. Links inside a component already found are not looked for, as they
 cannot change the classes.
 
 Equal sets are one class from the start; only classes are compared. A class is a 64-bit hash of its set.
@@ -46,6 +48,8 @@ CHUNK, HELD = 1 << 20, 1 << 20
 FRAGMENT = 1 << 16
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<u8"), ("size", "<u4"), ("pos", "<u2"), ("loc", "<u2")])
 SUBSET = 65535  # the position of entries that are subsets
+#: Bits of the sketches that entries of frequent keys carry.
+SHORT = 512
 #: Classes that a task remembers to have sent.
 SEEN = 1 << 16
 
@@ -81,9 +85,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int |
                 held, size, first = [], 0, k + 1
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """The parities of how many shingles fall into each of a power of two of cells, at least two for each shingle."""
-    cells = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+def sketch_of(shingles: np.ndarray, cells: int = 0) -> bytes:
+    """The parities of how many shingles fall into each of a power of two of cells, if not given at least two for each shingle."""
+    cells = cells or max(64, 1 << (2 * len(shingles) - 1).bit_length())
     fallen = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
 
@@ -115,9 +119,9 @@ def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, len(s), class_of(s) if len(s) else None, sketch_of(s) if len(s) else None) for k, s in _sets(iter([batch]), width)]
-        k, n, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["key", "n_shingles", "cls", "sketch"])
+        rows = [(k, len(s), *((class_of(s), sketch_of(s), np.frombuffer(sketch_of(s, SHORT), "<i8")) if len(s) else (None, None, None))) for k, s in _sets(iter([batch]), width)]
+        k, n, c, d, e = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e, pa.list_(pa.int64()))], ["key", "n_shingles", "cls", "sketch", "short"])
 
 
 def _blobs(buckets: np.ndarray, pack: Callable[[int, int], bytes]) -> pa.RecordBatch:
@@ -428,8 +432,8 @@ class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int):
         self.spark, self.width, self.percent = ready(docs.sparkSession), width, percent
         self.rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary").alias("text"))
-        self.signed = keep(mapped(self.rows, partial(_sign, width=width), "key long, n_shingles long, cls long, sketch binary"), "signed")
-        classes = self.signed.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("least"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
+        self.signed = keep(mapped(self.rows, partial(_sign, width=width), "key long, n_shingles long, cls long, sketch binary, short array<long>"), "signed")
+        classes = self.signed.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("least"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"), F.min("short").alias("short"))
         self.classes = keep(classes, "classes")
 
     def boundary(self, sizes: list[tuple[int, int]], scanned: float) -> int:
@@ -494,7 +498,7 @@ class Join:
         return done
 
     def crossed(self, entries: DataFrame) -> DataFrame:
-        """Pairs (a, b) of the entries (key, cls, size, pos, label, main) of a key that have different labels and can be similar.
+        """Pairs (a, b) of the entries (key, cls, size, pos, short, label, main) of a key that have different labels and can be similar.
 
         What an entry's position leaves bounds the size of a partner from above, the threshold from below. The larger of two goes
         to the bands of sizes that it allows, the smaller to its own, if it allows a larger one at all; `main` marks the label
@@ -505,12 +509,16 @@ class Join:
         most = F.least(F.floor(100 * size / F.lit(self.percent)), F.when(F.col("pos") == SUBSET, F.lit(1 << 40)).otherwise(placed))
         bound = entries.withColumn("most", most).withColumn("least", F.ceil(F.lit(self.percent) * size / 100))
         large = bound.filter("least(size, most) >= least").withColumn("band", F.explode(F.sequence(size_band(F.col("least")), size_band(F.least("size", "most")))))
-        large = large.select("key", "band", F.col("cls").alias("xa"), F.col("size").alias("xs"), F.col("most").alias("xm"), F.col("pos").alias("xp"), F.col("label").alias("xl"), F.col("main").alias("x_main"))
+        large = large.select("key", "band", F.col("cls").alias("xa"), F.col("size").alias("xs"), F.col("most").alias("xm"), F.col("pos").alias("xp"), F.col("label").alias("xl"), F.col("main").alias("x_main"), F.col("short").alias("x_short"))
         small = bound.filter("most >= size").withColumn("band", size_band(size))
-        small = small.select("key", "band", F.col("cls").alias("ya"), F.col("size").alias("ys"), F.col("most").alias("ym"), F.col("pos").alias("yp"), F.col("label").alias("yl"), F.col("main").alias("y_main"))
+        small = small.select("key", "band", F.col("cls").alias("ya"), F.col("size").alias("ys"), F.col("most").alias("ym"), F.col("pos").alias("yp"), F.col("label").alias("yl"), F.col("main").alias("y_main"), F.col("short").alias("y_short"))
         fits = (F.col("xl") != F.col("yl")) & ((F.col("ys") < F.col("xs")) | ((F.col("ys") == F.col("xs")) & (F.col("ya") < F.col("xa")))) & (F.col("xm") >= F.col("ys")) & (F.col("ym") >= F.col("xs")) & (100 * F.col("ys") >= F.lit(self.percent) * F.col("xs"))
         # Two small sets meet by subsets alone.
         fits &= (F.col("xp") == SUBSET) | (F.col("xs") > self.small)
+        # What the short sketches rule out is not written.
+        differ = sum((F.bit_count(F.col("x_short")[k].bitwiseXOR(F.col("y_short")[k])) for k in range(SHORT // 64)), F.lit(0))
+        both = F.col("xs") + F.col("ys")
+        fits &= differ <= both - 2 * F.ceil(F.lit(self.percent) * both / F.lit(100 + self.percent))
         pairs = large.filter("not x_main").join(small, ["key", "band"]).filter(fits).select("xa", "ya")
         pairs = pairs.unionByName(large.filter("x_main").join(small.filter("not y_main"), ["key", "band"]).filter(fits).select("xa", "ya"))
         return pairs.select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct()
@@ -544,7 +552,7 @@ class Join:
         named = often.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
         parts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
-        open_ = named.join(mixed, "key").select("key", "cls", "size", "pos", "label", (F.col("label") == F.col("major")).alias("main"))
+        open_ = named.join(mixed, "key").join(self.classes.select("cls", "short"), "cls").select("key", "cls", "size", "pos", "short", "label", (F.col("label") == F.col("major")).alias("main"))
         late = apart(rare.select("a", "b")).unionByName(self.crossed(open_)).distinct()
         done = cut(probed.unionByName(self.verified(late.join(probes, ["a", "b"], "left_anti"))))
         discard(found)

@@ -112,6 +112,25 @@ def test_a_passage_in_all_documents_makes_few_candidates(spark, monkeypatch):
     assert sum(seen) <= 4 * len(rows)
 
 
+def test_texts_of_common_sentences_make_few_candidates(spark, monkeypatch):
+    """Texts of 20 out of 40 sentences in any order: nearly all pairs share a frequent shingle, few are made."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    rng, seen = random.Random(5), []
+    sentences = [" ".join(f"s{k}x{j}" for j in range(rng.randint(8, 14))) for k in range(40)]
+    rows = [(k, " ".join(rng.sample(sentences, 20))) for k in range(200)]
+    for k in range(0, 60, 3):
+        rows.append((200 + k, rows[k][1] + " and one more"))
+    plausible = jaccard.Join.plausible
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return plausible(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "plausible", counted)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert sum(seen) <= 4 * len(rows)
+
+
 def test_sketches_never_rule_out_what_is_similar():
     rng = random.Random(3)
     for _ in range(300):
@@ -121,3 +140,5 @@ def test_sketches_never_rule_out_what_is_similar():
         x, y = (np.frombuffer(jaccard.sketch_of(s), np.uint8).reshape(1, -1) for s in (a, b))
         assert jaccard.differing(x, y)[0] <= len(np.setxor1d(a, b))
         assert jaccard.differing(x, x)[0] == 0
+        short = [np.frombuffer(jaccard.sketch_of(s, jaccard.SHORT), np.uint8).reshape(1, -1) for s in (a, b)]
+        assert jaccard.differing(*short)[0] <= len(np.setxor1d(a, b))
