@@ -541,6 +541,8 @@ class Join:
         most = near.unionByName(far).filter("cls <> other").groupBy("cls", "other").agg(F.count("*").alias("lists"))
         second = most.groupBy("cls").agg(F.max(F.struct("lists", "other"))["other"].alias("other"))
         probes = first.unionByName(second).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+        # Cut, as what follows reads them several times: plans of some dozen joins less, which the driver need not hold.
+        probes = cut(probes)
         probed = self.verified(probes)
         label = cut(components(probed, "a", "b"))
 
@@ -553,6 +555,7 @@ class Join:
         parts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
         open_ = named.join(mixed, "key").join(self.classes.select("cls", "short"), "cls").select("key", "cls", "size", "pos", "short", "label", (F.col("label") == F.col("major")).alias("main"))
+        open_ = cut(open_)
         late = apart(rare.select("a", "b")).unionByName(self.crossed(open_)).distinct()
         done = cut(probed.unionByName(self.verified(late.join(probes, ["a", "b"], "left_anti"))))
         discard(found)
