@@ -117,9 +117,9 @@ def test_texts_of_common_sentences_make_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     rng, seen = random.Random(5), []
     sentences = [" ".join(f"s{k}x{j}" for j in range(rng.randint(8, 14))) for k in range(40)]
-    rows = [(k, " ".join(rng.sample(sentences, 20))) for k in range(200)]
+    rows = [(k, " ".join(rng.sample(sentences, 20))) for k in range(500)]
     for k in range(0, 60, 3):
-        rows.append((200 + k, rows[k][1] + " and one more"))
+        rows.append((500 + k, rows[k][1] + " and one more"))
     plausible = jaccard.Join.plausible
 
     def counted(self, pairs):
