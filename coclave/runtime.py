@@ -91,6 +91,16 @@ def small(df: DataFrame, label: str, most: int = 1 << 16) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what ended jobs left: Spark removes shuffle files, broadcasts and checkpoints that nothing refers to any more, and
+    the driver's heap shrinks, only when garbage is collected, which a driver with room to grow puts off.
+
+    To be called between the steps of a long job, not in loops over small ones: it stops the driver for some tenths of a second.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(kept: DataFrame) -> None:
     """Delete the table of keep(), once nothing that is still to run reads it."""
     spark = kept.sparkSession
