@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from coclave.llm.textvec import mix, shingle_sets
 from coclave.operators.components import components
-from coclave.runtime import cut, discard, keep, mapped, ready
+from coclave.runtime import cut, discard, keep, mapped, ready, release
 
 #: Documents beyond which a shingle counts as frequent, and the factor from there to each further level.
 FREQUENT, STEP, LEVELS = 32, 8, 5
@@ -472,6 +472,7 @@ class Join:
         self.small = small
         found = keep(entries.groupBy("bucket").applyInArrow(_per_bucket(_pairs, percent=self.percent, small=small), FOUND), "candidates")
         given.destroy()
+        release(self.spark)
         return found
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -495,6 +496,7 @@ class Join:
         done = cut(mapped(joined, partial(_verify, percent=self.percent, width=self.width), "a long, b long"))
         # All stages that read it have ended: with pairs on one side, none is dropped as not needed.
         wanted.destroy()
+        release(self.spark)
         return done
 
     def crossed(self, entries: DataFrame) -> DataFrame:
@@ -545,6 +547,7 @@ class Join:
         probes = cut(probes)
         probed = self.verified(probes)
         label = cut(components(probed, "a", "b"))
+        release(self.spark)
 
         def apart(pairs: DataFrame) -> DataFrame:
             one, two = (label.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in ("a", "b"))
@@ -556,6 +559,7 @@ class Join:
         mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("major")).filter("labels > 1").drop("labels")
         open_ = named.join(mixed, "key").join(self.classes.select("cls", "short"), "cls").select("key", "cls", "size", "pos", "short", "label", (F.col("label") == F.col("major")).alias("main"))
         open_ = cut(open_)
+        release(self.spark)
         late = apart(rare.select("a", "b")).unionByName(self.crossed(open_)).distinct()
         done = cut(probed.unionByName(self.verified(late.join(probes, ["a", "b"], "left_anti"))))
         discard(found)
@@ -566,7 +570,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """near_duplicates() with the class of each row's text and the component of that class, which no two groups share."""
     join = Join(docs, key, text, width, percent)
     links = join.links()
+    release(join.spark)
     found = components(links, "a", "b").select(F.col("node").alias("cls"), "component")
+    release(join.spark)
     classes = join.classes.select("cls", "least").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = classes.join(roots, "component").select("cls", "component", "component_id")
