@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coclave.llm import jaccard, language, mixing, packing, secrets
 from coclave.llm.queries import MIX_SEED, domain_of, mix_weights, tokenizer_path
-from coclave.runtime import discard, keep, ready
+from coclave.runtime import discard, keep, ready, release
 
 #: The least share of a document's words that its language must have.
 LEAST_SHARE = 0.4
@@ -67,4 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             discard(before)
         before = docs
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
