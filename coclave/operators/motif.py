@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from coclave.operators.components import components
 from coclave.operators.number import in_order
-from coclave.runtime import cut
+from coclave.runtime import cut, small
+
+#: Entries of one row of a matrix that meet in one task; rows with more are dealt out.
+HUB = 1 << 16
 
 
 def motif_id(run: Column, cluster: Column, motif: Column) -> Column:
@@ -166,23 +169,59 @@ def markov_start(edges: DataFrame) -> DataFrame:
     return _stochastic(both.filter("a <> b").unionByName(loops).groupBy(F.col("a").alias("row"), F.col("b").alias("col")).agg(F.max("weight").alias("p")))
 
 
-def markov_round(now: DataFrame, inflation: float = 2.4, least: float = 1e-4) -> DataFrame:
-    """One expansion, inflation and pruning of (row, col, p)."""
-    left = now.select("row", F.col("col").alias("via"), F.col("p").alias("x"))
-    right = now.select(F.col("row").alias("via"), "col", F.col("p").alias("y"))
-    squared = left.join(right, "via").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    return _stochastic(_stochastic(squared.withColumn("p", F.pow("p", F.lit(inflation)))).filter(F.col("p") >= least))
+def _squared(now: DataFrame) -> DataFrame:
+    """The square of (row, col, p). The columns that hold a hub are dealt out over several tasks, each with the hub's own column."""
+    n = F.ceil(F.count("*") / F.lit(HUB)).cast("int")
+    hubs = small(now.groupBy(F.col("row").alias("via")).agg(n.alias("parts")).filter("parts > 1"), "hubs")
+    parts = F.coalesce("parts", F.lit(1))
+    left = now.select("row", F.col("col").alias("via"), F.col("p").alias("x")).join(hubs, "via", "left")
+    right = now.select(F.col("row").alias("via"), "col", F.col("p").alias("y")).join(hubs, "via", "left")
+    left = left.select("row", "via", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = right.select("via", "col", "y", F.pmod(F.xxhash64("col"), parts).cast("int").alias("part"))
+    return left.join(right, ["via", "part"]).groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+
+
+def strongest(entries: DataFrame, least: float, most: int, recover: int = 0, share: float = 0.9) -> DataFrame:
+    """Of each column of (row, col, p) the entries of `least` and more, but only the `most` largest of them; where these are fewer
+    than `recover` and have less than `share` of the column's sum, its `recover` largest.
+
+    Entries are ranked by p to 9 places, then by row; those that round to 0 go. Columns are tallied by 16 steps to each doubling of p:
+    whole steps stay or go, and only the step in which the number is reached is ranked, so a long column is sorted whole only
+    where its entries are nearly all alike.
+    """
+    sized = cut(entries.select("row", "col", "p", F.round("p", 9).alias("size")).filter("size > 0").withColumn("step", F.floor(F.log2("size") * 16)))
+    column, fits = Window.partitionBy("col"), F.col("p") >= least
+    tally = sized.groupBy("col", "step").agg(
+        F.count("*").alias("n"), F.sum(fits.cast("long")).alias("fit"), F.sum(F.when(fits, F.col("p")).otherwise(0.0)).alias("mass"), F.sum("p").alias("whole")
+    )
+    fit = F.sum("fit").over(column)
+    few = (fit < recover) & (F.sum("mass").over(column) < F.lit(share) * F.sum("whole").over(column))
+    before = F.coalesce(F.sum("n").over(column.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = tally.select("col", "step", "n", (F.when(few, F.lit(recover)).otherwise(F.least(fit, F.lit(most))) - before).alias("room")).filter("room > 0")
+    placed = sized.join(room, ["col", "step"])
+    rank = F.row_number().over(Window.partitionBy("col", "step").orderBy(F.col("size").desc(), "row"))
+    ranked = placed.filter("room < n").withColumn("rank", rank).filter("rank <= room")
+    return placed.filter("room >= n").select("row", "col", "p").unionByName(ranked.select("row", "col", "p"))
+
+
+def markov_round(now: DataFrame, inflation: float = 2.4, least: float = 1e-4, most: int | None = None, recover: int = 0, share: float = 0.9) -> DataFrame:
+    """One expansion, inflation and pruning of (row, col, p): by `least` alone, or with `most` as in strongest()."""
+    inflated = _stochastic(_squared(now).withColumn("p", F.pow("p", F.lit(inflation))))
+    return _stochastic(inflated.filter(F.col("p") >= least) if most is None else cut(strongest(inflated, least, most, recover, share)))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.4, least: float = 1e-4, rounds: int = 30) -> DataFrame:
+def markov_clusters(
+    edges: DataFrame, inflation: float = 2.4, least: float = 1e-4, rounds: int = 30, most: int | None = None, recover: int = 0, share: float = 0.9
+) -> DataFrame:
     """(node, cluster): expansion and inflation of the column-stochastic matrix of (a, b, weight) until nothing changes.
 
-    Both steps are joins and sums on sparse (row, col, p) entries; entries below `least` go, so columns stay short. Nodes of one
-    cluster share an attractor; the cluster is the least node that they reach.
+    Both steps are joins and sums on sparse (row, col, p) entries; entries below `least` go, and with `most` a column has that many
+    at most, as strongest() says. Nodes of one cluster share an attractor; the cluster is the least node that they reach. No edges
+    give no rows.
     """
     now = cut(markov_start(edges))
     for _ in range(rounds):
-        after = cut(markov_round(now, inflation, least))
+        after = cut(markov_round(now, inflation, least, most, recover, share))
         change = after.join(now.withColumnRenamed("p", "before"), ["row", "col"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
         now = after
         if change is None or change < 1e-3:

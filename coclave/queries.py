@@ -751,6 +751,29 @@ def _(m: Star) -> DataFrame:
 
 
 MARKOV_ROUNDS = 2
+#: Columns of a dozen entries at most, and rounds to a result that SQL can state.
+SELECTED = {"least": 0.02, "most": 12, "recover": 6, "share": 0.9}
+SELECTED_ROUNDS = 5
+
+
+def markov_selected_sql() -> str:
+    """SELECTED_ROUNDS rounds with selection and recovery, then the components of what is left."""
+    least, most, recover, share = SELECTED.values()
+    parts = ["""both_ends AS (SELECT a, b, weight FROM linked UNION ALL SELECT b, a, weight FROM linked),
+looped AS (SELECT a, b, weight FROM both_ends WHERE a <> b UNION ALL SELECT a, a, max(weight) FROM both_ends GROUP BY a),
+start0 AS (SELECT a AS row, b AS col, max(weight) AS p FROM looped GROUP BY ALL), m0 AS MATERIALIZED (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM start0)"""]
+    for k in range(SELECTED_ROUNDS):
+        parts.append(f"""s{k} AS (SELECT x.row, y.col, pow(sum(x.p * y.p), 2.4) AS p FROM m{k} x JOIN m{k} y ON x.col = y.row GROUP BY ALL), i{k} AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM s{k}),
+k{k} AS (SELECT row, col, p, row_number() OVER (PARTITION BY col ORDER BY round(p, 9) DESC, row) AS place, count(*) FILTER (p >= {least}) OVER (PARTITION BY col) AS fit, sum(CASE WHEN p >= {least} THEN p ELSE 0 END) OVER (PARTITION BY col) AS mass, sum(p) OVER (PARTITION BY col) AS whole FROM i{k} WHERE round(p, 9) > 0),
+m{k + 1} AS MATERIALIZED (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM k{k} WHERE place <= CASE WHEN fit < {recover} AND mass < {share} * whole THEN {recover} ELSE least(fit, {most}) END)""")
+    return ", ".join(parts) + f""", ends AS (SELECT row AS x, col AS y FROM m{SELECTED_ROUNDS} WHERE p > 0.01 UNION SELECT col, row FROM m{SELECTED_ROUNDS} WHERE p > 0.01),
+RECURSIVE reach AS (SELECT x AS node, x AS other FROM ends UNION SELECT reach.node, ends.y FROM reach JOIN ends ON reach.other = ends.x) SELECT node, min(other) AS cluster FROM reach GROUP BY 1"""
+
+
+@query("motif_markov_selected", markov_selected_sql(), PAIRS_SQL)
+def _(m: Star) -> DataFrame:
+    """Clusters after SELECTED_ROUNDS rounds in which a column keeps its strongest entries."""
+    return motif.markov_clusters(motif.pair_weights(motif.pair_filter(pairs_of(m))), rounds=SELECTED_ROUNDS, **SELECTED)
 
 
 def markov_sql() -> str:
