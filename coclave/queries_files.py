@@ -229,9 +229,10 @@ def _(m: Star) -> DataFrame:
     kept = cut(communities.corems(labelled.filter(F.col("threshold") == THRESHOLDS[0])))
     sinks.community_files(edges, similarity, labelled, densities, kept, path)
     sinks.save_communities(kept, kept.select("corem_id", F.col("a").alias("col_id"), F.lit(0.5).alias("pval")).distinct(), f"{path}/tables")
-    places = {"wpairs": 0, "tanimoto": 0, "clusters": 1, "density": 5, "communities": 0}
+    # Where the id stands, out of how many columns; named, as a file without rows has none to be found in it.
+    places = {"wpairs": (0, 3), "tanimoto": (0, 4), "clusters": (1, 5), "density": (5, 9), "communities": (0, 6)}
     out = m.spark.read.parquet(f"{path}/tables/corem_rows").agg(F.count("*").alias("n"), F.sum("row_id").cast("long").alias("ids")).select(F.lit("corem_rows").alias("file"), "n", "ids")
-    for name, at in places.items():
-        read = m.spark.read.csv(f"{path}/{name}", sep="\t")
+    for name, (at, width) in places.items():
+        read = m.spark.read.schema(", ".join(f"_c{k} string" for k in range(width))).csv(f"{path}/{name}", sep="\t")
         out = out.unionByName(read.agg(F.count("*").alias("n"), F.sum(F.col(f"_c{at}").cast("double")).cast("long").alias("ids")).select(F.lit(name).alias("file"), "n", "ids"))
     return out
