@@ -8,19 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coclave.operators.number import in_order
-from coclave.runtime import cut
+from coclave.runtime import PER_TASK, cut, dealt
 
+#: How many times the pairs of a task one group may make before its join is left to Spark's splitting of large partitions.
+HOT = 64
 
-def cooccurrence(bridge: DataFrame, member: str = "row_id", group: str = "cluster_id") -> DataFrame:
-    """(src, dst, counts): how many groups hold both, each unordered pair in both directions.
 
-    One self-join on the group, with the pair taken once and counted before it is mirrored. The work is the sum of squared
-    group sizes; a group is a cluster of rows, so its size does not grow with the number of groups.
+def counted_pairs(bridge: DataFrame, member: str = "row_id", group: str = "cluster_id", mirrored: bool = False) -> DataFrame:
+    """(src, dst, counts): how many groups hold both, each pair once with src < dst, or in both directions; repeated rows count once.
+
+    One self-join on the group, its pairs dealt out by src and counted there. The work is the sum of squared group sizes; a group is
+    a cluster of rows, so its size does not grow with the number of groups. Tasks get a bounded number of rows and of pairs. Should
+    the pairs of one group be more than that many times over, Spark's own partitions serve the join, as it can split these.
     """
-    pairs = bridge.distinct()
-    a, b = pairs.select(group, F.col(member).alias("src")), pairs.select(group, F.col(member).alias("dst"))
-    once = a.join(b, group).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("counts"))
-    return once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "counts"))
+    rows = bridge.count()
+    named = bridge.select(F.col(group).alias("group"), F.col(member).alias("member")).filter("group is not null and member is not null")
+    sizes = dealt(named, rows, "group").distinct().groupBy("group").agg(F.count("*").alias("n"))
+    made = F.col("n").cast("double") * (F.col("n") - 1) / (1 if mirrored else 2)
+    total, most = sizes.agg(F.coalesce(F.sum(made), F.lit(0.0)), F.coalesce(F.max(made), F.lit(0.0))).first()
+    held = (dealt(named, max(rows, total), "group") if most <= HOT * PER_TASK else named).distinct()
+    a, b = held.withColumnRenamed("member", "src"), held.withColumnRenamed("member", "dst")
+    met = a.join(b, "group").filter("src <> dst" if mirrored else "src < dst").select("src", "dst")
+    return dealt(met, total, "src").groupBy("src", "dst").agg(F.count("*").alias("counts"))
+
+
+def cooccurrence(bridge: DataFrame, member: str = "row_id", group: str = "cluster_id") -> DataFrame:
+    """(src, dst, counts): how many groups hold both, each pair in both directions."""
+    return counted_pairs(bridge, member, group, mirrored=True)
 
 
 def weigh(edges: DataFrame) -> DataFrame:

@@ -287,22 +287,22 @@ sim AS (SELECT x.node AS keystone, x.other AS i, y.other AS j, round(d.dot / (ni
 
 
 def edges_of(m: Star) -> DataFrame:
-    return graph.backbone(graph.backbone_pval(graph.weigh(graph.cooccurrence(m.bc_rows))), BACKBONE)
+    return graph.backbone(graph.backbone_pval(graph.weigh(graph.cooccurrence(m.members))), BACKBONE)
 
 
 @query("cooccurrence", "SELECT src, dst, counts FROM cooc", GRAPH_SQL)
 def _(m: Star) -> DataFrame:
-    return graph.cooccurrence(m.bc_rows)
+    return graph.cooccurrence(m.members)
 
 
 @query("cooccur_weight", "SELECT src, dst, round(weight, 9) AS weight, degree FROM weighted", GRAPH_SQL)
 def _(m: Star) -> DataFrame:
-    return graph.weigh(graph.cooccurrence(m.bc_rows)).select("src", "dst", F.round("weight", 9).alias("weight"), "degree")
+    return graph.weigh(graph.cooccurrence(m.members)).select("src", "dst", F.round("weight", 9).alias("weight"), "degree")
 
 
 @query("backbone_pval", "SELECT src, dst, round(pval, 6) AS pval FROM scored", GRAPH_SQL)
 def _(m: Star) -> DataFrame:
-    return graph.backbone_pval(graph.weigh(graph.cooccurrence(m.bc_rows))).select("src", "dst", F.round("pval", 6).alias("pval"))
+    return graph.backbone_pval(graph.weigh(graph.cooccurrence(m.members))).select("src", "dst", F.round("pval", 6).alias("pval"))
 
 
 @query("backbone_edges", "SELECT a, b, round(weight, 9) AS weight FROM edges", GRAPH_SQL)
@@ -616,7 +616,7 @@ linked AS (SELECT query AS a, target AS b, round(-log10(pvalue + 1e-99), 4) AS w
 
 
 def pairs_of(m: Star) -> DataFrame:
-    once = graph.cooccurrence(m.bc_rows).filter("src < dst")
+    once = graph.counted_pairs(m.members)
     return once.select(F.col("src").alias("query"), F.col("dst").alias("target"), (1 / F.pow(1 + F.col("counts"), F.lit(5))).alias("pvalue"), (4 + (F.col("src") + F.col("dst")) % 6).alias("overlap"))
 
 

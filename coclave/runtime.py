@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import os
 import tempfile
 import uuid
@@ -19,6 +20,9 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Settings of Arrow batches: Spark's default, and what the library sets in its place.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
+#: Rows that one task gets of what dealt() deals out.
+PER_TASK = 1 << 19
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, if that folder is there, and get texts in small batches.
@@ -76,6 +80,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df by the columns over as many tasks as give each PER_TASK of its rows, so that a task's memory does not grow with them.
+
+    Spark's own number of partitions is fixed, and small ones become larger by their packed size, whatever their rows turn into.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / PER_TASK)), *by)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read them from there: each is computed once."""
     path = fresh_path(df.sparkSession, label)

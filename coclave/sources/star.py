@@ -22,9 +22,14 @@ class Star:
     def raw(self, name: str) -> DataFrame:
         return ready(self.spark).read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """bc_rows as it is stored, with its repeated rows."""
+        return self.raw("lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("row_id"))
+
     @cached_property
     def bc_rows(self) -> DataFrame:
-        return self.raw("lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("row_id")).distinct()
+        return self.members.distinct()
 
     @cached_property
     def bc_cols(self) -> DataFrame:
