@@ -21,7 +21,7 @@ def most_in_a_task(df):
     return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 
 
-@pytest.mark.parametrize("name, rows", [("cooccurrence", 9000), ("cooccur_weight", 9000), ("backbone_pval", 9000)])
+@pytest.mark.parametrize("name, rows", [("cooccurrence", 9000), ("cooccur_weight", 9000), ("backbone_pval", 9000), ("motif_best_repeat", 4500)])
 def test_tasks_have_bounded_pairs(spark, lines, monkeypatch, name, rows):
     monkeypatch.setattr(runtime, "PER_TASK", 100)
     got = entry.queries()[name](spark, lines)
