@@ -20,7 +20,7 @@ from coclave.runtime import keep, mapped, ready, small
 #: Bytes of terms, A-Z in lower case; all others part them.
 TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Terms that a task holds before it writes them out.
-HELD = 1 << 17
+HELD = 1 << 18
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,11 +28,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
     held = 0
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, source, term, *n) for (lang, source), terms in found.items() for term, n in terms.items()]
-        lang, source, term, count, docs = zip(*rows, strict=True)
-        columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(docs, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in found.items():
+            if terms:
+                count, docs = zip(*terms.values(), strict=True)
+                columns = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(docs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -46,11 +47,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     terms[term] = [n, 1]
             held += len(terms)
             if held >= HELD:
-                yield out()
+                yield from out()
                 found.clear()
                 held = 0
     if held:
-        yield out()
+        yield from out()
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -74,9 +75,11 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     empty = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     rows = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("text"))
     counted = mapped(rows, _counts, "lang string, source string, term string, count long, docs long")
-    counts = keep(counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "terms")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("everywhere")).filter(F.col("docs") >= least).drop("docs")
-    cells = keep(counts.drop("docs").join(kept, ["lang", "term"]), "cells")
+    # All counts of a term of a language go to one task, which adds up the sources' and the language's: one shuffle for both.
+    counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    everywhere = Window.partitionBy("lang", "term")
+    summed = counts.withColumns({"everywhere": F.sum("count").over(everywhere), "docs": F.sum("docs").over(everywhere)})
+    cells = keep(summed.filter(F.col("docs") >= least).drop("docs"), "cells")
     # A row for each language and for each group, whether it has terms or not.
     langs = cells.select("lang", "term", "everywhere").distinct().groupBy("lang").agg(F.count("*").alias("terms"), F.sum("everywhere").alias("of_lang"))
     groups = rows.select("lang", "source").distinct().join(cells.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left")
