@@ -117,16 +117,27 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows, "<u8").tobytes())])
 
 
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where one stands, how often) of the distinct pairs of numbers, sorted by the first alone unless it is shared."""
+    order = np.argsort(one, kind="stable")
+    new = np.diff(one[order], prepend=~one[order[:1]]) != 0
+    other = np.diff(two[order], prepend=two[order[:1]]) != 0
+    if (other & ~new).any():
+        order = np.lexsort((two, one))
+        new = (np.diff(one[order], prepend=~one[order[:1]]) != 0) | (np.diff(two[order], prepend=two[order[:1]]) != 0)
+    start = np.flatnonzero(new)
+    return order[start], np.diff(start, append=len(one))
+
+
 def _words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, word, f) of the distinct words of each chunk."""
     for lang, texts in _by_lang(batches):
         data, start, stop, hashes, _ = positions(texts, seeded(seed))
         # Words that share a hash are told apart by a second one, so that the sums can show them.
         second = span_hashes(data, start, stop, codes=seeded(seed + (1 << 20)))
-        both = np.stack([hashes, second], 1).view([("one", "<u8"), ("two", "<u8")])[:, 0]
-        found, first, count = np.unique(both, return_index=True, return_counts=True)
+        first, count = distinct(hashes, second)
         word = pa.array([data[start[k] : stop[k]].tobytes() for k in first], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), _binary(found["one"][:, None]), word, pa.array(count)], ["lang", "phrase", "word", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), _binary(hashes[first][:, None]), word, pa.array(count, pa.int64())], ["lang", "phrase", "word", "f"])
 
 
 def _longer(batches: Iterator[pa.RecordBatch], seed: int, given: Broadcast) -> Iterator[pa.RecordBatch]:
