@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coclave.functions.stats import uniform
 from coclave.operators.number import in_order
-from coclave.runtime import cut
+from coclave.runtime import cut, dealt
 from coclave.sources.versioned import Versioned
 
 
@@ -26,6 +26,32 @@ def tries(size: int) -> int:
     return -(-(3 * size + 16) // 4) * 4
 
 
+#: The draws that a column asks for, in SQL.
+DRAWS = "explode(sequence(__first, __first + __count - 1)) AS draw"
+#: How many draws of a column are dealt out together.
+DRAWS_AT_ONCE = 256
+
+
+def tried_positions(columns: DataFrame, sizes: list[int], seed: int) -> DataFrame:
+    """(__col, __n, draw, __place, __pos) of the draws that the columns (__col, __start, __n, __first, __count) ask for.
+
+    Up to the largest of the ascending `sizes` that is at most half of a column's rows. The columns may lie in one partition, so
+    runs of their draws are dealt out by the number of positions before these are made.
+    """
+    asked = F.array(*map(F.lit, sizes))
+    half = F.coalesce(F.array_max(F.filter(asked, lambda s: s * 2 <= F.col("__n"))), F.lit(0))
+    many = columns.withColumn("__half", half).filter("__half > 0")
+    made = {r["__half"]: r["draws"] for r in many.groupBy("__half").agg(F.sum("__count").alias("draws")).collect()}
+    tried = None
+    for size in sorted(made) or sizes[:1]:  # one plan per step of the longest sequence, each over columns of their own
+        runs = many.filter(F.col("__half") == size).select("__col", "__n", "__start", (F.col("__first") + F.col("__count")).alias("__end"), F.expr(f"explode(sequence(__first, __first + __count - 1, {DRAWS_AT_ONCE})) AS __first"))
+        runs = dealt(runs, made.get(size, 0) * size, "__col", "__first")
+        each = runs.withColumn("__count", F.least(F.lit(DRAWS_AT_ONCE), F.col("__end") - F.col("__first"))).select("__col", "__n", "__start", F.expr(DRAWS))
+        own = each.select("__col", "__n", "__start", "draw", F.posexplode(drawn_positions(seed, F.col("__col"), F.col("draw"), F.col("__n"), size)).alias("__place", "__pos"))
+        tried = own if tried is None else tried.unionByName(own)
+    return tried.select("__col", "__n", "draw", (F.col("__place") + 1).alias("__place"), (F.col("__pos") + F.col("__start")).alias("__pos"))
+
+
 def rsd_of_draws(cells: DataFrame, sizes: list[int], first: Column, count: Column, seed: int = 1, row: str = "row_id", col: str = "col_id", value: str = "raw") -> DataFrame:
     """(col, nrows, draw, rsd) of the draws first .. first + count - 1 of each size, from one sequence of rows per column and draw.
 
@@ -46,17 +72,10 @@ def rsd_of_draws(cells: DataFrame, sizes: list[int], first: Column, count: Colum
     columns = cut(columns)
     line = line.drop("__first", "__count")
     asked = F.array(*map(F.lit, sizes))
-    draws = F.explode(F.expr("sequence(__first, __first + __count - 1)"))
-    # The largest size that is at most half of the rows, and whether there are larger ones.
-    half = F.coalesce(F.array_max(F.filter(asked, lambda s: s * 2 <= F.col("__n"))), F.lit(0))
-    many = columns.withColumn("__half", half).filter("__half > 0").withColumn("draw", draws)
-    tried = None
-    for size in sizes:  # one plan per step of the longest sequence, each over columns of their own
-        own = many.filter(F.col("__half") == size).select("__col", "__n", "__start", "draw", F.posexplode(drawn_positions(seed, F.col("__col"), F.col("draw"), F.col("__n"), size)).alias("__place", "__pos"))
-        tried = own if tried is None else tried.unionByName(own)
-    tried = tried.select("__col", "__n", "draw", (F.col("__place") + 1).alias("__place"), (F.col("__pos") + F.col("__start")).alias("__pos"))
-    picked = tried.join(line.select("__pos", "__value"), "__pos").select("__col", "__n", "draw", "__place", "__value", F.lit(False).alias("__few"))
-    few = line.join(columns.filter(F.col("__n") < 2 * sizes[-1]), "__col").withColumn("draw", draws)
+    tried = tried_positions(columns, sizes, seed)
+    # Spark takes the positions for as few as the runs they come from, and would broadcast them.
+    picked = tried.hint("merge").join(line.select("__pos", "__value"), "__pos").select("__col", "__n", "draw", "__place", "__value", F.lit(False).alias("__few"))
+    few = line.join(columns.filter(F.col("__n") < 2 * sizes[-1]), "__col").select("*", F.expr(DRAWS))
     rank = Window.partitionBy("__col", "draw").orderBy(uniform(seed, F.col("__col"), F.col("__row"), F.col("draw")), "__row")
     few = few.withColumn("__place", F.row_number().over(rank)).filter(F.col("__place") <= sizes[-1]).select("__col", "__n", "draw", "__place", "__value", F.lit(True).alias("__few"))
     along = Window.partitionBy("__col", "draw", "__few").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
